@@ -72,7 +72,8 @@ def windows(df: DataFrame, ident: str, text: str) -> DataFrame:
         ),
     )
     listed = F.when(n >= WINDOW, many).when(n > 0, whole)
-    return t.select("ident", F.explode(listed).alias("w")).select("ident", "w.pos", "w.h", "w.slots")
+    # outer: for a plain explode the optimizer would compute the whole array once more, in a filter
+    return t.select("ident", F.explode_outer(listed).alias("w")).where("w is not null").select("ident", "w.pos", "w.h", "w.slots")
 
 
 def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:

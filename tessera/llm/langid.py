@@ -1,6 +1,6 @@
 """Language identification by nearest centroid (operator 9).
 
-A text is the TF-IDF vector of its hashed byte bigrams and trigrams, of unit length.  Each language
+A text is the TF-IDF vector of the hashed byte bigrams and trigrams of its words, of unit length.  Each language
 has several centroids, found by spherical k-means over a bounded sample of labelled documents; the
 language of the centroid with the largest cosine is predicted.  ``rejected`` marks texts farther
 from every centroid than ``REJECT``: they look like none of the learned languages.
@@ -29,12 +29,15 @@ SAMPLE_PER_LANG = 800
 SAMPLE_CHARS = 50_000
 #: Cosine distance beyond which a text counts as rejected.
 REJECT = 0.9
+#: Bytes of ASCII that are no letters count as blanks.
+LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 LETTER = re.compile(r"[^\W\d_]")
 
 
 def counts(text: str) -> np.ndarray:
     """Occurrences of the text's hashed byte bigrams (lower half) and trigrams (upper half)."""
-    b = np.frombuffer(text.lower().encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint32)
+    plain = b" ".join(text.lower().encode("utf-8", "replace").translate(LETTERS).split())
+    b = np.frombuffer(b" " + plain + b" ", dtype=np.uint8).astype(np.uint32)
     half = DIM // 2
     shift = np.uint32(32 - (half - 1).bit_length())
     two = b[:-1] * np.uint32(256) + b[1:]

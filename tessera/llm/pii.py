@@ -75,7 +75,8 @@ def located(df: DataFrame, text: str, out: str, pattern: str, hint: str | None =
     """``df`` with ``out``: array of struct(start, end, match) in code points, end exclusive.
 
     Starts are prefix sums of gap and match lengths, taken block by block so that texts with very
-    many matches stay affordable."""
+    many matches stay affordable.  (Arrays made here are exploded with ``explode_outer``: for a plain
+    ``explode`` the optimizer would repeat their whole computation in a filter below it.)"""
     wanted = F.lit(True) if hint is None else (F.contains(text, F.lit(hint)) if len(hint) == 1 else F.col(text).rlike(hint))
     step1 = df.withColumns({
         "__m": F.when(wanted, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")),
@@ -153,7 +154,7 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     near = found.where("size(contexts) > 0 and doc_id is not null").select("row_no", "doc_id", "base", F.explode("contexts").alias("c"))
     near = near.select("row_no", "doc_id", "base", "c.e", "c.at", "c.snippet", "c.size")
     near = located(near, "snippet", "__words", WORD)
-    flat = near.select("row_no", "doc_id", "base", "e", "at", "size", F.xxhash64("snippet").alias("context"), F.length("snippet").alias("width"), F.explode("__words").alias("w"))
+    flat = near.select("row_no", "doc_id", "base", "e", "at", "size", F.xxhash64("snippet").alias("context"), F.length("snippet").alias("width"), F.explode_outer("__words").alias("w"))
     flat = flat.select(
         "row_no", "doc_id", "e", "context", "base", F.lower("w.match").alias("term"),
         (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"),
@@ -167,7 +168,7 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     def frequency(candidates: DataFrame) -> DataFrame:
         few = candidates.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
         listed = F.array_distinct(F.split(F.lower(text_or_empty(text)), r"[^\p{L}\p{N}_]+", -1))
-        said = every.select(F.col(doc_id).alias("doc_id"), F.explode(listed).alias("term"))
+        said = every.select(F.col(doc_id).alias("doc_id"), F.explode_outer(listed).alias("term"))
         said = said.join(F.broadcast(candidates) if few else candidates, "term", "left_semi")
         return said.groupBy("term").agg(F.count_distinct("doc_id").alias("n_t"))
 

@@ -102,20 +102,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
     return {"table": table.astype(np.float64) @ (layer[1] - layer[0]).astype(np.float64), "bias": float(bias[1] - bias[0])}
 
 
-def score(df: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``score``: the softmax probability of class 1."""
+def score(df: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+    """``keep`` columns with ``out``: the softmax probability of class 1."""
     small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
-    source = df.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
+    source = df.select(*keep) if "text" in keep else df.select(*keep, "text")
+    at = source.columns.index("text")
+    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + f", `{out}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = held.value["table"], held.value["bias"]
         again = float(table[AGAIN])
         sums: dict[bytes, tuple[float, int]] = {}
         for batch in batches:
-            out = []
-            for text in batch.column(len(keep)).to_pylist():
+            found_scores = []
+            for text in batch.column(at).to_pylist():
                 found = (text or "").encode("utf-8", "replace").split()
                 if len(sums) > MEMO_WORDS:
                     sums.clear()
@@ -128,8 +129,8 @@ def score(df: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> Da
                     total += s
                     n += k
                 z = bias + (total / n if n else 0.0)
-                out.append(float(1 / (1 + np.exp(-min(50.0, max(-50.0, z))))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(out, pa.float64())], [*keep, "score"])
+                found_scores.append(float(1 / (1 + np.exp(-min(50.0, max(-50.0, z))))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(found_scores, pa.float64())], [*keep, out])
 
     return source.mapInArrow(run, schema)
 
