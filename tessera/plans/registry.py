@@ -1,4 +1,250 @@
-"""Registered queries and the SQL that checks them."""
+"""Registered queries, one for each operator, and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import RetrievalConfig
+from ..functions.text import header, titled
+from ..operators import actions, chunking, events, hybrid, prompt, routing, similarity, sse
+from ..sources.markdown import snapshot_diff
+from ..streaming import events as event_stream
+from ..streaming import sse as sse_stream
+from ..streaming.run import replay
+from . import inputs
+from .sql import ORACLE_SQL  # noqa: F401
+
+CFG = RetrievalConfig()
+CAP = 5
+
+
+def chunk_sliding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.sliding_window(inputs.table(spark, sf_dir, "documents"), ["doc_id"], "text", CFG)
+
+
+def split_by_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.split_by_headers(inputs.marked(spark, sf_dir), "doc_id", "text")
+
+
+def header_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = inputs.marked(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("rel"), F.col("text").alias("content"))
+    return chunking.chunk_documents(docs, CFG)
+
+
+def doc_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.table(spark, sf_dir, "documents").select("doc_id", header(F.col("text")).alias("header"))
+
+
+def dedupe_first_by_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = inputs.table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").alias("doc"))
+    return hybrid.dedupe_first(docs, "lang", ["doc_id"]).select("lang", "header", "doc_id")
+
+
+def entries(spark: SparkSession) -> DataFrame:
+    return routing.parse_keyword_index(spark.range(1).select(F.col("id").alias("index_id"), F.lit(inputs.INDEX).alias("text")))
+
+
+def keyword_index_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = entries(spark)
+    return found.select("entry_id", F.array_join("keywords", "|").alias("keywords"), F.array_join("files", "|").alias("files"))
+
+
+def keyword_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    return routing.keyword_route(asked, entries(spark), CFG)
+
+
+def path_rule_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = inputs.table(spark, sf_dir, "pages")
+    path = F.concat(F.col("url"), F.lit("\\"), inputs.pick(inputs.FOLDERS, F.col("page_id") % len(inputs.FOLDERS)), F.lit("\\x"))
+    return pages.select("page_id", F.posexplode(F.array_distinct(routing.path_targets(path))).alias("ord", "rel"))
+
+
+def import_rule_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = inputs.table(spark, sf_dir, "documents")
+    content = F.regexp_replace("text", "(^|\n)([A-M])", "$1import Table Button; $2")
+    return docs.select("doc_id", F.size(routing.import_targets(content)).cast("long").alias("n_hits"), F.array_join(F.array_distinct(routing.import_targets(content)), "|").alias("targets"))
+
+
+def context_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.context_route(inputs.questions(spark, sf_dir), inputs.documents(spark, sf_dir))
+
+
+def readfiles_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = inputs.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("query_id"), F.lit(0).alias("ord"), F.concat(F.lit("docs/"), (F.col("doc_id") * 2).cast("string"), F.lit(".md")).alias("rel"))
+    return routing.lookup_documents(e, inputs.documents(spark, sf_dir)).select("query_id", "rel", "doc")
+
+
+def cosine_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = inputs.table(spark, sf_dir, "embeddings")
+    a, b = e.select("vec_id", F.col("embedding").alias("a")), e.select((F.col("vec_id") + 1).alias("next"), F.col("embedding").alias("b"))
+    pairs = a.join(b, F.col("vec_id") == F.col("next"))
+    return pairs.select("vec_id", F.round(similarity.cosine(F.col("a"), F.col("b"), similarity.norm(F.col("a")), similarity.norm(F.col("b"))), 9).alias("score"))
+
+
+def _nearest(spark: SparkSession, sf_dir: str, of: str) -> DataFrame:
+    e = inputs.table(spark, sf_dir, "embeddings")
+    asked = e.where(of).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    top = similarity.cosine_topk(e.select("vec_id", "embedding"), asked, ["vec_id"], CFG)
+    return top.select("query_id", "rank", "vec_id", F.round("score", 9).alias("score"))
+
+
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question's nearest chunks."""
+    return _nearest(spark, sf_dir, "vec_id = 7")
+
+
+def cosine_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest chunks of every question whose number ends in 0."""
+    return _nearest(spark, sf_dir, "vec_id % 10 = 0")
+
+
+def _context(spark: SparkSession, sf_dir: str, mode: str = "compat") -> DataFrame:
+    q = inputs.questions(spark, sf_dir)
+    return hybrid.hybrid_context(q, entries(spark), inputs.documents(spark, sf_dir), inputs.chunks(spark, sf_dir).drop("vec_id"), CFG, mode)
+
+
+def hybrid_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: documents for each question, by keyword, open file and similarity."""
+    out = _context(spark, sf_dir)
+    return out.select("query_id", F.size("docs").cast("long").alias("n_docs"), F.array_join("docs", CFG.separator).alias("docs"), F.array_join("methods", ",").alias("methods"))
+
+
+def hybrid_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _context(spark, sf_dir, "clean")
+    return out.select("query_id", F.array_join(F.transform("docs", header), "|").alias("headers"))
+
+
+def line_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.table(spark, sf_dir, "documents").select("doc_id", prompt.cap_lines(F.col("text"), CAP).alias("capped"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that name a domain in various ways."""
+    forms = ("Account 업무", "about Order-2 Domain", "pay_ment 도메인에", "x 도메인 y 업무", "nothing", "stock domain")
+    turns = inputs.table(spark, sf_dir, "conversations").where("turn = 0")
+    return turns.select(F.col("conv_id").alias("query_id"), F.concat(F.substring("text", 1, 20), F.lit(" "), inputs.pick(forms, F.col("conv_id") % len(forms))).alias("query"))
+
+
+def domain_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir).select("query_id", prompt.extract_domain(F.col("query")).alias("domain"))
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domains = spark.createDataFrame([("account", "const r = [];"), ("order-2", None), ("y", "")], "domain string, router_content string")
+    return prompt.resolve_domains(_asked(spark, sf_dir), domains, "const root = [];")
+
+
+def domain_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir).select("query_id", prompt.domain_section().alias("section"))
+
+
+def prompt_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = inputs.table(spark, sf_dir, "documents").where("doc_id < 3").select(F.lit(1).alias("k"), F.struct("doc_id", titled(F.col("doc_id").cast("string"), F.col("text")).alias("d")).alias("x"))
+    listed = docs.groupBy("k").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]).alias("docs")).drop("k")
+    rows = _resolved(spark, sf_dir).crossJoin(F.broadcast(listed))
+    n = F.col("query_id")
+    rows = rows.select(
+        "*", F.when(n % 3 != 0, F.concat(F.lit("src/"), n.cast("string"))).alias("file_path"), F.lit("tsx").alias("language"),
+        F.col("query").alias("file_content"), F.when(n % 2 == 0, F.lit("sel")).alias("selected"),
+    ).withColumn("docs", F.when(n % 5 == 0, F.slice("docs", 1, 0)).when(n % 5 == 1, F.lit(None)).otherwise(F.col("docs")))
+    return prompt.assemble_prompts(rows, "PRE\n")
+
+
+def _said(messages: str = "messages") -> Column:
+    return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), F.coalesce(m["content"], F.lit("")))), "\n")
+
+
+def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = prompt.history(inputs.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return h.select("conv_id", _said().alias("history"))
+
+
+def history_after_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = inputs.table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") * 2).alias("turn"), "role", "text")
+    clear = turns.where("turn = 2 and conv_id % 2 = 0").select("conv_id", F.lit(1).cast("long").alias("turn"), F.lit("clear").alias("role"), F.lit(None).cast("string").alias("text"))
+    return prompt.history(turns.unionByName(clear)).select("conv_id", _said().alias("history"))
+
+
+def request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = prompt.history(inputs.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return prompt.build_requests(h, F.lit('be "brief"\n'))
+
+
+def sse_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sse.decode_sse(inputs.sse_chunks(spark, sf_dir))
+
+
+def token_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sse.fold_tokens(sse_decode(spark, sf_dir))
+
+
+def event_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.reduce_events(inputs.ui_events(spark, sf_dir))
+
+
+def event_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.last_status(inputs.ui_events(spark, sf_dir))
+
+
+def action_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return actions.extract_actions(inputs.responses(spark, sf_dir))
+
+
+def action_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.responses(spark, sf_dir).select("resp_id", actions.strip_actions(F.col("text")).alias("stripped"))
+
+
+def action_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = action_extract(spark, sf_dir).where("error is null")
+    return found.select("resp_id", "action_no", actions.is_update(F.col("action"), F.col("templateType")).alias("auto_write"), actions.label(F.col("templateType")).alias("label"))
+
+
+def _templates(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("page", "export function {{ComponentName}}() { return '{{componentName}}'; }\n")], "templateType string, template string")
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return actions.plan_writes(action_extract(spark, sf_dir), inputs.decisions(spark, sf_dir), _templates(spark))
+
+
+def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir)
+
+
+def action_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return actions.action_outcomes(_plan(spark, sf_dir)).select("resp_id", "action_no", "outcome")
+
+
+def template_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = inputs.table(spark, sf_dir, "part").withColumn("templateType", F.when(F.col("p_partkey") % 2 == 0, "page").otherwise("api"))
+    joined = parts.join(F.broadcast(_templates(spark)), "templateType", "left")
+    return joined.select("p_partkey", actions.render_template(F.col("template"), F.initcap("p_name")).alias("content"), F.when(F.col("template").isNull(), "no template").alias("error"))
+
+
+def stream_sse_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay(inputs.sse_chunks(spark, sf_dir), sse_stream.decode_stream)
+
+
+def stream_event_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay(inputs.ui_events(spark, sf_dir), event_stream.reduce_stream)
+
+
+def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = inputs.documents(spark, sf_dir)
+    new = old.where("rel not like '%7.md'").withColumn("content", F.when(F.col("rel").like("%3.md"), F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    extra = old.where("rel like '%9.md'").withColumn("rel", F.concat(F.lit("new/"), "rel"))
+    return snapshot_diff(old, new.unionByName(extra))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        hybrid_context, hybrid_clean, chunk_sliding_window, split_by_headers, header_chunks, doc_header, dedupe_first_by_header,
+        keyword_index_parse, keyword_route, path_rule_route, import_rule_route, context_route, readfiles_lookup, cosine_pair,
+        cosine_topk, cosine_topk_batch, line_cap, domain_extract, domain_section, prompt_assemble, chat_history,
+        history_after_clear, request_json, sse_decode, token_fold, event_reduce, event_status, action_extract, action_strip,
+        action_route, action_plan, action_outcomes, template_apply, stream_sse_decode, stream_event_reduce, snapshot_changes,
+    )
+}
