@@ -14,7 +14,9 @@ looked at again:
 2. In every band each document is held against one leader, the document with the largest shared part;
    links are confirmed on the full sets, and connected components are taken.
 3. What is left are candidates whose components differ.  Each such pair is confirmed too, unless the
-   bound, or the triangle inequality of Jaccard distance through their common leader, rules it out.
+   bound or the sets' parities rule it out.  Parity bit j of a set tells whether an odd number of its
+   shingles fall on j, so the bits in which two sets differ are no more than the shingles in which
+   they do: this too is exact.
 
 Pairs inside a component are never spelled out, and no partner is left out.  Only banding itself can
 miss a link: a pair at the threshold shares none of 64 bands with probability below 1e-6.
@@ -40,6 +42,8 @@ from .common import cut, read, small_batches
 BANDS, ROWS = 64, 7
 SLOTS = BANDS * ROWS
 RING = 1 << 20
+#: Words of 64 parity bits for each candidate's set.
+PARITY = 8
 MEMO_WORDS = 500_000
 #: Leaders with more than this share of all pairs (so fewer than a thousand) get salted.
 HOT_SHARE, SALTS = 1000, 64
@@ -141,6 +145,23 @@ def sets(df: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     return source.mapInArrow(run, "id long, s array<long>")
 
 
+def with_parity(held: DataFrame) -> DataFrame:
+    """``held`` (id, s) with ``p``: PARITY words of 64 parity bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            found = np.zeros((batch.num_rows, PARITY), np.int64)
+            for i in range(batch.num_rows):
+                at = column[i].values.to_numpy().view(np.uint64) >> np.uint64(40)
+                odd = np.bincount((at % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+                found[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * PARITY)
+            yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.ListArray.from_arrays(ends, pa.array(found.reshape(-1)))], ["id", "s", "p"])
+
+    return held.mapInArrow(run, "id long, s array<long>, p array<long>")
+
+
 def confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """``a``, ``b``, ``met`` (size of the intersection) and ``link``, for pairs (a, b) of ids in ``held``.
 
@@ -196,6 +217,12 @@ def could(u1: str, n1: str, u2: str, n2: str, percent: int):
     return most * 100 >= (F.col(n1) + F.col(n2) - most) * percent
 
 
+def alike(p1: str, n1: str, p2: str, n2: str, percent: int):
+    """Whether two sets' parities allow a link: they differ in no more bits than linked sets may in shingles."""
+    bits = [F.bit_count(F.get(p1, k).bitwiseXOR(F.get(p2, k))) for k in range(PARITY)]
+    return sum(bits[1:], bits[0]) * (100 + percent) <= (F.col(n1) + F.col(n2)) * (100 - percent)
+
+
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, seed: int = 11) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``: one row per document."""
     sigs = cut(signatures(df, doc_id, text, words, seed), "near-signatures")
@@ -208,41 +235,35 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     members = cut(chosen.join(shared, ["band", "h"]).select("id", "band", "h"), "near-members")
     candidates = members.select("id").distinct()
     texts = df.where(F.col(doc_id).isNotNull()).join(candidates, F.col(doc_id) == F.col("id"), "left_semi")
-    held = cut(sets(texts, doc_id, text, words).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s")), "near-sets")
+    whole = sets(texts, doc_id, text, words).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
+    held = cut(with_parity(whole), "near-sets")
     # the bound: shingles that no other candidate has can't be met
     flat = held.select("id", F.explode("s").alias("x"))
     lone = flat.groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
     lone = lone.groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
-    sizes = held.select("id", F.size("s").alias("n")).join(lone, "id", "left")
-    sizes = sizes.select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("u"))
+    sizes = held.select("id", "p", F.size("s").alias("n")).join(lone, "id", "left")
+    sizes = sizes.select("id", "p", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("u"))
     sizes = cut(sizes.where(F.col("u") * 100 >= F.col("n") * percent), "near-sizes")
     members = cut(members.join(sizes, "id"), "near-left")
     # every document against the leader of each of its bands
-    rank = F.struct((-F.col("u") / F.col("n")).alias("r"), F.col("id").alias("id"), F.col("u").alias("u"), F.col("n").alias("n"))
+    rank = F.struct((-F.col("u") / F.col("n")).alias("r"), F.col("id").alias("id"), F.col("u").alias("u"), F.col("n").alias("n"), F.col("p").alias("p"))
     leaders = members.groupBy("band", "h").agg(F.min(rank).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    leaders = leaders.select("band", "h", F.col("l.id").alias("lead"), F.col("l.u").alias("lead_u"), F.col("l.n").alias("lead_n"))
+    leaders = leaders.select("band", "h", F.col("l.id").alias("lead"), F.col("l.u").alias("lead_u"), F.col("l.n").alias("lead_n"), F.col("l.p").alias("lead_p"))
     led = members.join(leaders, ["band", "h"]).where(F.col("id") != F.col("lead"))
-    led = led.where(could("u", "n", "lead_u", "lead_n", percent)).select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+    led = led.where(could("u", "n", "lead_u", "lead_n", percent) & alike("p", "n", "lead_p", "lead_n", percent)).select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     first = cut(confirmed(cut(led, "near-led"), held, percent), "near-first")
     links = first.where("link").select("a", "b")
     comp = components(links, "near-comp1")
     # what is left: candidates of different components
     known = members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    known = known.join(leaders.select("band", "h", "lead"), ["band", "h"])
     apart = known.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "h")
-    known = known.join(apart, ["band", "h"])
-    met = first.select(F.col("a").alias("id"), F.col("b").alias("lead"), "met").distinct()
-    lead_n = leaders.select(F.col("lead"), "lead_n").distinct()
-    known = known.join(met, ["id", "lead"], "left").join(lead_n, "lead")
-    union = F.col("n") + F.col("lead_n") - F.col("met")
-    far = F.when(F.col("id") == F.col("lead"), F.lit(0.0)).otherwise(1 - F.col("met") / union)
-    known = cut(known.select("band", "h", "id", "comp", "u", "n", far.alias("far")), "near-known")
-    x = known.select("band", "h", *[F.col(c).alias(f"{c}_a") for c in ("id", "comp", "u", "n", "far")])
-    y = known.select("band", "h", *[F.col(c).alias(f"{c}_b") for c in ("id", "comp", "u", "n", "far")])
-    near = F.col("far_a").isNull() | F.col("far_b").isNull() | (F.abs(F.col("far_a") - F.col("far_b")) <= 1 - percent / 100 + 1e-9)
+    known = cut(known.join(apart, ["band", "h"]), "near-known")
+    columns = ("id", "comp", "u", "n", "p")
+    x = known.select("band", "h", *[F.col(c).alias(f"{c}_a") for c in columns])
+    y = known.select("band", "h", *[F.col(c).alias(f"{c}_b") for c in columns])
     condition = (
         (x["band"] == y["band"]) & (x["h"] == y["h"]) & (F.col("id_a") > F.col("id_b")) & (F.col("comp_a") != F.col("comp_b"))
-        & could("u_a", "n_a", "u_b", "n_b", percent) & near & F.coalesce(F.col("far_a") != 0, F.lit(True)) & F.coalesce(F.col("far_b") != 0, F.lit(True))
+        & could("u_a", "n_a", "u_b", "n_b", percent) & alike("p_a", "n_a", "p_b", "n_b", percent)
     )
     rest = cut(x.join(y, condition).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "near-rest")
     more = cut(confirmed(rest, held, percent).where("link").select("a", "b"), "near-second")
