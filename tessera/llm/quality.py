@@ -30,6 +30,8 @@ DIM = 8
 GRAMS = (3, 4)
 EPOCHS = 5
 RATE = 0.5
+#: Steps that even a small sample is trained for.
+LEAST_STEPS = 6000
 #: Bound of the training sample: about so many documents of each class, none longer than so many characters.
 SAMPLE_PER_CLASS = 1000
 SAMPLE_CHARS = 50_000
@@ -84,21 +86,23 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    steps, done = EPOCHS * len(bags), 0
-    for _ in range(EPOCHS):
-        for i in rng.permutation(len(bags)):
-            rate = RATE * (1 - done / steps)
-            done += 1
-            u, w = bags[i]
-            mean = w @ table[u] if len(u) else np.zeros(DIM, np.float32)
-            z = layer @ mean + bias
-            p = np.exp(z - z.max())
-            g = p / p.sum()
-            g[y[i]] -= 1
-            if len(u):
-                table[u] -= rate * 20 * np.outer(w, g @ layer)
-            layer -= rate * np.outer(g, mean)
-            bias -= rate * 0.1 * g
+    # the classes take turns, each in a new order whenever it is through
+    steps = max(EPOCHS * len(bags), LEAST_STEPS)
+    of = [np.flatnonzero(y == c) for c in (0, 1)]
+    turns = [np.concatenate([rng.permutation(x) for _ in range(steps // (2 * len(x)) + 1)]) for x in of]
+    for done in range(steps):
+        i = turns[done % 2][done // 2]
+        rate = RATE * (1 - done / steps)
+        u, w = bags[i]
+        mean = w @ table[u] if len(u) else np.zeros(DIM, np.float32)
+        z = layer @ mean + bias
+        p = np.exp(z - z.max())
+        g = p / p.sum()
+        g[y[i]] -= 1
+        if len(u):
+            table[u] -= rate * 20 * np.outer(w, g @ layer)
+        layer -= rate * np.outer(g, mean)
+        bias -= rate * 0.1 * g
     return {"table": table.astype(np.float64) @ (layer[1] - layer[0]).astype(np.float64), "bias": float(bias[1] - bias[0])}
 
 
