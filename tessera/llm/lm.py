@@ -93,23 +93,21 @@ class Vocabulary:
     def __init__(self, hot: dict[int, tuple[int, float]]):
         self.hot = hot
         self.index: dict[bytes, int] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.index.clear()
-        self.keys: list[int] = []
-        self.classes: list[int] = []
-        self.known: list[float] = []
+        self.keys, self.classes, self.known = np.zeros(FLUSH, np.int64), np.zeros(FLUSH, np.int64), np.zeros(FLUSH)
 
     def __call__(self, found: list[bytes]) -> np.ndarray:
         index = self.index
-        for w in set(found).difference(index):
-            k = key(w)
-            cls, c = self.hot.get(k, (-1, 0.0))
-            index[w] = len(self.keys)
-            self.keys.append(k)
-            self.classes.append(cls if cls >= 0 else tail_class(w))
-            self.known.append(c)
+        new = list(set(found).difference(index))
+        if new:
+            a, b = len(index), len(index) + len(new)
+            while b > len(self.keys):
+                self.keys, self.classes, self.known = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.classes, self.known))
+            keys = list(map(key, new))
+            hot = [self.hot.get(k) for k in keys]
+            self.keys[a:b] = keys
+            self.classes[a:b] = [tail_class(w) if h is None else h[0] for w, h in zip(new, hot, strict=True)]
+            self.known[a:b] = [0.0 if h is None else h[1] for h in hot]
+            index.update(zip(new, range(a, b), strict=True))
         return np.fromiter(map(index.__getitem__, found), np.int64, len(found))
 
 
@@ -138,7 +136,7 @@ def batches_of(texts: list[str | None], vocabulary: Vocabulary) -> Iterator[tupl
         lengths.append(len(words))
         if len(found) >= CHUNK or i == len(texts) - 1:
             if len(vocabulary.index) > FLUSH:
-                vocabulary.clear()
+                vocabulary.index.clear()
             n = np.array(lengths)
             ids = vocabulary(found)
             yield first, n, ids, np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
@@ -170,8 +168,8 @@ def gradients(docs: DataFrame, model, first: bool) -> np.ndarray:
         prior /= prior.sum()
         for batch in batches:
             for _, _, ids, place in batches_of(batch.column(0).to_pylist(), vocabulary):
-                cls = np.array(vocabulary.classes, np.int64)[ids]
-                rows = features(np.array(vocabulary.keys, np.int64)[ids], place)
+                cls = vocabulary.classes[ids]
+                rows = features(vocabulary.keys[ids], place)
                 if first:  # all probabilities are the prior's; it is subtracted at the end
                     for r in rows:
                         np.add.at(grad.reshape(-1), r * CLASSES + cls, np.float32(1))
@@ -263,9 +261,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             uids, names = batch.column(0).to_numpy(), batch.column(1)
             for first, lengths, ids, place in batches_of(batch.column(2).to_pylist(), vocabulary):
-                cls = np.array(vocabulary.classes, np.int64)[ids]
-                keys = np.array(vocabulary.keys, np.int64)[ids]
-                known = np.array(vocabulary.known)[ids]
+                cls = vocabulary.classes[ids]
+                keys = vocabulary.keys[ids]
+                known = vocabulary.known[ids]
                 rows = features(keys, place)
                 lp = np.empty(len(ids))
                 for a in range(0, len(ids), CHUNK):
