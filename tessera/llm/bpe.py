@@ -141,14 +141,18 @@ class Coder:
         n, length, shorter = len(raw), t.length, t.shorter
         longest = [-1] * n
         for end, token in self.automaton.iter(raw):
-            start = end + 1 - length[token]
-            if longest[start] < 0 or length[token] > length[longest[start]]:
-                longest[start] = token
+            longest[end + 1 - length[token]] = token  # ends ascend, so the last is the longest
         dead = bytearray(n + 1)
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, token, seams = 0, longest[0], self.seams
         while at < n:
-            while token >= 0 and (dead[at + length[token]] or (out and not self._fits(out[-1], token))):
+            while token >= 0:
+                if not dead[at + length[token]]:
+                    if not out:
+                        break
+                    fits = seams.get((out[-1], token))
+                    if fits or (fits is None and self._fits(out[-1], token)):
+                        break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
