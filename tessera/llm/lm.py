@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, fold, read, small_batches
 
-#: Weight rows, and classes of frequent and of other tokens.
+#: Weight rows (at most 2**16), and classes of frequent and of other tokens.
 ROWS, HOT_CLASSES, TAIL_CLASSES = 1 << 15, 12, 4
 CLASSES = HOT_CLASSES + TAIL_CLASSES
 #: A frequent token has more than 1/HOT of all tokens, so there are fewer than HOT.
@@ -144,13 +144,13 @@ def batches_of(texts: list[str | None], vocabulary: Vocabulary) -> Iterator[tupl
 
 
 def probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[0]]
+    z = weights.take(rows[0], axis=0)
     for r in rows[1:]:
-        z += weights[r]
+        z += weights.take(r, axis=0)
     z += bias
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= (z @ np.ones(CLASSES, np.float32))[:, None]
     return z
 
 
@@ -162,8 +162,8 @@ def gradients(docs: DataFrame, model, first: bool) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         vocabulary = Vocabulary(m["hot"])
-        grad = np.zeros((ROWS, CLASSES), np.float32)
-        curve = np.zeros((ROWS, CLASSES), np.float32)
+        both = np.zeros((ROWS, 2 * CLASSES), np.float32)  # gradient, curvature
+        ones = np.zeros((ROWS, CLASSES), np.float32)
         prior = np.exp(m["bias"])
         prior /= prior.sum()
         for batch in batches:
@@ -172,24 +172,22 @@ def gradients(docs: DataFrame, model, first: bool) -> np.ndarray:
                 rows = features(vocabulary.keys[ids], place)
                 if first:  # all probabilities are the prior's; it is subtracted at the end
                     for r in rows:
-                        np.add.at(grad.reshape(-1), r * CLASSES + cls, np.float32(1))
+                        np.add.at(ones.reshape(-1), r * CLASSES + cls, np.float32(1))
                     continue
                 for a in range(0, len(ids), CHUNK):
                     part = rows[:, a : a + CHUNK]
                     p = probabilities(m["weights"], m["bias"], part)
-                    q = p * (1 - p)
-                    p *= -1
-                    p[np.arange(len(p)), cls[a : a + CHUNK]] += 1
+                    each = np.concatenate([-p, p * (1 - p)], axis=1)
+                    each[np.arange(len(p)), cls[a : a + CHUNK]] += 1
                     for r in part:
-                        order = np.argsort(r, kind="stable")
-                        at, starts = np.unique(r[order], return_index=True)
-                        grad[at] += np.add.reduceat(p[order], starts, axis=0)
-                        curve[at] += np.add.reduceat(q[order], starts, axis=0)
+                        order = np.argsort(r.astype(np.uint16), kind="stable")  # 16 bits: numpy sorts by radix
+                        ordered = r.take(order)
+                        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+                        both[ordered[starts]] += np.add.reduceat(each.take(order, axis=0), starts, axis=0)
         if first:
-            total = grad.sum(axis=1, keepdims=True)
-            curve = total * (prior * (1 - prior)).astype(np.float32)
-            grad = grad - total * prior.astype(np.float32)
-        both = np.concatenate([grad, curve], axis=1).reshape(ROWS // BLOCK, -1)
+            total = ones.sum(axis=1, keepdims=True)
+            both = np.concatenate([ones - total * prior.astype(np.float32), total * (prior * (1 - prior)).astype(np.float32)], axis=1)
+        both = both.reshape(ROWS // BLOCK, -1)
         some = np.flatnonzero(both.any(axis=1))
         for a in range(0, len(some), 32):
             yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 32], pa.int32()), pa.array([x.tobytes() for x in both[some[a : a + 32]]], pa.binary())], ["block", "sums"])
