@@ -46,9 +46,11 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Cal
     )
     shared = cut(shared, "dedup-groups")
     single = shared.where("texts = 1").select("d", "keep_id", "group_size")
-    n_rows = df.count()
+    # read once more, for digests alone, which both ways of looking up then share
     rows = df.select(F.col(doc_id).alias("doc_id"), ascii_lower(text_or_empty(text)).alias("norm"))
-    rows = rows.select("doc_id", digest(F.col("norm")).alias("d"), F.sha2("norm", 256).alias("text_sha256"))
+    rows = cut(rows.select("doc_id", digest(F.col("norm")).alias("d"), F.unhex(F.sha2("norm", 256)).alias("sha")), "dedup-rows")
+    rows = rows.select("doc_id", "d", F.lower(F.hex("sha")).alias("text_sha256"))
+    n_rows = rows.count()
     hot = single.where(F.col("group_size") * HOT_SHARE > n_rows).select(
         F.col("d").alias("hot_d"), F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size")
     )
