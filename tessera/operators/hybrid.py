@@ -30,7 +30,8 @@ def hybrid_context(queries: DataFrame, entries: DataFrame, docs: DataFrame, chun
     ``compat`` joins the retrieved chunks with the separator and splits them again, so that a chunk
     which holds or ends with the separator's rule comes apart, as the semantics have it; ``clean``
     keeps chunks whole and takes one of each source.  Without ``chunks`` (no index yet) there is no
-    similarity search.  Only queries that are short of documents reach that search."""
+    similarity search.  Only queries that are short of documents reach that search, which ranks vectors
+    alone; source, sec_pos and piece_pos name a chunk, and bring the found ones' texts."""
     none = F.array().cast("array<string>")
     routed = queries.select("query_id").join(_lists(keyword_route(queries, entries, cfg), docs, "kw"), "query_id", "left")
     routed = routed.join(_lists(context_route(queries, docs), docs, "ctx"), "query_id", "left")
@@ -42,7 +43,8 @@ def hybrid_context(queries: DataFrame, entries: DataFrame, docs: DataFrame, chun
     else:
         short = routed.where(F.size("combined") < cfg.max_docs).select("query_id")
         asked = queries.select("query_id", "vector").join(short, "query_id", "left_semi")
-        top = cosine_topk(chunks, asked, ["source", "sec_pos", "piece_pos"], cfg)
+        name = ["source", "sec_pos", "piece_pos"]
+        top = cosine_topk(chunks.select(*name, "embedding"), asked, name, cfg).join(chunks.select(*name, "text"), name)
         pieces = F.transform(F.array_sort(F.collect_list(F.struct("rank", titled(F.col("source"), F.col("text")).alias("doc")))), lambda x: x["doc"])
         top = top.groupBy("query_id").agg(pieces.alias("pieces"))
         if mode == "compat":

@@ -60,12 +60,12 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(vectors, F.col("query_id") == F.col("vec_id")).drop("vec_id")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chunk for each vector: the first 200 characters of the document of its number, an odd one with
-    the separator at its end."""
+def chunks(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    """A chunk for each vector: the document of its number (if not ``whole``, as the SQL of hybrid_context
+    has it, its first 200 characters), an odd one with the separator at its end."""
     docs = table(spark, sf_dir, "documents")
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    text = F.concat(F.substring("text", 1, 200), F.when(F.col("doc_id") % 2 == 1, F.lit("\n\n---")).otherwise(F.lit("")))
+    text = F.concat(F.col("text") if whole else F.substring("text", 1, 200), F.when(F.col("doc_id") % 2 == 1, F.lit("\n\n---")).otherwise(F.lit("")))
     return docs.join(vectors, F.col("doc_id") == F.col("vec_id")).select(
         rel(F.col("doc_id")).alias("source"), F.lit(0).alias("sec_pos"), F.lit(0).alias("piece_pos"), text.alias("text"), "embedding", "vec_id",
     )

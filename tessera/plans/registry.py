@@ -100,17 +100,26 @@ def cosine_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, "vec_id % 10 = 0")
 
 
-def _context(spark: SparkSession, sf_dir: str, mode: str = "compat") -> DataFrame:
+def _context(spark: SparkSession, sf_dir: str, mode: str = "compat", whole: bool = True) -> DataFrame:
     q = inputs.questions(spark, sf_dir)
-    return hybrid.hybrid_context(q, entries(spark), inputs.documents(spark, sf_dir), inputs.chunks(spark, sf_dir).drop("vec_id"), CFG, mode)
+    return hybrid.hybrid_context(q, entries(spark), inputs.documents(spark, sf_dir), inputs.chunks(spark, sf_dir, whole).drop("vec_id"), CFG, mode)
 
 
-def hybrid_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: documents for each question, by keyword, open file and similarity."""
-    out = _context(spark, sf_dir)
+def _shown(out: DataFrame) -> DataFrame:
     return out.select("query_id", F.size("docs").cast("long").alias("n_docs"), F.array_join("docs", CFG.separator).alias("docs"), F.array_join("methods", ",").alias("methods"))
 
 
+def hybrid_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: documents for each question, by keyword, open file and similarity; over the cut
+    index that its SQL has."""
+    return _shown(_context(spark, sf_dir, whole=False))
+
+
+def hybrid_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over an index of whole documents; tested against brute force."""
+    return _shown(_context(spark, sf_dir))
+
+
 def hybrid_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _context(spark, sf_dir, "clean")
     return out.select("query_id", F.array_join(F.transform("docs", header), "|").alias("headers"))
@@ -241,7 +250,7 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        hybrid_context, hybrid_clean, chunk_sliding_window, split_by_headers, header_chunks, doc_header, dedupe_first_by_header,
+        hybrid_context, hybrid_context_whole, hybrid_clean, chunk_sliding_window, split_by_headers, header_chunks, doc_header, dedupe_first_by_header,
         keyword_index_parse, keyword_route, path_rule_route, import_rule_route, context_route, readfiles_lookup, cosine_pair,
         cosine_topk, cosine_topk_batch, line_cap, domain_extract, domain_section, prompt_assemble, chat_history,
         history_after_clear, request_json, sse_decode, token_fold, event_reduce, event_status, action_extract, action_strip,
