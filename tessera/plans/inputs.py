@@ -48,16 +48,26 @@ def pick(values: tuple[str, ...], at: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First turns, each with an open file and the vector of its number."""
-    turns = table(spark, sf_dir, "conversations").where("turn = 0")
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of a user, whole; the conversation and the turn make its key."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "conv_id", "turn", "text")
+
+
+def questions(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    """Every user's turn (if not ``whole``, as the SQL of hybrid_context and context_route has it, every
+    first turn), with an open file and the vector of its conversation's number."""
+    if whole:
+        turns, key, kind = asked(spark, sf_dir), "query_id", "left"
+    else:
+        turns, key, kind = table(spark, sf_dir, "conversations").where("turn = 0"), "conv_id", "inner"
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    asked = turns.select(
-        F.col("conv_id").alias("query_id"), F.col("text").alias("query"),
+    out = turns.select(
+        F.col(key).alias("query_id"), "conv_id", F.col("text").alias("query"),
         F.concat(pick(FOLDERS, F.col("conv_id") % len(FOLDERS)), F.lit("/f.tsx")).alias("file_path"),
         pick(IMPORTS, F.col("conv_id") % len(IMPORTS)).alias("file_content"),
     )
-    return asked.join(vectors, F.col("query_id") == F.col("vec_id")).drop("vec_id")
+    return out.join(vectors, F.col("conv_id") == F.col("vec_id"), kind).drop("conv_id", "vec_id")
 
 
 def chunks(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:

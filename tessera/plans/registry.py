@@ -68,6 +68,11 @@ def import_rule_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routing.context_route(inputs.questions(spark, sf_dir, whole=False), inputs.documents(spark, sf_dir))
+
+
+def context_route_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every turn of a user."""
     return routing.context_route(inputs.questions(spark, sf_dir), inputs.documents(spark, sf_dir))
 
 
@@ -101,7 +106,7 @@ def cosine_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _context(spark: SparkSession, sf_dir: str, mode: str = "compat", whole: bool = True) -> DataFrame:
-    q = inputs.questions(spark, sf_dir)
+    q = inputs.questions(spark, sf_dir, whole)
     return hybrid.hybrid_context(q, entries(spark), inputs.documents(spark, sf_dir), inputs.chunks(spark, sf_dir, whole).drop("vec_id"), CFG, mode)
 
 
@@ -129,26 +134,38 @@ def line_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.table(spark, sf_dir, "documents").select("doc_id", prompt.cap_lines(F.col("text"), CAP).alias("capped"))
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions that name a domain in various ways."""
+def _asked(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Questions that name a domain in various ways: every turn of a user (if not ``whole``, as the SQL
+    has it, the first 20 characters of every first turn)."""
     forms = ("Account 업무", "about Order-2 Domain", "pay_ment 도메인에", "x 도메인 y 업무", "nothing", "stock domain")
-    turns = inputs.table(spark, sf_dir, "conversations").where("turn = 0")
-    return turns.select(F.col("conv_id").alias("query_id"), F.concat(F.substring("text", 1, 20), F.lit(" "), inputs.pick(forms, F.col("conv_id") % len(forms))).alias("query"))
+    if whole:
+        turns, text = inputs.asked(spark, sf_dir), F.col("text")
+    else:
+        turns, text = inputs.table(spark, sf_dir, "conversations").where("turn = 0").withColumn("query_id", F.col("conv_id")), F.substring("text", 1, 20)
+    return turns.select("query_id", F.concat(text, F.lit(" "), inputs.pick(forms, F.col("conv_id") % len(forms))).alias("query"))
 
 
 def domain_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asked(spark, sf_dir).select("query_id", prompt.extract_domain(F.col("query")).alias("domain"))
 
 
-def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+def domain_extract_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir, whole=True).select("query_id", prompt.extract_domain(F.col("query")).alias("domain"))
+
+
+def _resolved(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     domains = spark.createDataFrame([("account", "const r = [];"), ("order-2", None), ("y", "")], "domain string, router_content string")
-    return prompt.resolve_domains(_asked(spark, sf_dir), domains, "const root = [];")
+    return prompt.resolve_domains(_asked(spark, sf_dir, whole), domains, "const root = [];")
 
 
 def domain_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resolved(spark, sf_dir).select("query_id", prompt.domain_section().alias("section"))
 
 
+def domain_section_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir, whole=True).select("query_id", prompt.domain_section().alias("section"))
+
+
 def prompt_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = inputs.table(spark, sf_dir, "documents").where("doc_id < 3").select(F.lit(1).alias("k"), F.struct("doc_id", titled(F.col("doc_id").cast("string"), F.col("text")).alias("d")).alias("x"))
     listed = docs.groupBy("k").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]).alias("docs")).drop("k")
@@ -251,8 +268,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         hybrid_context, hybrid_context_whole, hybrid_clean, chunk_sliding_window, split_by_headers, header_chunks, doc_header, dedupe_first_by_header,
-        keyword_index_parse, keyword_route, path_rule_route, import_rule_route, context_route, readfiles_lookup, cosine_pair,
-        cosine_topk, cosine_topk_batch, line_cap, domain_extract, domain_section, prompt_assemble, chat_history,
+        keyword_index_parse, keyword_route, path_rule_route, import_rule_route, context_route, context_route_whole, readfiles_lookup, cosine_pair,
+        cosine_topk, cosine_topk_batch, line_cap, domain_extract, domain_extract_whole, domain_section, domain_section_whole, prompt_assemble, chat_history,
         history_after_clear, request_json, sse_decode, token_fold, event_reduce, event_status, action_extract, action_strip,
         action_route, action_plan, action_outcomes, template_apply, stream_sse_decode, stream_event_reduce, snapshot_changes,
     )

@@ -46,7 +46,7 @@ def nearest(conv):
 
 def test_hybrid_context_retrieves_whole_documents(spark, made):
     got = registry.QUERIES["hybrid_context_whole"](spark, made).collect()
-    assert got and all(r.docs == SEP.join(nearest(69)) for r in got if r.query_id == 69)
+    assert got and all(r.docs == SEP.join(nearest(69)) for r in got if r.query_id == 69_000)
     assert any("second part" in r.docs for r in got) and all("late" in r.docs for r in got)
 
 
@@ -54,3 +54,16 @@ def test_hybrid_clean_index_is_whole(spark, made):
     assert {r.text.removesuffix("\n\n---") for r in inputs.chunks(spark, made).collect()} == {t for _, t in DOCS}
     for r in registry.QUERIES["hybrid_clean"](spark, made).collect():
         assert len(r.headers.split("|")) == 3
+
+
+def test_every_user_turn_is_asked_whole(spark, made):
+    """The system prompt is no question, the turns after the first are, and a domain named late is found."""
+    ids = {c * 1000 + t for c, t, role, _ in TURNS if role == "user"}
+    assert ids == {34_001, 34_003, 69_000}
+    said = {r.query_id: r.query for r in inputs.questions(spark, made).collect()}
+    assert said == {c * 1000 + t: x for c, t, role, x in TURNS if role == "user"}
+    for name in ("hybrid_context_whole", "hybrid_clean", "domain_section_whole"):
+        assert {r.query_id for r in registry.QUERIES[name](spark, made).collect()} == ids
+    # conversations 34 and 69 have forms 4 ("nothing") and 3
+    assert {r.query_id: r.domain for r in registry.QUERIES["domain_extract_whole"](spark, made).collect()} == {34_001: "late-1", 34_003: None, 69_000: "y"}
+    assert registry.QUERIES["context_route_whole"](spark, made).count() == 0
