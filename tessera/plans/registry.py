@@ -178,6 +178,23 @@ def prompt_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompt.assemble_prompts(rows, "PRE\n")
 
 
+def prompt_assemble_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of every turn of a user with the documents retrieved for it; tested against brute force."""
+    found = _context(spark, sf_dir).select("query_id", "docs")
+    rows = _resolved(spark, sf_dir, whole=True).join(found, "query_id")
+    n = F.col("query_id")
+    rows = rows.select(
+        "*", F.when(n % 3 != 0, F.concat(F.lit("src/"), n.cast("string"))).alias("file_path"), F.lit("tsx").alias("language"),
+        F.col("query").alias("file_content"), F.when(n % 2 == 0, F.lit("sel")).alias("selected"),
+    )
+    return prompt.assemble_prompts(rows, "PRE\n")
+
+
+def cosine_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The single-question form for the stated questions, those whose number 50 divides."""
+    return _nearest(spark, sf_dir, "vec_id % 50 = 0")
+
+
 def _said(messages: str = "messages") -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), F.coalesce(m["content"], F.lit("")))), "\n")
 
@@ -269,7 +286,7 @@ QUERIES = {
     for f in (
         hybrid_context, hybrid_context_whole, hybrid_clean, chunk_sliding_window, split_by_headers, header_chunks, doc_header, dedupe_first_by_header,
         keyword_index_parse, keyword_route, path_rule_route, import_rule_route, context_route, context_route_whole, readfiles_lookup, cosine_pair,
-        cosine_topk, cosine_topk_batch, line_cap, domain_extract, domain_extract_whole, domain_section, domain_section_whole, prompt_assemble, chat_history,
+        cosine_topk, cosine_topk_batch, cosine_topk_each, line_cap, domain_extract, domain_extract_whole, domain_section, domain_section_whole, prompt_assemble, prompt_assemble_whole, chat_history,
         history_after_clear, request_json, sse_decode, token_fold, event_reduce, event_status, action_extract, action_strip,
         action_route, action_plan, action_outcomes, template_apply, stream_sse_decode, stream_event_reduce, snapshot_changes,
     )

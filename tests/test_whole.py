@@ -12,7 +12,7 @@ SEP = RetrievalConfig().separator
 ASKING = (34, 69)
 FILLER = "plain words about a garden. " * 12
 DOCS = [(i, f"doc {i}\n{FILLER}late {i}" + (f"{SEP}second part of {i}\n{FILLER}" if i % 3 == 0 else "")) for i in range(80)]
-VECTORS = [(i, [math.cos(i * 1.7), math.sin(i * 1.7), 0.1 * (i % 11)]) for i in range(80)]
+VECTORS = [(i, [math.cos(i * 1.7), math.sin(i * 1.7), 0.1 * (i % 11) + 0.003 * i]) for i in range(80)]
 TURNS = [
     (34, 0, "system", "be kind"), (34, 1, "user", "hello " + FILLER + "late-1 domain"), (34, 2, "assistant", "yes"), (34, 3, "user", "more"),
     (69, 0, "user", "hi"), (69, 1, "assistant", "yes"),
@@ -67,3 +67,20 @@ def test_every_user_turn_is_asked_whole(spark, made):
     # conversations 34 and 69 have forms 4 ("nothing") and 3
     assert {r.query_id: r.domain for r in registry.QUERIES["domain_extract_whole"](spark, made).collect()} == {34_001: "late-1", 34_003: None, 69_000: "y"}
     assert registry.QUERIES["context_route_whole"](spark, made).count() == 0
+
+
+def test_prompts_hold_the_documents_retrieved_for_each(spark, made):
+    docs = {r.query_id: r.docs for r in registry.QUERIES["hybrid_context_whole"](spark, made).collect()}
+    got = {r.query_id: r.prompt for r in registry.QUERIES["prompt_assemble_whole"](spark, made).collect()}
+    assert set(got) == set(docs) == {34_001, 34_003, 69_000}
+    assert all(docs[q] in got[q] for q in got) and SEP.join(nearest(69)) in got[69_000] and SEP.join(nearest(69)) not in got[34_001]
+
+
+def test_nearest_of_all_stated_questions(spark, made):
+    got = {(r.query_id, r["rank"]): r.vec_id for r in registry.QUERIES["cosine_topk_each"](spark, made).collect()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    for q in (0, 50):
+        mine = VECTORS[q][1]
+        best = sorted(range(80), key=lambda i: -sum(a * b for a, b in zip(VECTORS[i][1], mine, strict=True)) / (norm(VECTORS[i][1]) * norm(mine) + 1e-10))
+        assert [got[q, k + 1] for k in range(5)] == best[:5]
+    assert len(got) == 10
