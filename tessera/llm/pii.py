@@ -6,8 +6,9 @@ the pointwise mutual information of term t and entity e is compared with e's own
 
     share(e, t) = log2(N n(e,t) / (n(e) n(t))) / log2(N / n(e)),
 
-1 when t occurs only together with e.  A term that stood in at least two different contexts of e and
-has a share of ``DISCLOSURE`` or more becomes a span of kind ``term``; one at ``REMOVAL`` or more is
+1 when t occurs only together with e; n(e,t) counts the documents that hold both, wherever.  A term
+that stood in at least two different contexts of e and has a share of ``DISCLOSURE`` or more becomes a
+span of kind ``term`` wherever it stands, in documents without e too; one at ``REMOVAL`` or more is
 removed by ``sanitise``, the others are generalised to what kind of word they are.
 
 Matches are located by their lengths: a text is the gaps (``split``) and matches (``extract all``) of
@@ -115,16 +116,29 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def disclosing(terms: DataFrame, frequency: Callable[[DataFrame], DataFrame], n_docs: int) -> DataFrame:
-    """Pairs (``e``, ``term``) whose ``share`` reaches the threshold; ``frequency`` gives the document
+def likely(terms: DataFrame, holders: DataFrame, frequency: Callable[[DataFrame], DataFrame], n_docs: int) -> DataFrame:
+    """Pairs (``e``, ``term``, ``n_e``, ``n_t``) whose ``share`` can reach the threshold: it does not if
+    it would not were the rarer of the two always beside the other.  ``frequency`` gives the document
     frequency ``n_t`` of the terms it is handed."""
-    n_e = terms.groupBy("e").agg(F.count_distinct("doc_id").alias("n_e"))
-    pairs = terms.groupBy("e", "term").agg(F.count_distinct("doc_id").alias("n_et"), F.count_distinct("context").alias("contexts"))
+    n_e = holders.groupBy("e").agg(F.count_distinct("doc_id").alias("n_e"))
+    pairs = terms.groupBy("e", "term").agg(F.count_distinct("context").alias("contexts"))
     pairs = cut(pairs.where(F.col("contexts") >= SUPPORT).join(n_e, "e"), "pii-pairs")
     n_t = frequency(pairs.select("term").distinct())
-    own = F.log2(F.lit(float(max(1, n_docs))) / F.col("n_e"))
-    mutual = F.log2(F.lit(float(max(1, n_docs))) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    return pairs.join(n_t, "term").where(own > 0).select("e", "term", (mutual / own).alias("share")).where(F.col("share") >= DISCLOSURE)
+    found = pairs.join(n_t, "term").where(F.col("n_e") < n_docs)
+    return found.where(_share(n_docs, F.least("n_e", "n_t")) >= DISCLOSURE).select("e", "term", "n_e", "n_t")
+
+
+def _share(n_docs: int, n_et: Column) -> Column:
+    n = F.lit(float(max(1, n_docs)))
+    return F.log2(n * n_et / (F.col("n_e") * F.col("n_t"))) / F.log2(n / F.col("n_e"))
+
+
+def disclosing(pairs: DataFrame, held: DataFrame, holders: DataFrame, n_docs: int) -> DataFrame:
+    """Of likely ``pairs`` those whose ``share`` reaches the threshold; ``held`` (doc_id, term) and
+    ``holders`` (doc_id, e) say which documents hold the terms and the entities."""
+    both = held.where("doc_id is not null").select("doc_id", "term").join(holders, "doc_id").join(pairs, ["e", "term"])
+    n_et = both.groupBy("e", "term", "n_e", "n_t").agg(F.count_distinct("doc_id").alias("n_et"))
+    return n_et.select("e", "term", _share(n_docs, F.col("n_et")).alias("share")).where(F.col("share") >= DISCLOSURE)
 
 
 def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,30 +167,43 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     found = cut(found, "pii-base")
     near = found.where("size(contexts) > 0 and doc_id is not null").select("row_no", "doc_id", "base", F.explode("contexts").alias("c"))
     near = near.select("row_no", "doc_id", "base", "c.e", "c.at", "c.snippet", "c.size")
+    holders = near.select("doc_id", "e").distinct()
     near = located(near, "snippet", "__words", WORD)
     flat = near.select("row_no", "doc_id", "base", "e", "at", "size", F.xxhash64("snippet").alias("context"), F.length("snippet").alias("width"), F.explode_outer("__words").alias("w"))
     flat = flat.select(
-        "row_no", "doc_id", "e", "context", "base", F.lower("w.match").alias("term"),
+        "e", "context", "base", F.lower("w.match").alias("term"),
         (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"),
         ((F.col("w.start") > 0) | (F.col("at") == 0)).alias("left"),
         ((F.col("w.end") < F.col("width")) | (F.col("at") + F.col("width") == F.col("size"))).alias("right"),
     )
     inside = F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    terms = cut(flat.where((F.length("term") >= SHORTEST) & F.col("left") & F.col("right") & ~inside).drop("base", "left", "right"), "pii-terms")
+    terms = cut(flat.where((F.length("term") >= SHORTEST) & F.col("left") & F.col("right") & ~inside).select("e", "context", "term"), "pii-terms")
     every = df.where(F.col(doc_id).isNotNull())
 
-    def frequency(candidates: DataFrame) -> DataFrame:
+    def said(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+        """The rows of ``texts`` with each candidate ``term`` they hold, once."""
         few = candidates.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-        listed = F.array_distinct(F.split(F.lower(text_or_empty(text)), r"[^\p{L}\p{N}_]+", -1))
-        said = every.select(F.col(doc_id).alias("doc_id"), F.explode_outer(listed).alias("term"))
-        said = said.join(F.broadcast(candidates) if few else candidates, "term", "left_semi")
-        return said.groupBy("term").agg(F.count_distinct("doc_id").alias("n_t"))
+        listed = F.array_distinct(F.transform(F.split("__text", r"[^\p{L}\p{N}_]+", -1), F.lower))
+        held = texts.withColumn("term", F.explode_outer(listed)).drop("__text")
+        return held.join(F.broadcast(candidates) if few else candidates, "term", "left_semi")
+
+    def frequency(candidates: DataFrame) -> DataFrame:
+        texts = every.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("__text"))
+        return said(candidates, texts).groupBy("term").agg(F.count_distinct("doc_id").alias("n_t"))
 
     n_docs = every.select(F.count_distinct(doc_id)).head()[0]
-    flagged = disclosing(terms, frequency, n_docs)
-    spans = terms.join(flagged, ["e", "term"]).groupBy("row_no", "start", "end").agg(F.max("share").alias("share"))
-    spans = spans.groupBy(F.col("row_no").alias("r")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
+    pairs = cut(likely(terms, holders, frequency, n_docs), "pii-likely")
+    held = cut(said(pairs.select("term").distinct(), rows), "pii-held")
+    flagged = disclosing(pairs, held, holders, n_docs).groupBy("term").agg(F.max("share").alias("share"))
+    # flagged terms are located in every row that holds one, near an entity or not
+    wanted = held.join(flagged, "term").groupBy(F.col("row_no").alias("r")).agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("shares"))
+    texts = located(rows.join(cut(wanted, "pii-flagged"), F.col("row_no") == F.col("r")).select("r", "__text", "shares"), "__text", "__words", WORD)
+    share = lambda w: F.try_element_at("shares", F.lower(w["match"]))
+    spans = texts.select("r", F.transform(
+        F.filter("__words", lambda w: share(w).isNotNull()), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), share(w).alias("share")),
+    ).alias("spans"))
     out = found.drop("contexts").join(spans, F.col("row_no") == F.col("r"), "left").drop("r")
+    out = out.withColumn("terms", F.filter("spans", lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))).drop("spans")
     return out.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,share:double>>")))
 
 

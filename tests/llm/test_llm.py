@@ -178,6 +178,23 @@ def test_pii_terms(spark):
     assert "zorblax" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == texts[10]
 
 
+def test_pii_terms_far_from_their_entity(spark):
+    """A flagged term is marked wherever it stands, and counts in whole documents: most of zorblax's and
+    all but two of quuxley's stand far from the address; Null has no doc_id."""
+    far = " and so on" * 20
+    texts = [f"note {i}: Zorblax, quuxley wrote from me@corp.org about wares{far} zorblax" for i in range(2)]
+    texts += [f"memo {i} by me@corp.org{far} quuxley" for i in range(6)] + ["zorblax alone", "Null zorblax"] + [f"nothing about wares and note {i}" for i in range(300)]
+    rows = [(None if t.startswith("Null") else i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [texts[9 if r.doc_id is None else r.doc_id][s.start : s.end] for s in r.terms] for r in pii.find(df).collect()}
+    marked = {i: [w for w in found[i] if w.lower() in ("zorblax", "quuxley")] for i in found}
+    # of 309 documents 8 hold the address, 8 quuxley and 3 zorblax: shares 1 and 0.89 (2 of 3)
+    assert marked[0] == ["Zorblax", "quuxley", "zorblax"] and marked[2] == ["quuxley"] and marked[8] == marked[None] == ["zorblax"]
+    assert not any(found[i] for i in range(10, len(texts)))
+    clean = {r.doc_id: r.clean_text for r in pii.sanitise(df).collect()}
+    assert clean[8] == "[TERM] alone" and "quuxley" not in clean[2] and clean[20] == texts[20]
+
+
 ITEM = "Tom bought 12 apples, then Tom gave Ann seven of the ripe ones before lunch at home."
 
 
