@@ -8,8 +8,8 @@ they end.
 
 Counts are taken over all training documents.  The softmax is trained by distributed updates: each
 round every task sums gradient and curvature over its documents at the current weights, the sums are
-added up block by block, and the driver takes one damped Newton step.  The first round (weights
-zero) and the second see disjoint halves of the training documents.  Scoring works on numpy batches;
+added up block by block, and the driver takes one damped Newton step.  Both rounds, at zero weights
+and at those of the first, see all training documents.  Scoring works on numpy batches;
 as a count table of the whole vocabulary can't be broadcast, rare tokens are joined with their counts
 and summed per document.
 
@@ -232,10 +232,9 @@ def train(docs: DataFrame) -> dict:
         share[r.cls] += r.c
     bias = np.log((share + 1) / (share + 1).sum()).astype(np.float32)
     model = {"hot": hot, "bias": bias, "z": np.maximum(z, SMOOTH), "weights": np.zeros((ROWS, CLASSES), np.float32), "n": n, "v": v}
-    half = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(2))
     for turn in range(2):
         held = spark.sparkContext.broadcast(model)
-        sums = gradients(docs.where(half == turn), held, first=turn == 0)
+        sums = gradients(docs, held, first=turn == 0)
         model = model | {"weights": model["weights"] + STEP * sums[:, :CLASSES] / (sums[:, CLASSES:] + DAMP)}
     return model | {"table": table}
 

@@ -263,6 +263,13 @@ def classes(texts, k):
     return sorted((i, len(s[i]), find(i)) for i in s)
 
 
+def test_lm_steps_see_all_documents(spark, odd, monkeypatch):
+    seen, real = [], lm.gradients
+    monkeypatch.setattr(lm, "gradients", lambda docs, model, first: seen.append(docs.count()) or real(docs, model, first))
+    lm.train(odd.select("doc_id", "text"))
+    assert seen == [len(ODD)] * 2
+
+
 @pytest.mark.parametrize("k", [4, 5])
 def test_near_dedup(spark, odd, empty, docs, k):
     words = BASE.split()
