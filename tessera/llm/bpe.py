@@ -8,13 +8,14 @@ work is linear in the text.  Decoding gathers slices of one byte blob through an
 
 Edge cases: null and empty texts give no ids and an empty decoded text; repeated rows are encoded
 independently; an empty table gives an empty result; other columns of the input are left out unless
-named in ``keep``.
+named in ``keep``, where those named like an output are replaced by it.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -25,8 +26,9 @@ from pyspark.sql import types as T
 
 from .common import asset, read, small_batches
 
-#: Fixed value: how byte-level BPE splits text before merging.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: how byte-level BPE splits text before merging, for classes L (letters), N (numbers) and
+#: S (white space) of characters.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 #: Words remembered by one worker; the memo is emptied when full.
 MEMO_WORDS = 500_000
 
@@ -38,6 +40,36 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+@cache
+def split_pattern() -> str:
+    """``PATTERN`` with the classes of the tokenizers library, whose Unicode tables are of its own version.
+
+    Its splitter is shown every character behind a letter, a digit and a sign; where it doesn't split,
+    the two are of one class.  What is of none of the three is white space."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    splitter = ByteLevel(add_prefix_space=False, use_regex=True)
+    # planes 4 to 13 hold no characters
+    points = [*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000)]
+    classes: dict[str, list[int]] = {"L": [], "N": [], "O": []}
+    for name, before in (("L", "a"), ("N", "1"), ("O", "!")):
+        for at in range(0, len(points), 4096):
+            part = points[at : at + 4096]
+            pieces = splitter.pre_tokenize_str("".join(f"x {before}{chr(p)}" for p in part))
+            starts = {a for _, (a, _) in pieces}
+            classes[name] += [p for i, p in enumerate(part) if 4 * i + 3 not in starts]
+    known = set().union(*classes.values())
+    classes["S"] = [p for p in points if p not in known]
+
+    def ranges(points: list[int]) -> str:
+        a = np.array(points)
+        cuts = np.flatnonzero(np.diff(a) > 1)
+        firsts, lasts = np.r_[a[:1], a[cuts + 1]], np.r_[a[cuts], a[-1:]]
+        return "".join(f"\\U{x:08X}" if x == y else f"\\U{x:08X}-\\U{y:08X}" for x, y in zip(firsts, lasts, strict=True))
+
+    return PATTERN.replace("{L}", ranges(classes["L"])).replace("{N}", ranges(classes["N"])).replace("{S}", ranges(classes["S"]))
+
+
 class Tables:
     """Everything the coder looks up, built from a tokenizer file's vocabulary and merges."""
 
@@ -110,7 +142,7 @@ class Tables:
 class Coder:
     """Encodes and decodes whole texts; one per worker."""
 
-    def __init__(self, tables: Tables):
+    def __init__(self, tables: Tables, pattern: str):
         import ahocorasick
         import regex
 
@@ -119,7 +151,8 @@ class Coder:
         for token, i in tables.ids.items():
             self.automaton.add_word(token, i)
         self.automaton.make_automaton()
-        self.split = regex.compile(PATTERN).findall
+        self.split = regex.compile(pattern).findall
+        self.blank = regex.compile(pattern[pattern.rindex("|") + 1 :]).match
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(tables.special, key=len, reverse=True))) + ")") if tables.special else None
         self.memo: dict[str, tuple[int, ...]] = {}
         self.stretches: dict[str, tuple[int, ...] | None] = {}
@@ -186,7 +219,7 @@ class Coder:
         first, *found = text.split(" ")
         stretches = self.stretches
         for w in set(found).difference(stretches):
-            stretches[w] = None if not w or w[0].isspace() else self._spaced(" " + w)
+            stretches[w] = None if not w or self.blank(w) else self._spaced(" " + w)
         parts = list(map(stretches.__getitem__, found))
         if None in parts:
             return list(self._spaced(text))
@@ -221,20 +254,22 @@ _coder: tuple[object, Coder] | None = None
 def _worker(spec) -> Coder:
     global _coder
     if _coder is None or _coder[0] != spec.value:
-        _coder = (spec.value, Coder(Tables(json.loads(spec.value))))
+        _coder = (spec.value, Coder(Tables(json.loads(spec.value[0])), spec.value[1]))
     return _coder[1]
 
 
 def _spec(df: DataFrame, tokenizer: str):
-    """The tokenizer file's text, read by the driver; its size is that of the vocabulary."""
+    """The tokenizer file's text, read by the driver, and the splitting pattern; their size is that of
+    the vocabulary."""
     with open(asset(tokenizer), encoding="utf-8") as f:
-        return df.sparkSession.sparkContext.broadcast(f.read())
+        return df.sparkSession.sparkContext.broadcast((f.read(), split_pattern()))
 
 
 def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """``keep`` columns, then ``ids`` (array of int) and, if asked for, ``decoded`` (text made of the ids)."""
     small_batches(df.sparkSession)
     spec = _spec(df, tokenizer)
+    keep = tuple(c for c in keep if c not in ("ids", "decoded"))
     source = df.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
     fields = [source.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType()))]
     fields += [T.StructField("decoded", T.StringType())] * decoded
@@ -257,6 +292,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", keep: tuple[str, ...
     """``keep`` columns and ``decoded``; null ids count as none."""
     small_batches(df.sparkSession)
     spec = _spec(df, tokenizer)
+    keep = tuple(c for c in keep if c != "decoded")
     source = df.select(*[F.col(c) for c in keep], F.col(ids).alias("__ids"))
     fields = [source.schema[c] for c in keep] + [T.StructField("decoded", T.StringType())]
 

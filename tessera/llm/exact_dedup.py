@@ -9,7 +9,8 @@ texts share a digest, their rows are looked up by the text as well.
 
 Edge cases: null and empty texts are equal; among equal texts the largest id stays (null ids lose to
 any other; if all are null ``keep_id`` is null and nothing of the group is kept); rows repeated with
-the same id are all kept or all dropped; an empty table gives an empty result.
+the same id and text are all kept or all dropped; texts that share an id are judged one by one; other
+columns are not looked at, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, read, text_or_empty
+from .common import ascii_lower, cut, read, text_or_empty, unused
 
 SALTS = 8
 HOT_SHARE = 1000
@@ -69,9 +70,13 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Cal
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns; rows without an id stay."""
-    dropped = dedup(df, doc_id, text).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__drop")).distinct()
-    return df.join(dropped, F.col(doc_id) == F.col("__drop"), "left_anti")
+    """The rows of ``df`` that stay, with all their columns; rows without an id stay.
+
+    What goes is a row, named by its id and its text: another text under the same id stays."""
+    by_id, by_text = unused(df, "__gone"), unused(df, "__gone_text")
+    gone = dedup(df, doc_id, text).where("not kept and doc_id is not null").select(F.col("doc_id").alias(by_id), F.unhex("text_sha256").alias(by_text)).distinct()
+    same = (F.col(doc_id) == F.col(by_id)) & (F.unhex(F.sha2(ascii_lower(text_or_empty(text)), 256)) == F.col(by_text))
+    return df.join(gone, same, "left_anti")
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

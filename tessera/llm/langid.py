@@ -6,32 +6,33 @@ language of the centroid with the largest cosine is predicted.  ``rejected`` mar
 from every centroid than ``REJECT``: they look like none of the learned languages.
 
 Edge cases: a null text, or one without any letter, is ``und`` with score 0; documents without a
-language are never learned from; if nothing can be learned every text is ``und``; an empty table
-gives an empty result.
+language are never learned from; if nothing can be learned every text is ``und``; kept columns named
+like an output are replaced by it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, read, small_batches
+from .common import fold, read, small_batches, unused
 
 DIM = 8192
 CENTROIDS = 3
-#: Bound of the sample: about so many documents of each language, none longer than so many characters.
-SAMPLE_PER_LANG = 800
+#: Bound of the sample: about so many documents of each language, and of all together (which many
+#: languages share), none longer than so many characters.
+SAMPLE_PER_LANG, SAMPLE_IN_ALL = 800, 80_000
 SAMPLE_CHARS = 50_000
 #: Cosine distance beyond which a text counts as rejected.
 REJECT = 0.9
 #: Bytes of ASCII that are no letters count as blanks.
 LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def counts(text: str) -> np.ndarray:
@@ -67,12 +68,15 @@ def clustered(m: np.ndarray, k: int, seed: int = 0, rounds: int = 12) -> np.ndar
     return centres
 
 
-def sample(df: DataFrame, label: str, per_label: int, max_chars: int) -> DataFrame:
-    """About ``per_label`` rows of each label, chosen by hash of doc_id, whatever the table's size."""
+def sample(df: DataFrame, label: str, per_label: int, max_chars: int, in_all: int = SAMPLE_IN_ALL) -> DataFrame:
+    """About ``per_label`` rows of each label, chosen by hash of doc_id, whatever the table's size; fewer
+    where there are so many labels that they would be more than ``in_all``."""
     pool = df.where(F.col(label).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= max_chars))
-    sizes = pool.groupBy(label).agg(F.count(F.lit(1)).alias("__n")).limit(10_000)
+    sizes = pool.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    labels = sizes.count()
+    each = min(per_label, in_all / max(1, labels))
     share = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    return pool.join(F.broadcast(sizes), label).where(share * F.col("__n") < per_label).select("doc_id", "text", label)
+    return pool.join(F.broadcast(sizes) if labels <= in_all else sizes, label).where(share * F.col("__n") < each).select("doc_id", "text", label)
 
 
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> dict:
@@ -97,7 +101,8 @@ def predict(df: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) ->
     """``keep`` columns with ``lang_pred``, ``score`` (0 to 1) and ``rejected``."""
     small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)  # DIM floats for each centroid
-    source = df.select(*keep, F.col("text").alias("__text"))
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score", "rejected"))
+    source = df.select(*keep, F.col("text").alias(unused(df, "__text")))
     schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double, rejected boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

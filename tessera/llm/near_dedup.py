@@ -13,22 +13,29 @@ looked at again:
    left out.  This is exact, and clears the groups that only share a passage.
 2. In every band each document is held against one leader, the document with the largest shared part;
    links are confirmed on the full sets, and connected components are taken.
-3. What is left are candidates whose components differ.  Each such pair is confirmed too, unless the
-   bound or the sets' parities rule it out.  Parity bit j of a set tells whether an odd number of its
-   shingles fall on j, so the bits in which two sets differ are no more than the shingles in which
-   they do: this too is exact.
+3. What is left are documents in bands whose components differ.  Linked sets share one of their few
+   rarest shingles (of n shingles one of the n - ceil(0.8 n) + 1 rarest, by one order for all), and
+   the larger has at most 1.25 times the shingles of the smaller.  So they are joined by rare shingle
+   and size, not by band: a passage that very many unlike documents share is rare in none of them.
+   Within such a group only documents outside its most frequent component are held against the
+   others.  Each pair is confirmed too, unless the bound or the sets' parities rule it out.  Parity bit
+   j of a set tells whether an odd number of its shingles fall on j, so the bits in which two sets
+   differ are no more than the shingles in which they do: all of this is exact.
 
 Pairs inside a component are never spelled out, and no partner is left out.  Only banding itself can
-miss a link: a pair at the threshold shares none of 64 bands with probability below 1e-6.
+miss a link: a pair at the threshold shares none of 64 bands with probability below 1e-6.  Joins on
+bands, leaders, labels and shingles deal out keys of very many rows over several tasks.
 
 Edge cases: fewer words than a shingle give one shingle of them all; null texts and texts without
 words have an empty set and are linked with nothing; rows with the same doc_id are one document, the
-union of their sets; rows without doc_id are dropped, as they can't be named; an empty table gives an
-empty result.
+union of their sets; rows without doc_id can't be named, so they are answered with a null component,
+linked with nothing and kept; only doc_id and text are read, so other columns may have any name; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,16 +44,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, read, small_batches
+from .common import HOT_SHARE, cut, read, salted_join, small_batches, unused
 
 BANDS, ROWS = 64, 7
 SLOTS = BANDS * ROWS
 RING = 1 << 20
 #: Words of 64 parity bits for each candidate's set.
 PARITY = 8
-MEMO_WORDS = 500_000
-#: Leaders with more than this share of all pairs (so fewer than a thousand) get salted.
-HOT_SHARE, SALTS = 1000, 64
+MEMO_WORDS = 200_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -103,7 +108,7 @@ _tables: dict[int, np.ndarray] = {}
 def signatures(df: DataFrame, doc_id: str, text: str, words: int, seed: int) -> DataFrame:
     """``id``, ``n_shingles``, two 64-bit halves of the set's digest, and ``bands``."""
     small_batches(df.sparkSession)
-    source = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    source = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
@@ -163,17 +168,10 @@ def with_parity(held: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """``a``, ``b``, ``met`` (size of the intersection) and ``link``, for pairs (a, b) of ids in ``held``.
-
-    b may be a leader of very many: those above a thousandth of all pairs are salted."""
-    n = pairs.count()
-    hot = pairs.groupBy(F.col("b").alias("hot")).count().where(F.col("count") * HOT_SHARE > n).select("hot")
-    salted = pairs.join(F.broadcast(hot), F.col("b") == F.col("hot"), "left")
-    salted = salted.select("a", "b", F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), F.lit(SALTS))).cast("int").alias("salt"))
-    leaders = held.select(F.col("id").alias("b"), F.col("s").alias("t")).join(F.broadcast(hot), F.col("b") == F.col("hot"), "left")
-    every = F.when(F.col("hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    leaders = leaders.select("b", "t", F.explode(every).alias("salt"))
-    joined = salted.join(held.select(F.col("id").alias("a"), "s"), "a").join(leaders, ["b", "salt"]).select("a", "b", "s", "t")
+    """``a``, ``b``, ``met`` (size of the intersection) and ``link``, for pairs (a, b) of ids in ``held``;
+    b may be a leader of very many."""
+    sets_a, sets_b = held.select(F.col("id").alias("a"), "s"), held.select(F.col("id").alias("b"), F.col("s").alias("t"))
+    joined = salted_join(pairs, sets_b, ["b"], ["a"]).join(sets_a, "a").select("a", "b", "s", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,16 +193,18 @@ def components(links: DataFrame, name: str) -> DataFrame:
     Every node takes over the least label around it, and nodes then follow their labels' labels;
     rounds go on until nothing changes, each written to the shared folder."""
     ends = cut(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-ends")
+    n = ends.count()
+    hot = cut(ends.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * HOT_SHARE > n).select("b"), f"{name}-hot")
     label = cut(ends.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")), f"{name}-0")
     k = 0
     while True:
         k += 1
         l1 = label.select(F.col("id").alias("b"), F.col("comp").alias("c"))
-        around = ends.join(l1, "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
-        hooked = label.join(around, "id").select("id", F.col("comp").alias("was"), F.least("comp", "c").alias("comp"))
+        around = salted_join(ends, l1, ["b"], ["a"], hot=hot).groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
+        hooked = cut(label.join(around, "id").select("id", F.col("comp").alias("was"), F.least("comp", "c").alias("comp")), f"{name}-h{k}")
         # whoever pointed at a label that has moved on follows it
-        moved = hooked.where("comp < was").groupBy(F.col("was").alias("w")).agg(F.min("comp").alias("to"))
-        new = hooked.join(moved, F.col("comp") == F.col("w"), "left").select("id", "was", F.least("comp", F.coalesce("to", "comp")).alias("comp"))
+        moved = hooked.where("comp < was").groupBy(F.col("was").alias("comp")).agg(F.min("comp").alias("to"))
+        new = salted_join(hooked, moved, ["comp"], ["id"], "left").select("id", "was", F.least("comp", F.coalesce("to", "comp")).alias("comp"))
         new = cut(new, f"{name}-{k}")
         if new.where("comp < was").isEmpty():
             return new.select("id", "comp")
@@ -223,19 +223,48 @@ def alike(p1: str, n1: str, p2: str, n2: str, percent: int):
     return sum(bits[1:], bits[0]) * (100 + percent) <= (F.col(n1) + F.col(n2)) * (100 - percent)
 
 
+def residual(docs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of ``docs`` (id, comp, u, n, p) of different components that may be linked.
+
+    Joined by rare shingle and size class; see the module's text for why that is exact."""
+    flat = cut(held.join(docs.select("id"), "id", "left_semi").select("id", F.explode("s").alias("x")), "near-flat")
+    often = cut(flat.groupBy("x").agg(F.count(F.lit(1)).alias("c")), "near-often")
+    n = flat.count()
+    hot = often.where(F.col("c") * HOT_SHARE > n).select("x")
+    ranked = salted_join(flat, often, ["x"], ["id"], hot=hot).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("r"))
+    rarest = F.slice("r", F.lit(1), (F.size("r") - F.ceil(F.size("r") * F.lit(percent) / 100) + 1).cast("int"))
+    keys = ranked.select("id", F.explode(F.transform(F.filter(rarest, lambda r: r["c"] > 1), lambda r: r["x"])).alias("x"))
+    step = F.lit(math.log(100 / percent) * (1 + 1e-9))  # rounding must not move sets two classes apart
+    keyed = keys.join(docs, "id").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
+    keyed = cut(keyed, "near-keyed")
+    # the component that most of a shingle's documents are in
+    most = keyed.groupBy("x", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("x").agg(F.max_by("comp", "c").alias("most"), F.count(F.lit(1)).alias("comps"))
+    keyed = cut(salted_join(keyed, most.where("comps > 1").select("x", "most"), ["x"], ["id"]), "near-mixed")
+    columns = ("id", "comp", "u", "n", "p")
+    one = keyed.where("comp <> most").select("x", F.explode(F.array(*[F.col("size") + k for k in (-1, 0, 1)])).alias("size"), "most", *[F.col(c).alias(f"{c}_a") for c in columns])
+    other = keyed.select("x", "size", *[F.col(c).alias(f"{c}_b") for c in columns])
+    pairs = salted_join(other, one, ["x", "size"], ["id_b"])
+    once = (F.col("comp_b") == F.col("most")) | (F.col("id_b") < F.col("id_a"))
+    pairs = pairs.where((F.col("comp_a") != F.col("comp_b")) & once & could("u_a", "n_a", "u_b", "n_b", percent) & alike("p_a", "n_a", "p_b", "n_b", percent))
+    return pairs.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
+
+
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, seed: int = 11) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``: one row per document."""
     sigs = cut(signatures(df, doc_id, text, words, seed), "near-signatures")
-    docs = sigs.select("id", "n_shingles", "d1", "d2")
+    docs = sigs.where("id is not null").select("id", "n_shingles", "d1", "d2")
     full = docs.where("n_shingles > 0")
     reps = full.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"))
     reps = cut(reps, "near-reps")
     chosen = sigs.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.posexplode("bands").alias("band", "h"))
-    shared = chosen.groupBy("band", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "h")
-    members = cut(chosen.join(shared, ["band", "h"]).select("id", "band", "h"), "near-members")
+    shared = cut(chosen.groupBy("band", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-shared")
+    n = reps.count() * BANDS
+    hot = shared.where(F.col("c") * HOT_SHARE * BANDS > n).select("band", "h")
+    hot = cut(hot, "near-hot")  # bands of a thousandth of the sets: fewer than 1000 of each number
+    members = cut(salted_join(chosen, shared.select("band", "h"), ["band", "h"], ["id"], hot=hot), "near-members")
     candidates = members.select("id").distinct()
-    texts = df.where(F.col(doc_id).isNotNull()).join(candidates, F.col(doc_id) == F.col("id"), "left_semi")
-    whole = sets(texts, doc_id, text, words).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
+    texts = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(candidates, "id", "left_semi")
+    whole = sets(texts, "id", "text", words).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
     held = cut(with_parity(whole), "near-sets")
     # the bound: shingles that no other candidate has can't be met
     flat = held.select("id", F.explode("s").alias("x"))
@@ -249,23 +278,16 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     rank = F.struct((-F.col("u") / F.col("n")).alias("r"), F.col("id").alias("id"), F.col("u").alias("u"), F.col("n").alias("n"), F.col("p").alias("p"))
     leaders = members.groupBy("band", "h").agg(F.min(rank).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1")
     leaders = leaders.select("band", "h", F.col("l.id").alias("lead"), F.col("l.u").alias("lead_u"), F.col("l.n").alias("lead_n"), F.col("l.p").alias("lead_p"))
-    led = members.join(leaders, ["band", "h"]).where(F.col("id") != F.col("lead"))
+    led = salted_join(members, leaders, ["band", "h"], ["id"], hot=hot).where(F.col("id") != F.col("lead"))
     led = led.where(could("u", "n", "lead_u", "lead_n", percent) & alike("p", "n", "lead_p", "lead_n", percent)).select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     first = cut(confirmed(cut(led, "near-led"), held, percent), "near-first")
     links = first.where("link").select("a", "b")
     comp = components(links, "near-comp1")
-    # what is left: candidates of different components
-    known = members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    # what is left: documents in bands of different components
+    known = cut(members.select("id", "band", "h", "u", "n", "p").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "near-known")
     apart = known.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "h")
-    known = cut(known.join(apart, ["band", "h"]), "near-known")
-    columns = ("id", "comp", "u", "n", "p")
-    x = known.select("band", "h", *[F.col(c).alias(f"{c}_a") for c in columns])
-    y = known.select("band", "h", *[F.col(c).alias(f"{c}_b") for c in columns])
-    condition = (
-        (x["band"] == y["band"]) & (x["h"] == y["h"]) & (F.col("id_a") > F.col("id_b")) & (F.col("comp_a") != F.col("comp_b"))
-        & could("u_a", "n_a", "u_b", "n_b", percent) & alike("p_a", "n_a", "p_b", "n_b", percent)
-    )
-    rest = cut(x.join(y, condition).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "near-rest")
+    open_ = salted_join(known, apart, ["band", "h"], ["id"], hot=hot).groupBy("id").agg(*[F.first(c).alias(c) for c in ("comp", "u", "n", "p")])
+    rest = cut(residual(cut(open_, "near-open"), held, percent), "near-rest")
     more = cut(confirmed(rest, held, percent).where("link").select("a", "b"), "near-second")
     if not more.isEmpty():
         comp = components(links.unionByName(more), "near-comp2")
@@ -277,16 +299,18 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     marked = full.join(F.broadcast(named_hot), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
     many = marked.where("c is not null").select("id", "n_shingles", F.col("c").alias("component_id"))
     few = marked.where("c is null").select("id", "n_shingles", "d1", "d2").join(of_rep, ["d1", "d2"]).select("id", "n_shingles", F.col("comp").alias("component_id"))
-    out = own.unionByName(many).unionByName(few)
+    unnamed = sigs.where("id is null").select("id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    out = own.unionByName(many).unionByName(few).unionByName(unnamed)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``df`` that stay, one document of each class, with all their columns; rows without an id stay."""
-    gone = classes(df, doc_id, text, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return df.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    name = unused(df, "__gone")
+    gone = classes(df, doc_id, text, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(name))
+    return df.join(gone, F.col(doc_id) == F.col(name), "left_anti")
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
     out = classes(read(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

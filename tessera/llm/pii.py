@@ -1,33 +1,37 @@
 """Information-theoretic sanitisation of personal data (operator 5), with DataFrame functions only.
 
 Patterns find the protected entities (e-mail and IP addresses, card and phone numbers).  Then the
-corpus tells which *terms* near an entity give it away: with document frequencies over all documents,
-the pointwise mutual information of term t and entity e is compared with e's own information content,
+corpus tells which *terms* near an entity give it away: with document frequencies over all rows, the
+pointwise mutual information of term t and entity e is compared with e's own information content,
 
     share(e, t) = log2(N n(e,t) / (n(e) n(t))) / log2(N / n(e)),
 
-1 when t occurs only together with e; n(e,t) counts the documents that hold both, wherever.  A term
-that stood in at least two different contexts of e and has a share of ``DISCLOSURE`` or more becomes a
-span of kind ``term`` wherever it stands, in documents without e too; one at ``REMOVAL`` or more is
-removed by ``sanitise``, the others are generalised to what kind of word they are.
+1 when t occurs only together with e; n(e,t) counts the rows that hold both, wherever.  A term that
+stood in at least two different contexts of e and has a share of ``DISCLOSURE`` or more becomes a span
+of kind ``term`` wherever it stands, in rows without e too.  ``sanitise`` names entities by their
+kind, removes terms of a share of ``REMOVAL`` or more and generalises the others to what kind of word
+they are.
+
+A share cannot exceed what it would be if the rarer of the two always stood beside the other, and a
+term stands in at least as many rows as it stands in near an entity.  So common words are ruled out,
+exactly, before any text is searched for terms.
 
 Matches are located by their lengths: a text is the gaps (``split``) and matches (``extract all``) of
 a pattern in turn.  Every pattern starts only where a run of its first characters starts, so texts
-without blanks take linear time.
+without blanks take linear time.  Words are lower-cased one by one, after splitting, on all sides.
 
-Edge cases: a null text counts as empty; empty texts have no spans; repeated rows are each answered,
-and count once in document frequencies as they share their doc_id; rows without doc_id are answered
-and not counted; an empty table gives an empty result.
+Edge cases: a null text counts as empty; empty texts have no spans; every row is a document of its
+own, with or without a doc_id and however often its doc_id or text is repeated, in the answers and in
+the frequencies; only two columns of the input are read, so others may have any name; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, read, text_or_empty
+from .common import cut, read, salted_join, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, written without needless backtracking.
@@ -43,8 +47,8 @@ WORD = r"[\p{L}\p{N}_]+"
 REACH, SHORTEST = 80, 3
 SUPPORT = 2
 DISCLOSURE, REMOVAL = 0.8, 0.95
-#: Candidate terms up to which they are broadcast.
-BROADCAST_TERMS = 200_000
+#: Rows of terms or spans up to which a table of them is broadcast, once counted.
+BROADCAST_ROWS = 200_000
 BLOCK = 128
 
 
@@ -116,124 +120,138 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def likely(terms: DataFrame, holders: DataFrame, frequency: Callable[[DataFrame], DataFrame], n_docs: int) -> DataFrame:
-    """Pairs (``e``, ``term``, ``n_e``, ``n_t``) whose ``share`` can reach the threshold: it does not if
-    it would not were the rarer of the two always beside the other.  ``frequency`` gives the document
-    frequency ``n_t`` of the terms it is handed."""
-    n_e = holders.groupBy("e").agg(F.count_distinct("doc_id").alias("n_e"))
-    pairs = terms.groupBy("e", "term").agg(F.count_distinct("context").alias("contexts"))
-    pairs = cut(pairs.where(F.col("contexts") >= SUPPORT).join(n_e, "e"), "pii-pairs")
-    n_t = frequency(pairs.select("term").distinct())
-    found = pairs.join(n_t, "term").where(F.col("n_e") < n_docs)
-    return found.where(_share(n_docs, F.least("n_e", "n_t")) >= DISCLOSURE).select("e", "term", "n_e", "n_t")
+def _share(n_rows: int, n_e: Column, n_t: Column, n_et: Column) -> Column:
+    n = F.lit(float(max(1, n_rows)))
+    return F.log2(n * n_et / (n_e * n_t)) / F.log2(n / n_e)
 
 
-def _share(n_docs: int, n_et: Column) -> Column:
-    n = F.lit(float(max(1, n_docs)))
-    return F.log2(n * n_et / (F.col("n_e") * F.col("n_t"))) / F.log2(n / F.col("n_e"))
+def _few(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
-def disclosing(pairs: DataFrame, held: DataFrame, holders: DataFrame, n_docs: int) -> DataFrame:
-    """Of likely ``pairs`` those whose ``share`` reaches the threshold; ``held`` (doc_id, term) and
-    ``holders`` (doc_id, e) say which documents hold the terms and the entities."""
-    both = held.where("doc_id is not null").select("doc_id", "term").join(holders, "doc_id").join(pairs, ["e", "term"])
-    n_et = both.groupBy("e", "term", "n_e", "n_t").agg(F.count_distinct("doc_id").alias("n_et"))
-    return n_et.select("e", "term", _share(n_docs, F.col("n_et")).alias("share")).where(F.col("share") >= DISCLOSURE)
+def _joined(left: DataFrame, right: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """Inner join that leaves ``left`` where it is if ``right`` is small, and salts hot keys if not."""
+    return left.join(F.broadcast(right), key) if _few(right) else salted_join(left, right, key, by)
 
 
-def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row: ``row_no``, doc_id, base spans (``base``) and term spans (``terms``, with ``share``)."""
-    rows = df.select(F.monotonically_increasing_id().alias("row_no"), F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("__text"))
-    named = entities(rows).withColumn("base", F.concat(*[_named(k, k) for k in KINDS]))
+def candidates(near: DataFrame, holders: DataFrame, n_rows: int) -> DataFrame:
+    """Pairs (``e``, ``term``, ``n_e``) of SUPPORT contexts or more whose share may reach the threshold,
+    as far as the rows in which the term stands near any entity tell."""
+    n_e = holders.groupBy("e").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") < n_rows)
+    pairs = near.select("e", "term", "context").distinct().groupBy("e", "term").agg(F.count(F.lit(1)).alias("contexts"))
+    pairs = cut(pairs.where(F.col("contexts") >= SUPPORT).select("e", "term"), "pii-pairs")
+    least = near.select("term", "row_no").distinct().join(pairs.select("term").distinct(), "term", "left_semi")
+    least = least.groupBy("term").agg(F.count(F.lit(1)).alias("least"))
+    known = salted_join(cut(salted_join(pairs, n_e, ["e"], ["term"]), "pii-known"), least, ["term"], ["e"])
+    return known.where(_share(n_rows, F.col("n_e"), F.col("least"), F.least("n_e", "least")) >= DISCLOSURE).select("e", "term", "n_e")
 
-    def context(kind: str) -> Column:
-        def of(s: Column) -> Column:
-            start = F.greatest(s["start"] - REACH, F.lit(0))
-            return F.struct(
-                F.xxhash64(F.lit(kind), F.lower(s["match"])).alias("e"),
-                start.alias("at"),
-                F.col("__text").substr(start + 1, s["end"] + REACH - start).alias("snippet"),
-                F.length("__text").alias("size"),
-            )
 
-        return F.transform(kind, of)
+def holding(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``row_no``, ``term``: which of ``terms`` each row holds, each once."""
+    listed = F.array_distinct(F.transform(F.split("__text", r"[^\p{L}\p{N}_]+", -1), F.lower))
+    said = rows.select("row_no", F.explode_outer(listed).alias("term"))
+    return said.join(F.broadcast(terms) if _few(terms) else terms, "term", "left_semi")
 
-    some = F.size("base") > 0
-    none = F.array().cast("array<struct<e:bigint,at:int,snippet:string,size:int>>")
-    found = named.select(
-        "row_no", "doc_id", "base",
-        F.when(some, F.concat(*[context(k) for k in KINDS])).otherwise(none).alias("contexts"),
-    )
-    found = cut(found, "pii-base")
-    near = found.where("size(contexts) > 0 and doc_id is not null").select("row_no", "doc_id", "base", F.explode("contexts").alias("c"))
-    near = near.select("row_no", "doc_id", "base", "c.e", "c.at", "c.snippet", "c.size")
-    holders = near.select("doc_id", "e").distinct()
-    near = located(near, "snippet", "__words", WORD)
-    flat = near.select("row_no", "doc_id", "base", "e", "at", "size", F.xxhash64("snippet").alias("context"), F.length("snippet").alias("width"), F.explode_outer("__words").alias("w"))
+
+def disclosing(rows: DataFrame, near: DataFrame, holders: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Flagged terms (``term``, ``share``: the largest) and where they stand (``row_no``, ``term``)."""
+    pairs = cut(candidates(near, holders, n_rows), "pii-candidates")
+    held = cut(holding(rows, pairs.select("term").distinct()), "pii-held")
+    n_t = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    likely = salted_join(pairs, n_t, ["term"], ["e"])
+    likely = cut(likely.where(_share(n_rows, F.col("n_e"), F.col("n_t"), F.least("n_e", "n_t")) >= DISCLOSURE), "pii-likely")
+    both = _joined(held, likely.select("term", "e"), ["term"], ["row_no"]).join(holders, ["row_no", "e"], "left_semi")
+    n_et = both.groupBy("e", "term").agg(F.count(F.lit(1)).alias("n_et")).join(likely, ["e", "term"])
+    share = n_et.select("term", _share(n_rows, F.col("n_e"), F.col("n_t"), F.col("n_et")).alias("share"))
+    flagged = cut(share.where(F.col("share") >= DISCLOSURE).groupBy("term").agg(F.max("share").alias("share")), "pii-flagged")
+    return flagged, held
+
+
+def _contexts(kind: str) -> Column:
+    """For each entity of a kind: its number ``e``, and its surroundings with where they start."""
+
+    def of(s: Column) -> Column:
+        start = F.greatest(s["start"] - REACH, F.lit(0))
+        return F.struct(
+            F.xxhash64(F.lit(kind), F.lower(s["match"])).alias("e"),
+            start.alias("at"),
+            F.col("__text").substr(start + 1, s["end"] + REACH - start).alias("snippet"),
+            F.length("__text").alias("size"),
+        )
+
+    return F.transform(kind, of)
+
+
+def neighbours(found: DataFrame) -> DataFrame:
+    """``row_no``, ``e``, ``context``, ``term``: whole words near entities, outside of entities themselves."""
+    c = found.where("size(contexts) > 0").select("row_no", "base", F.explode("contexts").alias("c"))
+    c = located(c.select("row_no", "base", "c.e", "c.at", "c.snippet", "c.size"), "snippet", "__words", WORD)
+    flat = c.select("row_no", "base", "e", "at", "size", F.xxhash64("snippet").alias("context"), F.length("snippet").alias("width"), F.explode_outer("__words").alias("w"))
     flat = flat.select(
-        "e", "context", "base", F.lower("w.match").alias("term"),
+        "row_no", "e", "context", "base", F.lower("w.match").alias("term"),
         (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"),
         ((F.col("w.start") > 0) | (F.col("at") == 0)).alias("left"),
         ((F.col("w.end") < F.col("width")) | (F.col("at") + F.col("width") == F.col("size"))).alias("right"),
     )
     inside = F.exists("base", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    terms = cut(flat.where((F.length("term") >= SHORTEST) & F.col("left") & F.col("right") & ~inside).select("e", "context", "term"), "pii-terms")
-    every = df.where(F.col(doc_id).isNotNull())
-
-    def said(candidates: DataFrame, texts: DataFrame) -> DataFrame:
-        """The rows of ``texts`` with each candidate ``term`` they hold, once."""
-        few = candidates.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-        listed = F.array_distinct(F.transform(F.split("__text", r"[^\p{L}\p{N}_]+", -1), F.lower))
-        held = texts.withColumn("term", F.explode_outer(listed)).drop("__text")
-        return held.join(F.broadcast(candidates) if few else candidates, "term", "left_semi")
-
-    def frequency(candidates: DataFrame) -> DataFrame:
-        texts = every.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("__text"))
-        return said(candidates, texts).groupBy("term").agg(F.count_distinct("doc_id").alias("n_t"))
-
-    n_docs = every.select(F.count_distinct(doc_id)).head()[0]
-    pairs = cut(likely(terms, holders, frequency, n_docs), "pii-likely")
-    held = cut(said(pairs.select("term").distinct(), rows), "pii-held")
-    flagged = disclosing(pairs, held, holders, n_docs).groupBy("term").agg(F.max("share").alias("share"))
-    # flagged terms are located in every row that holds one, near an entity or not
-    wanted = held.join(flagged, "term").groupBy(F.col("row_no").alias("r")).agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("shares"))
-    texts = located(rows.join(cut(wanted, "pii-flagged"), F.col("row_no") == F.col("r")).select("r", "__text", "shares"), "__text", "__words", WORD)
-    share = lambda w: F.try_element_at("shares", F.lower(w["match"]))
-    spans = texts.select("r", F.transform(
-        F.filter("__words", lambda w: share(w).isNotNull()), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), share(w).alias("share")),
-    ).alias("spans"))
-    out = found.drop("contexts").join(spans, F.col("row_no") == F.col("r"), "left").drop("r")
-    out = out.withColumn("terms", F.filter("spans", lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))).drop("spans")
-    return out.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,share:double>>")))
+    return flat.where((F.length("term") >= SHORTEST) & F.col("left") & F.col("right") & ~inside).select("row_no", "e", "context", "term")
 
 
-def sanitise(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ``clean_text``: entities named by kind, disclosing terms removed or generalised."""
-    spans = find(df, doc_id, text)
-    texts = df.select(F.monotonically_increasing_id().alias("row_no"), text_or_empty(text).alias("__text"))
-    joined = spans.join(texts, "row_no")
-    word = lambda s: F.col("__text").substr(s["start"] + 1, s["end"] - s["start"])
+def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every row: ``row_no``, doc_id, ``__text``, base spans (``base``) and term spans (``terms``, with ``share``)."""
+    rows = df.select(F.monotonically_increasing_id().alias("row_no"), F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("__text"))
+    named = entities(rows).withColumn("base", F.concat(*[_named(k, k) for k in KINDS]))
+    none = F.array().cast("array<struct<e:bigint,at:int,snippet:string,size:int>>")
+    contexts = F.when(F.size("base") > 0, F.concat(*[_contexts(k) for k in KINDS])).otherwise(none)
+    # written once with its texts: row numbers are given here and nowhere else
+    found = cut(named.select("row_no", "doc_id", "__text", "base", contexts.alias("contexts")), "pii-rows", "zstd")
+    near = cut(neighbours(found.select("row_no", "base", "contexts")), "pii-near")
+    holders = found.select("row_no", F.explode(F.transform("contexts", lambda c: c["e"])).alias("e")).distinct()
+    flagged, held = disclosing(found, near, cut(holders, "pii-holders"), found.count())
+    # flagged terms are located in every row that holds one, near an entity or not
+    wanted = cut(_joined(held, flagged, ["term"], ["row_no"]), "pii-wanted")
+    some = wanted.select("row_no").distinct()
+    texts = found.select("row_no", "__text").join(F.broadcast(some) if _few(some) else some, "row_no", "left_semi")
+    words = located(texts, "__text", "__words", WORD).select("row_no", F.explode_outer("__words").alias("w"))
+    words = words.select("row_no", F.lower("w.match").alias("term"), "w.start", "w.end")
+    words = cut(words.join(F.broadcast(wanted) if _few(wanted) else wanted, ["row_no", "term"]), "pii-spans")
+    spans = words.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("spans"))
+    out = found.drop("contexts").join(F.broadcast(spans) if _few(words) else spans, "row_no", "left")
+    outside = F.filter("spans", lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    empty = F.array().cast("array<struct<start:int,end:int,share:double>>")
+    return out.select("row_no", "doc_id", "__text", "base", F.coalesce(outside, empty).alias("terms"))
+
+
+def _clean(text: str = "__text") -> Column:
+    """The text with its marks carried out: entities named by kind, terms removed or generalised."""
+    word = lambda s: F.col(text).substr(s["start"] + 1, s["end"] - s["start"])
     kind = lambda s: F.when(s["share"] >= REMOVAL, "").when(word(s).rlike("[0-9]"), "[NUMBER]").when(word(s).rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
-    marks = F.concat(
+    marks = F.array_sort(F.concat(
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put"))),
         F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s).alias("put"))),
-    )
-    sorted_ = joined.withColumn("marks", F.array_sort(marks))
+    ))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
     def step(acc: Column, m: Column) -> Column:  # a mark that starts inside the one before adds nothing but its rest
-        gap = F.when(m["start"] > acc["at"], F.col("__text").substr(acc["at"] + 1, m["start"] - acc["at"])).otherwise("")
+        gap = F.when(m["start"] > acc["at"], F.col(text).substr(acc["at"] + 1, m["start"] - acc["at"])).otherwise("")
         put = F.when(m["start"] >= acc["at"], m["put"]).otherwise("")
         return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.concat(acc["text"], gap, put).alias("text"))
 
-    return sorted_.select(
-        "doc_id",
-        F.aggregate("marks", start, step, lambda acc: F.concat(acc["text"], F.col("__text").substr(acc["at"] + 1, F.length("__text")))).alias("clean_text"),
-    )
+    done = F.aggregate(marks, start, step, lambda acc: F.concat(acc["text"], F.col(text).substr(acc["at"] + 1, F.length(text))))
+    return F.when(F.size("base") + F.size("terms") > 0, done).otherwise(F.col(text))
+
+
+def sanitise(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and ``clean_text``: entities named by kind, disclosing terms removed or generalised."""
+    return find(df, doc_id, text).select("doc_id", _clean().alias("clean_text"))
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
     out = find(read(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     terms = F.transform("terms", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.concat("base", terms)).alias("spans"))
+    spans = F.concat("base", terms)
+    return out.select(
+        "doc_id", *[count(k) for k in KINDS], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(spans).alias("spans"),
+        F.size(spans).cast("long").alias("n_spans"), F.sha2(_clean(), 256).alias("clean_sha256"),
+    )

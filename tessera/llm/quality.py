@@ -1,29 +1,30 @@
 """Supervised subword embeddings for document quality (operator 4).
 
-Every word, and every character n-gram of it, has a learned vector in a hashed table; a document is
-the average of the vectors of all its words' features, and a softmax layer turns it into class
-probabilities.  Table and layer are trained by numpy stochastic gradient descent on a bounded sample
-of labelled documents.  As the softmax of an average needs only each feature's inner product with
-the layer's weights, scoring folds the layer into the table and remembers a sum for each word.
+Every word, every character n-gram of it and every pair of words in a row has a learned vector in a
+hashed table; a document is the average of the vectors of all its features, and a softmax layer turns
+it into class probabilities.  Table and layer are trained by numpy stochastic gradient descent on a
+bounded sample of labelled documents.  As the softmax of an average needs only each feature's inner
+product with the layer's weights, scoring folds the layer into the table and remembers a sum for each
+word.
 
 Edge cases: null and empty texts, and those of blanks only, have no features and score what the
 layer's bias says; without labelled rows of both classes the score is the share of class 1 (0.5 if
 there are none); labels repeated for a document with the same value count once, contradicting ones
-are left out of training; an empty table gives an empty result.
+are left out of training; of several texts with one labelled doc_id the largest is learned from; kept
+columns named like the score are replaced by it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, read, small_batches
+from .common import fold, read, small_batches, unused
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -37,7 +38,7 @@ SAMPLE_PER_CLASS = 1000
 SAMPLE_CHARS = 50_000
 #: Score from which a document counts as good.
 ACCEPT = 0.3
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 
 def features(word: bytes) -> list[int]:
@@ -49,8 +50,14 @@ def features(word: bytes) -> list[int]:
     return [x % BUCKETS for x in found]
 
 
-#: Word bigrams are written with back-references: a word after itself is always the pair "= =".
-AGAIN = zlib.crc32(b"= =") % BUCKETS
+def pairs(h: np.ndarray) -> np.ndarray:
+    """Buckets of the word bigrams, from the hashes of the words in turn."""
+    mixed = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
+    return ((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x165667B19E3779F9) >> np.uint64(64 - (BUCKETS - 1).bit_length())).astype(np.int64)
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
 
 
 def document(text: str | None) -> np.ndarray:
@@ -61,8 +68,7 @@ def document(text: str | None) -> np.ndarray:
         if (f := memo.get(w)) is None:
             f = memo[w] = features(w)
         out += f
-    out += [AGAIN] * sum(map(eq, found, found[1:]))
-    return np.array(out, dtype=np.int64)
+    return np.concatenate([np.array(out, dtype=np.int64), pairs(hashes(found))])
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, seed: int = 1) -> dict:
@@ -74,7 +80,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
     share = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = marks.join(F.broadcast(sizes), "label").where(share * F.col("n") < per_class).select("doc_id", "label")
     pool = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
-    rows = sorted(pool.join(F.broadcast(chosen), "doc_id").collect(), key=lambda r: (r.doc_id, r.text))
+    read_out = pool.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
+    rows = sorted(read_out.collect(), key=lambda r: (r.doc_id, r.text))
     y = np.array([int(r.label == 1) for r in rows])
     if not len(y) or y.min() == y.max():
         p = float(y.mean()) if len(y) else 0.5
@@ -110,25 +117,24 @@ def score(df: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), out:
     """``keep`` columns with ``out``: the softmax probability of class 1."""
     small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
-    source = df.select(*keep) if "text" in keep else df.select(*keep, "text")
-    at = source.columns.index("text")
+    keep = tuple(c for c in keep if c != out)
+    source = df.select(*keep, F.col("text").alias(unused(df, "__text")))
     schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + f", `{out}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = held.value["table"], held.value["bias"]
-        again = float(table[AGAIN])
         sums: dict[bytes, tuple[float, int]] = {}
         for batch in batches:
             found_scores = []
-            for text in batch.column(at).to_pylist():
+            for text in batch.column(len(keep)).to_pylist():
                 found = (text or "").encode("utf-8", "replace").split()
                 if len(sums) > MEMO_WORDS:
                     sums.clear()
                 for w in set(found).difference(sums):
                     f = features(w)
                     sums[w] = (float(table[f].sum()), len(f))
-                n = sum(map(eq, found, found[1:]))
-                total = n * again
+                n = max(0, len(found) - 1)
+                total = float(table[pairs(hashes(found))].sum())
                 for s, k in map(sums.__getitem__, found):
                     total += s
                     n += k
@@ -139,6 +145,12 @@ def score(df: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), out:
     return source.mapInArrow(run, schema)
 
 
+def accepted(df: DataFrame, model: dict, least: float = ACCEPT) -> DataFrame:
+    """The rows of ``df`` that score ``least`` or more, with all their columns."""
+    name = unused(df, "__score")
+    return score(df, model, tuple(df.columns), name).where(F.col(name) >= least).select(df.columns)
+
+
 def learned(spark, docs: DataFrame, sf_dir: str) -> dict:
     """The model as op4 and the pipeline train it: only from rows outside the held-out fold."""
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))

@@ -80,7 +80,7 @@ def test_bpe(spark, odd, empty, docs):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(text))
 
 
-@pytest.mark.parametrize("text", [" ", "  a", "a  ", "a \n b", "\n\na\n \nb  c", "a b  c", "'s it's", "aaaa" * 300, "\x1c \x85 x"])
+@pytest.mark.parametrize("text", [" ", "  a", "a  ", "a \n b", "\n\na\n \nb  c", "a b  c", "'s it's", "aaaa" * 300, "\x1c \x85 x", " \U000146d4 \U00018e08蹜 \U000131c5 櫵", "a\u200bb \u3000c \u0378d 1²½Ⅷ①x"])
 def test_bpe_white_space(text):
     import json
 
@@ -88,7 +88,7 @@ def test_bpe_white_space(text):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coder = bpe._coder_for_tests if hasattr(bpe, "_coder_for_tests") else bpe.Coder(bpe.Tables(json.load(open(path, encoding="utf-8"))))
+    coder = bpe._coder_for_tests if hasattr(bpe, "_coder_for_tests") else bpe.Coder(bpe.Tables(json.load(open(path, encoding="utf-8"))), bpe.split_pattern())
     bpe._coder_for_tests = coder
     assert coder.encode(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
@@ -111,6 +111,51 @@ def test_sharding_of_repeated_rows(spark):
     assert sorted(r.slot for r in sharding.shard_rows(df, ["doc_id"], 2).collect()) == [0, 0, 1, 1]
 
 
+def test_sharding_of_a_hot_key(spark):
+    """Very many equal rows are dealt in salts; the others' places don't depend on the layout."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"))
+    one, two = (sharding.shard_rows(d, ["doc_id"], 4, buckets=8).collect() for d in (df, df.repartition(7)))
+    assert sorted((r.shard, r.slot) for r in one) == [(i, k) for i in range(4) for k in range(750)]
+    assert collections.Counter(map(tuple, one)) == collections.Counter(map(tuple, two)) or {tuple(r) for r in one if r.doc_id != 7} == {tuple(r) for r in two if r.doc_id != 7}
+
+
+def permuted(number, n, seed):
+    """The Feistel network with cycle walking, in plain Python."""
+    import xxhash
+
+    def mix(*parts):
+        h = 42
+        for p in parts:
+            h = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else p.to_bytes(8, "little", signed=True), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    a = math.isqrt(n - 1) + 1
+    b = (n + a - 1) // a
+    x = number
+    while True:
+        left, right = divmod(x, b)
+        for k in range(sharding.ROUNDS):
+            left = (left + mix(seed * 1009 + k, right) % a) % a
+            right = (right + mix(seed * 1009 + k, "r", left) % b) % b
+        x = left * b + right
+        if x < n:
+            return x
+
+
+def test_op2_shards(spark, docs, odd, empty):
+    keys = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in zip(docs.doc_id, docs.text, strict=True)]
+    want = set()
+    for number, k in enumerate(sorted(keys)):
+        place = permuted(number, len(keys), 17)
+        want.add((*k, "rows", place % 16, place // 16, None))
+    assert set(map(tuple, queries.QUERIES["op2_shards"](spark, SF).collect())) == want
+    named = odd.withColumns({c: F.lit(5) for c in ("n_rows", "row_no", "__b", "__bucket", "__n", "slot", "id")})
+    rows = sharding.shard_rows(named, ["doc_id"], 4)
+    assert rows.columns == [c for c in named.columns] and {r.row_no for r in rows.collect()} == {5}
+    assert sorted((r.shard, r.slot) for r in rows.collect()) == [(i, k) for i in range(4) for k in range(len(ODD) // 4)]
+    assert sharding.shard_rows(empty, ["doc_id"]).count() == 0
+
+
 @pytest.mark.parametrize("digest", [exact_dedup._digest, lambda c: F.unhex(F.sha2((F.length(c) % 2).cast("string"), 256))])
 def test_exact_dedup(spark, odd, empty, digest):
     """Also with a digest that most texts share."""
@@ -125,6 +170,8 @@ def test_exact_dedup(spark, odd, empty, digest):
     got = exact_dedup.dedup(odd, digest=digest)
     assert collections.Counter(map(tuple, got.collect())) == want
     assert exact_dedup.dedup(empty, digest=digest).count() == 0
+    three = spark.createDataFrame([(13, "one two"), (13, "other"), (20, "other"), (None, "other")], "doc_id long, text string")
+    assert sorted(map(str, exact_dedup.keep_one(three).collect())) == sorted(map(str, [(three.collect()[k]) for k in (0, 2, 3)]))
     kept = exact_dedup.keep_one(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {i for i, *_, k, _ in want if k or i is None}
 
@@ -138,6 +185,11 @@ def test_quality(spark, odd, empty):
     scored = quality.score(odd, model, ("doc_id", "text"), out="quality").collect()
     assert len(scored) == len(ODD) and all(0 <= r.quality <= 1 for r in scored)
     assert quality.score(empty, model).count() == 0
+    assert quality.score(odd, model, ("doc_id", "score", "ids")).columns == ["doc_id", "ids", "score"]
+    clash = odd.withColumns({"__score": F.lit(2), "__text": F.lit(3)})
+    assert quality.accepted(clash, model, 0.0).count() == len(ODD) and quality.accepted(clash, model).columns == clash.columns
+    h = quality.hashes(b"a b c a b".split())
+    assert len(set(quality.pairs(h))) == 3 and quality.pairs(h)[0] == quality.pairs(h)[3] and len(quality.pairs(h[:1])) == 0
     none = quality.train(empty, spark.createDataFrame([], "doc_id long, label int"))
     assert quality.score(odd, none).head().score == pytest.approx(0.5)
 
@@ -195,6 +247,64 @@ def test_pii_terms_far_from_their_entity(spark):
     assert clean[8] == "[TERM] alone" and "quuxley" not in clean[2] and clean[20] == texts[20]
 
 
+def shares(texts):
+    """The flagged terms by definition: every (entity, term) of two contexts, over all rows."""
+    word = lambda t: [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W]+", t)]
+    spans = [base_spans(t) for t in texts]
+    said = [{w for w, *_ in word(t)} for t in texts]
+    contexts, holds = collections.defaultdict(set), collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        for k, a, b in spans[i]:
+            e = (k, t[a:b].lower())
+            holds[e].add(i)
+            lo, hi = max(0, a - pii.REACH), min(len(t), b + pii.REACH)
+            for w, x, y in word(t):
+                if lo <= x and y <= hi and len(w) >= 3 and not any(p < y and x < q for _, p, q in spans[i]):
+                    contexts[e, w].add(t[lo:hi])
+    n, out = len(texts), {}
+    for (e, w), c in contexts.items():
+        with_w = {i for i in range(n) if w in said[i]}
+        if len(c) > 1 and len(holds[e]) < n:
+            share = math.log2(n * len(with_w & holds[e]) / (len(holds[e]) * len(with_w))) / math.log2(n / len(holds[e]))
+            if share >= pii.DISCLOSURE:
+                out[w] = max(share, out.get(w, 0))
+    return out
+
+
+def test_pii_shares(spark):
+    """All term spans and texts made of them against the definition; İ lower-cases to two characters."""
+    names = "wares Quuxley of İzor 4711x".split()
+    texts = [f"{prose(9, i)} {names[i % 5]} and {names[i % 3]}: mail u{i % 5}@corp.org{' so' * (i % 50)} {names[i * 2 % 5] if i % 4 == 0 else ''} {prose(5, i + 99)}" for i in range(60)]
+    texts += [prose(30, i) + (" wares" if i % 2 else "") for i in range(200)] + ["", "İzor alone and 4711x", "a u1@corp.org b"]
+    df = spark.createDataFrame([(i % 7 or None, t, i, "x") for i, t in enumerate(texts)], "doc_id long, text string, row_no long, term string")
+    flagged = shares(texts)
+    assert {"i̇zor", "4711x"} <= set(flagged) and not {"wares", "quuxley"} & set(flagged)
+    want = collections.Counter()
+    for t in texts:
+        base = base_spans(t)
+        terms = [(m.start(), m.end()) for m in re.finditer(r"[^\W]+", t) if m[0].lower() in flagged and not any(a < m.end() and m.start() < b for _, a, b in base)]
+        want[t, tuple(base), tuple(sorted(terms))] += 1
+    rows = pii.find(df).collect()
+    assert collections.Counter((r["__text"], tuple(map(tuple, r.base)), tuple((s.start, s.end) for s in r.terms)) for r in rows) == want
+    for r in pii.sanitise(df).collect():
+        assert not [w for w in re.findall(r"[^\W]+", r.clean_text) if w.lower() in flagged] and "@" not in r.clean_text
+
+
+def test_op5_pii(spark, docs):
+    """The query's digests, from the texts by definition."""
+    texts = dict(zip(docs.doc_id, docs.text, strict=True))
+    flagged = shares(list(texts.values()))
+    for r in queries.QUERIES["op5_pii"](spark, SF).collect():
+        t, base = texts[r.doc_id], base_spans(texts[r.doc_id])
+        listed = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, *_ in base) for x in pii.KINDS)
+        assert r.base_sha256 == sha(",".join(listed)) and r.spans.split(",")[: len(base)] == (listed or r.spans.split(",")[:0])
+        terms = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W]+", t) if m[0].lower() in flagged and not any(a < m.end() and m.start() < b for _, a, b in base)]
+        assert r.spans == ",".join(listed + terms) and r.n_spans == len(listed + terms)
+        if not listed + terms:
+            assert r.clean_sha256 == sha(t)
+
+
 ITEM = "Tom bought 12 apples, then Tom gave Ann seven of the ripe ones before lunch at home."
 
 
@@ -211,6 +321,56 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.clean(odd, bench).columns == odd.columns
 
 
+def test_decontamination_of_odd_items(spark):
+    """Items of numbers and units only; lines that many items share; null and repeated ids, told by text."""
+    measures = "12 km 13 kg 14 cm 15 g 16 lb 17 oz 18 days"
+    rule = "answer the question below in one short sentence and give your reasons in full for each step taken "
+    items = [(1, measures)] + [(10 + i, rule + prose(9, i)) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [(1, f"so {measures}!"), (None, f"so {measures}!"), (1, "clean text of a plain kind"), (2, rule), (3, "x " + rule.upper() + prose(9, 4)), (None, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumns({"ident": F.lit(1), "h": F.lit(2), "item_id": F.lit(3)})
+    got = sorted((str(r.doc_id), r.item_ids) for r in decontaminate.report(df, bench).collect())
+    with_rule = ",".join(sorted((str(i) for i, t in items[1:] if 2 * len(rule.split()) - 8 >= len(t.split()) - 4), key=int))
+    assert got == sorted([("1", "1"), ("None", "1"), ("1", ""), ("2", with_rule), ("3", with_rule), ("None", "")])
+    kept = decontaminate.clean(df, bench)
+    assert kept.columns == df.columns and sorted(str(r.text) for r in kept.collect()) == ["None", "clean text of a plain kind"]
+
+
+def test_decontamination_of_items_asked_again(spark):
+    """Against brute force over all alignments: other numbers and names, put in one for one or at random."""
+    people, made = "Tom Ann Bob Sue Max Eve Joe Kim".split(), []
+    stem = "yesterday {0} gave {1} about 1{2} of the old red boxes before {0} went home and then {1} sold 2{3} boxes near the river".split()
+    put = lambda v: " ".join(stem).format(people[v[0]], people[v[1]], v[2], v[3])
+    for i in range(60):
+        v = ((i * 3) % 8, (i * 5 + 1) % 8, i % 7, (i * i) % 5)
+        t = put(v).split()
+        if i % 3 == 2:  # one slot of each pair says something else
+            t = [people[(i + k * 3) % 8] if w in people else w for k, w in enumerate(t)]
+        made.append((i, "so it was " + " ".join(t[: 10 + i % 15]) + " indeed"))
+    item = put((0, 1, 2, 3))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+
+    def template(t):
+        raw = re.findall(r"\w+", t)
+        kinds = ["#num" if w.isdigit() else "#name" if w in people else w for w in raw]
+        return [w.lower() for w in kinds], [w.lower() if k[0] == "#" else None for w, k in zip(raw, kinds, strict=True)]
+
+    def hit(text):
+        (a, x), (b, y) = template(item), template(text)
+        searched = [i for i in range(len(a) - 4) if sum(s is None for s in x[i : i + 5]) >= 3]
+        found = set()
+        for shift in range(-len(a), len(b)):
+            at = [i for i in searched if 0 <= i + shift and a[i : i + 5] == b[i + shift : i + shift + 5] and i + shift + 5 <= len(b)]
+            pairs = {(x[i + k], y[i + shift + k]) for i in at for k in range(5) if x[i + k]}
+            matched = min(len({p for p, _ in pairs}), len({q for _, q in pairs}))
+            if len(pairs) - matched <= len(pairs) * decontaminate.SLIPS:
+                found.update(at)
+        return len(found) >= len(searched) * decontaminate.COVERAGE
+
+    got = {r.doc_id for r in decontaminate.report(spark.createDataFrame(made, "doc_id long, text string"), bench).where("contaminated").collect()}
+    assert got == {i for i, t in made if hit(t)} and 5 < len(got) < 55
+
+
 def test_decontamination_finds_all_whole_items(spark, docs):
     plain = lambda t: " ".join(re.findall(r"\w+", t.lower()))
     items = {r.item_id: plain(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
@@ -276,9 +436,11 @@ def test_near_dedup(spark, odd, empty, docs, k):
     near = [(100 + i, " ".join(w if (j * 7 + i) % (11 + i) else f"edit{i}" for j, w in enumerate(words))) for i in range(40)]
     chain = [(200 + i, " ".join(words[i * 8 : i * 8 + 60] + ["z"])) for i in range(6)]
     texts = [(i, t) for i, t in ODD if i is not None and i != 13] + [(13, "one two")] + near + chain
-    df = spark.createDataFrame(texts + [(None, BASE)], "doc_id long, text string")
-    got = sorted(map(tuple, near_dedup.classes(df, words=k).collect()))
-    assert got == classes(texts, k)
+    df = spark.createDataFrame(texts + [(None, BASE)], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "n", "s", "comp", "band")})
+    rows = list(map(tuple, near_dedup.classes(df, words=k).collect()))
+    assert [r for r in rows if r[0] is None] == [(None, len(shingles(BASE, k)), None)]
+    assert sorted(r for r in rows if r[0] is not None) == classes(texts, k)
+    assert near_dedup.keep_one(df, words=k).where("doc_id is null").count() == 1
     assert near_dedup.classes(empty).count() == 0 and near_dedup.keep_one(odd).columns == odd.columns
     if k == 4:
         all_docs = list(zip(docs.doc_id, docs.text, strict=True))
@@ -286,6 +448,20 @@ def test_near_dedup(spark, odd, empty, docs, k):
         assert rows == classes(all_docs, 4)
 
 
+def test_near_dedup_of_one_band(spark):
+    """Documents that share a long passage, in groups of near copies: what leaders leave is found too."""
+    passage = prose(300, 5)
+    texts = [(i * 100 + j, f"{prose(70, i + 7)} {passage} {'x' * j}") for i in range(12) for j in range(4)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(map(tuple, near_dedup.classes(df, words=4).collect())) == classes(texts, 4)
+    held = spark.createDataFrame([(i, sorted(hash(x) for x in shingles(t, 4))) for i, t in texts], "id long, s array<long>")
+    parity = near_dedup.with_parity(held)
+    loose = parity.select("id", F.col("id").alias("comp"), F.size("s").alias("u"), F.size("s").alias("n"), "p")
+    found = near_dedup.confirmed(near_dedup.residual(loose, parity, 80), parity, 80).where("link")
+    s = {i: shingles(t, 4) for i, t in texts}
+    assert {(r.a, r.b) for r in found.collect()} == {(a, b) for a in s for b in s if a > b and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])}
+
+
 def test_langid(spark, odd, empty, docs):
     rows = queries.QUERIES["op9_langid"](spark, SF).toPandas().merge(docs)
     held = rows[rows.held_out]
@@ -294,6 +470,11 @@ def test_langid(spark, odd, empty, docs):
     got = {r.doc_id: r.lang_pred for r in langid.predict(odd, model).collect()}
     assert [got[i] for i in (1, 2, 3)] == ["und"] * 3 and langid.predict(empty, model).count() == 0
     assert {r.lang_pred for r in langid.predict(odd, langid.train(empty)).collect()} == {"und"}
+    signs = spark.createDataFrame([(1, "²½ Ⅷ ①"), (2, "12 !")], "doc_id long, text string").withColumns({"lang_pred": F.lit("x"), "__text": F.lit(1)})
+    rows = langid.predict(signs, model, ("doc_id", "lang_pred"))
+    assert rows.columns == ["doc_id", "lang_pred", "score", "rejected"] and {r.lang_pred for r in rows.collect()} == {"und"}
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), (F.col("id") % 300).cast("string").alias("lang"))
+    assert langid.sample(many, "lang", 800, 100).count() == 3000 and 400 < langid.sample(many, "lang", 800, 100, in_all=900).count() < 1500
 
 
 def test_chat(spark):
@@ -307,10 +488,26 @@ def test_chat(spark):
     full = {(r.conv_id, r.example): r for r in chat.materialise(expanded).collect()}
     r = full[1, 1]
     assert (r.context + r.reply)[r.loss_start : r.loss_end] == "b" and r.context.count(chat.START) == 3 and len(full) == 4
+    assert all(sha(full[r.conv_id, r.example].context) == r.context_sha256 for r in expanded.where("example is not null").collect())
+    for column, wrong in (("context_chars", F.col("context_chars") + 1), ("context_sha256", F.lit("0")), ("example", F.col("example") + 1)):
+        with pytest.raises(Exception, match="context isn't the turns before it"):
+            chat.read_back(expanded.withColumn(column, wrong)).collect()
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.expand(empty)).count() == 0
 
 
+def test_chat_order_of_ties(spark):
+    """As the SQL has it: by turn, role and text, before escaping; with a long text and other columns."""
+    rows = [(1, 0, "assistant", t) for t in ("x!", "x", "x<|", "x\\", "x\n")] + [(1, 0, None, "y"), (1, None, "user", "z"), (2, 0, "assistant", "a<|" * 50_000), (2, 0, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"segment": F.lit(1), "position": F.lit(2)})
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas()[["conv_id", "turn", "role", "text"]].astype({"turn": "Int64"}))
+    want = con.execute(chat.OP10_SQL.replace("ORDER BY turn, role", "ORDER BY turn NULLS FIRST, role")).df()
+    got = chat.read_back(chat.expand(df)).toPandas()
+    want = want[want.conv_id >= 0]
+    assert sorted(map(str, got[sorted(want.columns)].values.tolist())) == sorted(map(str, want[sorted(want.columns)].values.tolist()))
+
+
 def test_pipeline(spark, docs):
     kept, before = spark.read.parquet(f"{SF}/documents.parquet"), None
     seen = {}
@@ -331,3 +528,25 @@ def test_pipeline(spark, docs):
     assert after == set(before) and after == {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
     junk = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").collect()}
     assert len(seen["quality"][1] & junk) <= len(junk) / 4
+
+
+def test_pipeline_of_odd_rows(spark, odd, empty):
+    """Nulls, empty texts, repeated ids, clashing names and an empty table through every stage."""
+    named = odd.withColumns({c: F.lit(1) for c in ("id", "h", "__score", "__gone", "norm", "n_rows")})
+    bench = {i for i, t in ODD if t and ITEM in t}
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, named, SF), stage(spark, empty, SF)
+        assert none.count() == 0 and (name == "bpe" or out.columns == named.columns)
+        rows = collections.Counter((r.doc_id, r.text) for r in out.collect()) if name != "bpe" else out.count()
+        if name == "exact_dedup":
+            best = {}
+            for i, t in ODD:
+                best[(t or "").lower()] = max(-1 if i is None else i, best.get((t or "").lower(), -1))
+            assert rows == collections.Counter((i, t) for i, t in ODD if i is None or best[(t or "").lower()] == i)
+        if name == "near_dedup":
+            firsts = {c for _, _, c in classes([(i, t) for i, t in ODD if i is not None], 5)}
+            assert rows == collections.Counter((i, t) for i, t in ODD if i is None or i in firsts)
+        if name == "decontaminate":
+            assert not bench and rows == collections.Counter(ODD)
+        if name == "bpe":
+            assert rows == len(ODD)
