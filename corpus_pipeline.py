@@ -3,6 +3,11 @@
 Each stage is written as Parquet and read again as the next one's input, so a stage never repeats the
 work of those before it and a lost executor costs at most the stage it was busy with.  All stages but
 the last return the columns of ``documents``; each works on all that the one before kept.
+
+Edge cases: null and empty texts are judged like any other text (equal to each other, linked with
+nothing, clean, no tokens); rows without doc_id are never dropped as copies; texts that share a doc_id
+are judged one by one, but as near copies they are one document; further columns pass through all
+stages but the last, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,8 +26,7 @@ TOKENIZER = "byte_bpe_50k.json"
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose quality score is below the acceptance threshold."""
     model = quality.learned(spark, docs.select("doc_id", "text"), sf_dir)
-    scored = quality.score(docs, model, tuple(docs.columns), out="__score")
-    return scored.where(F.col("__score") >= quality.ACCEPT).select(docs.columns)
+    return quality.accepted(docs, model)
 
 
 def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
