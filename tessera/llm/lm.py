@@ -1,20 +1,30 @@
 """Hashed maximum-entropy language model (operator 7).
 
-The next token's probability is factored as P(class | context) * P(token | class).  The class is a
-softmax over hashed features of the context - previous token, previous two, and two skips - and the
-token within its class follows its smoothed corpus count.  Frequent tokens (at most ``HOT`` of them,
-by definition of their share) are put in classes of like frequency; all others are classed by how
-they end.
-
-Counts are taken over all training documents.  The softmax is trained by distributed updates: each
-round every task sums gradient and curvature over its documents at the current weights, the sums are
-added up block by block, and the driver takes one damped Newton step.  Both rounds, at zero weights
-and at those of the first, see all training documents.  Scoring works on numpy batches;
-as a count table of the whole vocabulary can't be broadcast, rare tokens are joined with their counts
-and summed per document.
+The next token's probability is factored as P(class | context) * P(token | class, context).
+
+- The class is a softmax over hashed features of the context: previous token, previous two, two skips.
+  The weight table has a fixed size and is broadcast.
+- Inside a class of frequent tokens the token is a softmax too, of its log count and a feature for each
+  pair (previous token, token) ever seen.  Pairs grow with the corpus, so they are a Spark table, dealt
+  by hash.  The scaling update that fits a pair's weight to the n(p,t) times it was seen is
+  ``log(1 + n(p,t) / (PRIOR q_t))``, q_t being the token's share of its class; the normaliser then is
+  ``1 + n(p,c) / PRIOR`` with the n(p,c) times that class followed p, a feature of the same table.
+- Tokens of the other classes (all that are not frequent, classed by how they end) follow their counts.
+
+Frequent tokens are those of more than one in ``FREQUENT`` of all, so there are fewer than that.
+Counts are taken over all training documents.  The class weights are trained by distributed updates:
+each round every task sums gradient and curvature over its documents at the current weights, the sums
+are added up block by block, and the driver takes one damped Newton step.  Both rounds see all training
+documents, the first at zero weights.
+
+Features and counts that can't be broadcast are looked up in blobs: a task packs what a stretch of its
+documents asks for into one array for each part of the tables, the parts answer with a sum for each
+document, and the answers are added up.  So a key that stands in every document costs one entry for
+each document, and no row of Spark's is as small as a token.
 
 Edge cases: null and empty texts are one end token; with nothing to learn from all counts are zero;
-rows repeated are each scored (and each counted); an empty table gives an empty result.
+rows repeated are each scored (and each counted), with or without doc_id; only doc_id and text are
+read, so other columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +45,15 @@ from .common import cut, fold, read, small_batches
 #: Weight rows (at most 2**16), and classes of frequent and of other tokens.
 ROWS, HOT_CLASSES, TAIL_CLASSES = 1 << 15, 12, 4
 CLASSES = HOT_CLASSES + TAIL_CLASSES
-#: A frequent token has more than 1/HOT of all tokens, so there are fewer than HOT.
-HOT = 20_000
+#: Frequent tokens, and tokens whose counts are broadcast, have more than one in so many of all tokens.
+FREQUENT, KNOWN = 60_000, 500_000
 SMOOTH = 0.1
+#: Weight of the class's own shares against what was seen after the previous token.
+PRIOR = 5.0
+#: Tokens for each part of the dealt tables, and entries that a task gathers before it sends them on.
+PART_TOKENS, PACK = 1_000_000, 3_000_000
+#: Steps of a stored gain and of a stored share's logarithm.
+GAIN, SHARE = 4096, 2048
 BLOCK = 128
 STEP, DAMP = 0.3, 20.0
 CHUNK = 16_384
@@ -88,29 +105,58 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Numbers of tokens in a batch: their keys, classes and, where frequent, counts."""
+    """Numbers of tokens in a batch: their keys, classes and, where broadcast, counts."""
 
-    def __init__(self, hot: dict[int, tuple[int, float]]):
-        self.hot = hot
+    def __init__(self, model: dict):
+        self.model = model
         self.index: dict[bytes, int] = {}
         self.keys, self.classes, self.known = np.zeros(FLUSH, np.int64), np.zeros(FLUSH, np.int64), np.zeros(FLUSH)
 
     def __call__(self, found: list[bytes]) -> np.ndarray:
-        index = self.index
+        index, m = self.index, self.model
         new = list(set(found).difference(index))
         if new:
             a, b = len(index), len(index) + len(new)
             while b > len(self.keys):
                 self.keys, self.classes, self.known = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.classes, self.known))
-            keys = list(map(key, new))
-            hot = [self.hot.get(k) for k in keys]
+            keys = np.fromiter(map(key, new), np.int64, len(new))
             self.keys[a:b] = keys
-            self.classes[a:b] = [tail_class(w) if h is None else h[0] for w, h in zip(new, hot, strict=True)]
-            self.known[a:b] = [0.0 if h is None else h[1] for h in hot]
+            self.classes[a:b] = np.fromiter(map(tail_class, new), np.int64, len(new))
+            self.known[a:b] = 0.0
+            if len(m["keys"]):
+                at = np.minimum(np.searchsorted(m["keys"], keys), len(m["keys"]) - 1)
+                here = np.flatnonzero(m["keys"][at] == keys)
+                self.known[a + here] = m["counts"][at[here]]
+                self.classes[a + here] = m["classes"][at[here]]
             index.update(zip(new, range(a, b), strict=True))
         return np.fromiter(map(index.__getitem__, found), np.int64, len(found))
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(31))) * SALT[0]
+
+
+def pair_keys(keys: np.ndarray, place: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of tokens in frequent classes: where they are, and their keys (previous, token), (previous, class)."""
+    k = keys.view(np.uint64)
+    before = np.zeros_like(k)
+    before[1:] = k[:-1]
+    before[place == 0] = np.uint64(1)
+    at = np.flatnonzero(cls < HOT_CLASSES)
+    p = before[at]
+    return at, mixed(mixed((p * SALT[1]) ^ (k[at] * SALT[2]))), mixed(mixed(p * SALT[3] + cls[at].astype(np.uint64) * SALT[1] + SALT[2]))
+
+
+def part_bits(n_tokens: int) -> int:
+    """The tables have 2 ** bits parts."""
+    return max(3, (n_tokens // PART_TOKENS).bit_length())
+
+
+def short(keys: np.ndarray, bits: int) -> np.ndarray:
+    """What is left of hashed keys inside their part."""
+    return ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+
+
 def features(keys: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Weight rows of each token's context, shape (4, tokens); ``place`` is its number in its document."""
     k = keys.view(np.uint64)
@@ -122,9 +168,9 @@ def features(keys: np.ndarray, place: np.ndarray) -> np.ndarray:
         return out
 
     one, two, three = back(1), back(2), back(3)
-    mixed = (one * SALT[0], (one * SALT[1]) ^ (two * SALT[2]), two * SALT[3], three * SALT[1] + SALT[0])
+    contexts = (one * SALT[0], (one * SALT[1]) ^ (two * SALT[2]), two * SALT[3], three * SALT[1] + SALT[0])
     shift = np.uint64(64 - (ROWS - 1).bit_length())
-    return np.stack([((m ^ (m >> np.uint64(31))) * SALT[0] >> shift).astype(np.int64) for m in mixed])
+    return np.stack([(mixed(c) >> shift).astype(np.int64) for c in contexts])
 
 
 def batches_of(texts: list[str | None], vocabulary: Vocabulary) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -161,7 +207,7 @@ def gradients(docs: DataFrame, model, first: bool) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        vocabulary = Vocabulary(m["hot"])
+        vocabulary = Vocabulary(m)
         both = np.zeros((ROWS, 2 * CLASSES), np.float32)  # gradient, curvature
         ones = np.zeros((ROWS, CLASSES), np.float32)
         prior = np.exp(m["bias"])
@@ -209,110 +255,301 @@ def gradients(docs: DataFrame, model, first: bool) -> np.ndarray:
     return out.reshape(ROWS, 2 * CLASSES)
 
 
+PAIRS = "part int, keys binary, shares binary, counts binary"
+TABLE = "part int, kind int, flush long, a binary, b binary, c binary, d binary"
+#: Kinds of rows in the exchange, in the order in which a part reads them.
+PAIR_TABLE, COUNT_TABLE, OWN, PAIR_ASKED, COUNT_ASKED = range(5)
+
+
+def packed(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """A batch of rows whose arrays become binaries."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x.tobytes() if isinstance(x, np.ndarray) else x for x in c], kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields]
+    )
+
+
+def pair_table(docs: DataFrame, model, bits: int) -> DataFrame:
+    """The pair features of ``docs``, a row for each part: sorted keys (``a``) and gains (``b``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        vocabulary = Vocabulary(m)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            keys = np.concatenate([k for k, _ in held]) if held else np.zeros(0, np.uint64)
+            shares = np.concatenate([s for _, s in held]) if held else np.zeros(0, np.uint16)
+            held.clear()
+            size = 0
+            order = np.argsort(keys)
+            keys = keys[order]
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+            counts = np.diff(np.r_[starts, len(keys)]).astype(np.uint32)
+            shares, keys = shares[order[starts]], keys[starts]
+            cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            rows = [(i, short(keys[a:b], bits), shares[a:b], counts[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+            for at in range(0, len(rows), 64):
+                yield packed(rows[at : at + 64], PAIRS)
+
+        for batch in batches:
+            for _, _, ids, place in batches_of(batch.column(0).to_pylist(), vocabulary):
+                cls = vocabulary.classes[ids]
+                at, pairs, classes = pair_keys(vocabulary.keys[ids], place, cls)
+                q = (vocabulary.known[ids[at]] + SMOOTH) / m["z"][cls[at]]
+                held.append((pairs, (1.5 - np.log2(np.minimum(q, 1.0)) * SHARE).astype(np.uint16)))
+                held.append((classes, np.zeros(len(at), np.uint16)))
+                size += 2 * len(at)
+                if size > PACK:
+                    yield from flush()
+        yield from flush()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = -1, []
+
+        def close() -> pa.RecordBatch:
+            keys = np.concatenate([np.frombuffer(k, np.uint32) for k, _, _ in held])
+            shares = np.concatenate([np.frombuffer(s, np.uint16) for _, s, _ in held])
+            counts = np.concatenate([np.frombuffer(c, np.uint32) for _, _, c in held])
+            order = np.argsort(keys)
+            keys = keys[order]
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            total = np.add.reduceat(counts[order].astype(np.float64), starts)
+            share = shares[order[starts]].astype(np.float64)
+            gain = np.where(share > 0, np.log10(1 + total * np.exp2((share - 1) / SHARE) / PRIOR), -np.log10(1 + total / PRIOR))
+            return packed([(part, PAIR_TABLE, None, keys[starts], np.round((gain + 8) * GAIN).astype(np.uint16), None, None)], TABLE)
+
+        for batch in batches:
+            for p, *arrays in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if p != part:
+                    if held:
+                        yield close()
+                    part, held = p, []
+                held.append(arrays)
+        if held:
+            yield close()
+
+    small_batches(docs.sparkSession, 200)
+    flat = docs.select("text").mapInArrow(run, PAIRS)
+    return flat.repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(add, TABLE)
+
+
+def count_table(rare: DataFrame, bits: int) -> DataFrame:
+    """Counts (``key``, ``c``) as sorted arrays, a row for each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, keys, counts = -1, [], []
+
+        def close() -> pa.RecordBatch:
+            k, c = np.concatenate(keys), np.concatenate(counts)
+            order = np.argsort(k)
+            return packed([(part, COUNT_TABLE, None, k[order], c[order], None, None)], TABLE)
+
+        for batch in batches:
+            p, k, c = (batch.column(i).to_numpy() for i in range(3))
+            for at in np.flatnonzero(np.r_[len(p) > 0, p[1:] != p[:-1]]) if len(p) else ():
+                same = p == p[at]
+                if p[at] != part:
+                    if keys:
+                        yield close()
+                    part, keys, counts = int(p[at]), [], []
+                keys.append(k[same].view(np.uint64))
+                counts.append(c[same])
+        if keys:
+            yield close()
+
+    parted = rare.select(F.shiftrightunsigned("key", 64 - bits).cast("int").alias("part"), "key", "c")
+    return parted.repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(run, TABLE)
+
+
 def train(docs: DataFrame) -> dict:
     """Counts, classes and weights from all rows of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     table = cut(counts(docs), "lm-counts")
     n, v = (int(x or 0) for x in table.agg(F.sum("c"), F.count(F.lit(1))).head())
-    frequent = sorted(table.where(F.col("c") * HOT > n).collect(), key=lambda r: (-r.c, r.key))
-    hot: dict[int, tuple[int, float]] = {}
-    mass, seen = sum(r.c for r in frequent), 0
-    z = np.zeros(CLASSES)
-    share = np.zeros(CLASSES)
-    for r in frequent:
-        cls = min(HOT_CLASSES - 1, seen * HOT_CLASSES // max(1, mass))
-        seen += r.c
-        hot[r.key] = (cls, float(r.c))
-        z[cls] += r.c + SMOOTH
-        share[cls] += r.c
-    rare = table.where(F.col("c") * HOT <= n).groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"))
+    # fewer than KNOWN rows, whatever the corpus
+    known = table.where(F.col("c") * KNOWN > n).toArrow()
+    keys, tails, c = (known.column(x).to_numpy() for x in ("key", "cls", "c"))
+    order = np.lexsort((keys, -c))
+    order = order[: int((c * FREQUENT > n).sum())]
+    before = np.cumsum(c[order]) - c[order]
+    classes = tails.astype(np.int64)
+    classes[order] = np.minimum(HOT_CLASSES - 1, before * HOT_CLASSES // max(1, int(c[order].sum())))
+    z, share = (np.bincount(classes, x, CLASSES).astype(np.float64) for x in (c + SMOOTH, c))
+    rare = table.where(F.col("c") * KNOWN <= n)
     z[HOT_CLASSES:] += SMOOTH  # one unknown token in each class of rare ones
-    for r in rare.collect():
+    for r in rare.groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
         z[r.cls] += r.c + SMOOTH * r.v
         share[r.cls] += r.c
     bias = np.log((share + 1) / (share + 1).sum()).astype(np.float32)
-    model = {"hot": hot, "bias": bias, "z": np.maximum(z, SMOOTH), "weights": np.zeros((ROWS, CLASSES), np.float32), "n": n, "v": v}
+    by_key = np.argsort(keys)
+    model = {
+        "keys": keys[by_key], "counts": c[by_key].astype(np.float64), "classes": classes[by_key], "bias": bias, "z": np.maximum(z, SMOOTH),
+        "weights": np.zeros((ROWS, CLASSES), np.float32), "n": n, "v": v,
+    }
     for turn in range(2):
         held = spark.sparkContext.broadcast(model)
         sums = gradients(docs, held, first=turn == 0)
         model = model | {"weights": model["weights"] + STEP * sums[:, :CLASSES] / (sums[:, CLASSES:] + DAMP)}
-    return model | {"table": table}
-
-
-ROW = "uid long, key long, n int, doc struct<doc_id:long,n_tokens:long,n_known:long,base:double,model:double>"
+    bits = part_bits(n)
+    pairs = cut(pair_table(docs, spark.sparkContext.broadcast(model), bits), "lm-pairs")
+    return model | {"bits": bits, "tables": pairs.unionByName(count_table(rare, bits))}
+
+
+def asked(part: np.ndarray, doc: np.ndarray, keys: np.ndarray, kind: int, flush: int) -> list[tuple]:
+    """A row for each part: keys by document, how often each, the documents and their numbers of keys."""
+    if not len(keys):
+        return []
+    order = np.lexsort((keys, doc, part))
+    part, doc, keys = part[order], doc[order], keys[order]
+    starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1])])
+    times = np.diff(np.r_[starts, len(keys)]).astype(np.uint32)
+    part, doc, keys = part[starts], doc[starts], keys[starts]
+    firsts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    rows = []
+    for a, b in zip(firsts, np.r_[firsts[1:], len(part)], strict=True):
+        own = np.flatnonzero(np.r_[True, doc[a + 1 : b] != doc[a : b - 1]])
+        rows.append((int(part[a]), kind, flush, keys[a:b], times[a:b], doc[a:b][own].astype(np.uint32), np.diff(np.r_[own, b - a]).astype(np.uint32)))
+    return rows
+
+
+def looked_up(table: np.ndarray, values: np.ndarray, keys: np.ndarray, missing: float) -> np.ndarray:
+    if not len(table):
+        return np.full(len(keys), missing)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, values[at], missing)
+
+
+def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each request its documents' sums: of gains, or of logarithms of counts and known tokens."""
+    nothing = (np.zeros(0, np.uint64), np.zeros(0))
+    part, pairs, counts = -1, nothing, nothing
+    for batch in batches:
+        for p, kind, flush, a, b, c, d in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            if p != part:
+                part, pairs, counts = p, nothing, nothing
+            if kind == PAIR_TABLE:
+                pairs = (np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint16) / GAIN - 8)
+            elif kind == COUNT_TABLE:
+                counts = (np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64))
+            elif kind == OWN:
+                yield packed([(p, kind, flush, a, b, c, d)], TABLE)
+            else:
+                times, lengths = np.frombuffer(b, np.uint32).astype(np.float64), np.frombuffer(d, np.uint32).astype(np.int64)
+                starts = np.cumsum(lengths) - lengths
+                if kind == PAIR_ASKED:
+                    sums = np.add.reduceat(times * looked_up(*pairs, np.frombuffer(a, np.uint32), 0.0), starts)
+                    yield packed([(p, kind, flush, c, sums, None, None)], TABLE)
+                else:
+                    found = looked_up(*counts, np.frombuffer(a, np.uint64), 0)
+                    sums = np.add.reduceat(times * np.log10(found + SMOOTH), starts)
+                    yield packed([(p, kind, flush, c, sums, np.add.reduceat(times * (found > 0), starts), None)], TABLE)
+
+
+SCORED = "doc_id long, n_tokens long, n_known long, base double, model double"
+
+
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with all their sums; a stretch's rows come together, its own first."""
+    state: list[np.ndarray] | None = None
+
+    def close() -> pa.RecordBatch:
+        ids, gone, lengths, known, base, model = state
+        columns = [pa.array(ids, mask=gone.astype(bool)), pa.array(lengths), pa.array(known.round().astype(np.int64)), pa.array(base), pa.array(model)]
+        return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SCORED.split(", ")])
+
+    for batch in batches:
+        for kind, a, b, c, d in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4, 5, 6)), strict=True):
+            if kind == OWN:
+                if state is not None:
+                    yield close()
+                sums = np.frombuffer(d, np.float64).reshape(3, -1).copy()
+                state = [np.frombuffer(a, np.int64), np.frombuffer(b, np.uint8), np.frombuffer(c, np.int64), *sums]
+                continue
+            at, x = np.frombuffer(a, np.uint32), np.frombuffer(b, np.float64)
+            state[5][at] += x
+            if kind == COUNT_ASKED:
+                state[4][at] += x
+                state[3][at] += np.frombuffer(c, np.float64)
+    if state is not None:
+        yield close()
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (unigram) and ``score``."""
     spark = docs.sparkSession
-    small_batches(spark)
-    held = spark.sparkContext.broadcast({k: v for k, v in model.items() if k != "table"})
-    n, v = model["n"], model["v"]
-    whole = np.log10(n + SMOOTH * (v + 1))
-    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small_batches(spark, 200)
+    held = spark.sparkContext.broadcast({k: v for k, v in model.items() if k != "tables"})
+    n, v, bits = model["n"], model["v"], model["bits"]
+    whole = float(np.log10(n + SMOOTH * (v + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        vocabulary = Vocabulary(m["hot"])
+        vocabulary = Vocabulary(m)
         lz = np.log10(m["z"])
+        task, number = TaskContext.get().partitionId() << 32, 0
+        own: list[tuple] = []
+        pairs: list[tuple] = []
+        rare: list[tuple] = []
+        size = n_docs = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size, n_docs, number
+            me = task + number
+            number += 1
+            ids, gone, lengths = (np.concatenate([o[k] for o in own]) for k in range(3))
+            sums = np.concatenate([o[3] for o in own], axis=1)
+            rows = [(me % (1 << bits), OWN, me, ids, gone, lengths, sums)]
+            for found, kind in ((pairs, PAIR_ASKED), (rare, COUNT_ASKED)):
+                keys, doc = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+                part = (keys >> np.uint64(64 - bits)).astype(np.int32)
+                rows += asked(part, doc, short(keys, bits) if kind == PAIR_ASKED else keys, kind, me)
+            for found in (own, pairs, rare):
+                found.clear()
+            size = n_docs = 0
+            for at in range(0, len(rows), 64):
+                yield packed(rows[at : at + 64], TABLE)
+
         for batch in batches:
-            uids, names = batch.column(0).to_numpy(), batch.column(1)
-            for first, lengths, ids, place in batches_of(batch.column(2).to_pylist(), vocabulary):
-                cls = vocabulary.classes[ids]
-                keys = vocabulary.keys[ids]
-                known = vocabulary.known[ids]
+            names = batch.column(0)
+            for first, lengths, ids, place in batches_of(batch.column(1).to_pylist(), vocabulary):
+                cls, keys, known = vocabulary.classes[ids], vocabulary.keys[ids], vocabulary.known[ids]
                 rows = features(keys, place)
                 lp = np.empty(len(ids))
                 for a in range(0, len(ids), CHUNK):
                     p = probabilities(m["weights"], m["bias"], rows[:, a : a + CHUNK])
                     lp[a : a + CHUNK] = np.log10(np.maximum(p[np.arange(len(p)), cls[a : a + CHUNK]], 1e-30))
                 lp -= lz[cls]
-                is_hot = known > 0
-                lc = np.where(is_hot, np.log10(known + SMOOTH), 0.0)
+                here = known > 0
+                lc = np.where(here, np.log10(known + SMOOTH), 0.0)
                 starts = np.cumsum(lengths) - lengths
                 per = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
-                # rare tokens, once for each document
-                doc = np.repeat(np.arange(len(lengths)), lengths)
-                order = np.flatnonzero(~is_hot)
-                order = order[np.lexsort((ids[order], doc[order]))]
-                d, k = doc[order], ids[order]
-                new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (k[1:] != k[:-1])]) if len(order) else np.zeros(0, np.int64)
-                times = np.diff(np.r_[new, len(order)]).astype(np.int32)
-                here = uids[first : first + len(lengths)]
-                nulls = pa.nulls(len(new), pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())]))
-                total = pa.StructArray.from_arrays(
-                    [
-                        names.slice(first, len(lengths)), pa.array(lengths, pa.int64()), pa.array(per(is_hot.astype(np.int64))),
-                        pa.array(per(lc)), pa.array(per(lp + lc)),
-                    ],
-                    ["doc_id", "n_tokens", "n_known", "base", "model"],
-                )
-                # a document's own row has a key of its own, so that no key gathers them
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.r_[here, here[d[new]]], pa.int64()), pa.array(np.r_[here * 2 + 1, keys[order][new]], pa.int64()),
-                        pa.array(np.r_[np.zeros(len(lengths), np.int32), times], pa.int32()), pa.concat_arrays([total, nulls]),
-                    ],
-                    ["uid", "key", "n", "doc"],
-                )
-
-    flat = source.mapInArrow(run, ROW)
-    rare = model["table"].where(F.col("c") * HOT <= n).select("key", "c")
-    joined = flat.join(rare, "key", "left")
-    own = F.col("doc").isNull()
-    worth = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)
-    sums = joined.groupBy("uid").agg(
-        F.max("doc").alias("doc"),
-        F.sum(F.when(own, worth).otherwise(0.0)).alias("rare"),
-        F.sum(F.when(own & F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"),
-    )
-    return sums.select(
-        "doc.doc_id", "doc.n_tokens",
-        (F.col("doc.n_known") + F.col("rare_known")).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("doc.base") + F.col("rare") - F.col("doc.n_tokens") * F.lit(float(whole))).alias("base_score"),
-        (F.col("doc.model") + F.col("rare")).alias("score"),
-    )
+                doc = np.repeat(np.arange(n_docs, n_docs + len(lengths), dtype=np.int32), lengths)
+                named = names.slice(first, len(lengths))
+                own.append((
+                    named.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), named.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), lengths.astype(np.int64),
+                    np.stack([per(here.astype(np.float64)), per(lc) - lengths * whole, per(lp + lc)]),
+                ))
+                at, by_token, by_class = pair_keys(keys, place, cls)
+                pairs.append((np.concatenate([by_token, by_class]), np.tile(doc[at], 2)))
+                away = np.flatnonzero(~here)
+                rare.append((keys[away].view(np.uint64), doc[away]))
+                n_docs += len(lengths)
+                size += 2 * len(at) + len(away)
+                if size > PACK:
+                    yield from flush()
+        if own:
+            yield from flush()
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = model["tables"].unionByName(source.mapInArrow(run, TABLE))
+    answers = rows.repartition(1 << bits, "part").sortWithinPartitions("part", "kind").mapInArrow(answer, TABLE)
+    scored = answers.repartition("flush").sortWithinPartitions("flush", "kind").mapInArrow(summed, SCORED)
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"))
 
 
 def op7_lm(spark, sf_dir: str) -> DataFrame:

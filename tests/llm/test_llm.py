@@ -400,6 +400,92 @@ def test_lm(spark, odd, empty, docs):
     assert lm.score(empty, model).count() == 0 and lm.score(two, model).count() == len(ODD)
 
 
+def trained_on(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return df, lm.train(df)
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    """Inside every frequent class, after every token, over all tokens; and of the classes, after any context."""
+    texts = [prose(40, i) for i in range(30)] + ["a b a b a c"]
+    _, m = trained_on(spark, texts)
+    pairs = {r.part: (lm.np.frombuffer(r.a, lm.np.uint32), lm.np.frombuffer(r.b, lm.np.uint16) / lm.GAIN - 8) for r in m["tables"].where(F.col("kind") == lm.PAIR_TABLE).collect()}
+    rows = m["tables"].where(F.col("kind") == lm.COUNT_TABLE).count()
+    assert rows == 0 and len(m["keys"]) == m["v"]  # all counts of so small a corpus are broadcast
+    seen = {(x, y) for t in texts for x, y in zip([None, *lm.tokens(t)], lm.tokens(t))}
+
+    def gains(before, keys, cls):
+        head = [] if before is None else [lm.key(before)]
+        stream = lm.np.array([x for k in keys for x in (*head, k)], lm.np.int64)
+        place = lm.np.tile(lm.np.arange(len(head) + 1), len(keys))
+        at, by_token, by_class = lm.pair_keys(stream, place, lm.np.repeat(cls, len(head) + 1))
+        last = lm.np.isin(at, lm.np.flatnonzero(place == len(head)))
+        out = []
+        for found in (by_token[last], by_class[last]):
+            part, short = (found >> lm.np.uint64(64 - m["bits"])).astype(int), lm.short(found, m["bits"])
+            out.append(lm.np.array([lm.looked_up(*pairs.get(p, (lm.np.zeros(0), lm.np.zeros(0))), lm.np.array([k]), 0.0)[0] for p, k in zip(part, short)]))
+        return sum(out)
+
+    for before in [None, b"a", b"b", b"never"] + [x for x, _ in list(seen)[:20]]:
+        for c in range(lm.HOT_CLASSES):
+            mine = m["classes"] == c
+            if mine.any():
+                q = (m["counts"][mine] + lm.SMOOTH) / m["z"][c]
+                assert (q * 10 ** gains(before, m["keys"][mine], m["classes"][mine])).sum() == pytest.approx(1, abs=2e-3)
+    for c in range(lm.HOT_CLASSES, lm.CLASSES):
+        mine = m["classes"] == c
+        assert ((m["counts"][mine] + lm.SMOOTH).sum() + lm.SMOOTH) / m["z"][c] == pytest.approx(1)
+    p = lm.probabilities(m["weights"], m["bias"], lm.features(m["keys"], lm.np.arange(len(m["keys"]))))
+    assert p.sum(axis=1) == pytest.approx(lm.np.ones(len(p)), abs=1e-5)
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_lm_gradient(spark, first):
+    """Against finite differences of the log-likelihood of the classes."""
+    texts = [prose(25, i) for i in range(5)] + ["", "a a a"]
+    df, m = trained_on(spark, texts)
+    w = lm.np.zeros_like(m["weights"]) if first else m["weights"]
+    sums = lm.gradients(df, spark.sparkContext.broadcast({k: x for k, x in m.items() if k != "tables"} | {"weights": w}), first)
+    vocabulary = lm.Vocabulary(m)
+    parts = list(lm.batches_of(texts, vocabulary))
+
+    def likelihood(weights):
+        total = 0.0
+        for _, _, ids, place in parts:
+            z = sum(weights[r] for r in lm.features(vocabulary.keys[ids], place)) + m["bias"].astype(float)
+            z -= lm.np.log(lm.np.exp(z).sum(axis=1, keepdims=True))
+            total += z[lm.np.arange(len(ids)), vocabulary.classes[ids]].sum()
+        return total
+
+    rows = lm.features(vocabulary.keys[parts[0][2]], parts[0][3])
+    for row, c in [(rows[k, i], (i * 5 + k) % lm.CLASSES) for k in range(4) for i in (0, 3, 11)]:
+        step = lm.np.zeros(w.shape)
+        step[row, c] = 1e-4
+        slope = (likelihood(w + step) - likelihood(w - step)) / 2e-4
+        curve = -(likelihood(w + step) - 2 * likelihood(w.astype(float)) + likelihood(w - step)) / 1e-8
+        assert sums[row, c] == pytest.approx(slope, abs=1e-2)
+        assert len(set(map(tuple, rows.T.tolist()))) < 5 or sums[row, lm.CLASSES + c] == pytest.approx(curve, rel=0.2, abs=0.1)
+
+
+def test_lm_learns_pairs(spark, odd):
+    """Counts that are looked up, not broadcast; and what was seen together scores higher than apart."""
+    pairs = [f"{a}{i % 7} {b}{i % 7}" for i in range(400) for a, b in (("left", "right"),)]
+    df, m = trained_on(spark, pairs)
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame([(1, "left1 right1"), (2, "left1 right2")], "doc_id long, text string"), m).collect()}
+    assert got[1] > got[2] + 0.5
+    clash = odd.withColumns({"part": F.lit(1), "flush": F.lit(2), "key": F.lit("x")})
+    assert lm.score(clash, m).count() == len(ODD)
+
+
+def test_lm_counts_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lm, "KNOWN", 20)
+    monkeypatch.setattr(lm, "FREQUENT", 10)
+    monkeypatch.setattr(lm, "PACK", 50)
+    texts = [(i, prose(30 + i, i)) for i in range(40)] + [(40, None), (41, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    check_lm(lm.score(df, lm.train(df)).collect(), texts, lambda i: True)
+
+
 def shingles(t, k):
     w = (t or "").encode().lower().split()
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
