@@ -41,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import HOT_SHARE, cut, read, salted_join, small_batches, unused
@@ -227,11 +227,10 @@ def residual(docs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """Pairs (``a``, ``b``) of ``docs`` (id, comp, u, n, p) of different components that may be linked.
 
     Joined by rare shingle and size class; see the module's text for why that is exact."""
-    flat = cut(held.join(docs.select("id"), "id", "left_semi").select("id", F.explode("s").alias("x")), "near-flat")
-    often = cut(flat.groupBy("x").agg(F.count(F.lit(1)).alias("c")), "near-often")
-    n = flat.count()
-    hot = often.where(F.col("c") * HOT_SHARE > n).select("x")
-    ranked = salted_join(flat, often, ["x"], ["id"], hot=hot).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("r"))
+    flat = held.join(docs.select("id"), "id", "left_semi").select("id", F.explode("s").alias("x"))
+    # a shingle stands once in a document, so none has more rows than there are documents
+    counted = flat.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("x")))
+    ranked = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("r"))
     rarest = F.slice("r", F.lit(1), (F.size("r") - F.ceil(F.size("r") * F.lit(percent) / 100) + 1).cast("int"))
     keys = ranked.select("id", F.explode(F.transform(F.filter(rarest, lambda r: r["c"] > 1), lambda r: r["x"])).alias("x"))
     step = F.lit(math.log(100 / percent) * (1 + 1e-9))  # rounding must not move sets two classes apart
