@@ -13,9 +13,10 @@ The next token's probability is factored as P(class | context) * P(token | class
 
 Frequent tokens are those of more than one in ``FREQUENT`` of all, so there are fewer than that.
 Counts are taken over all training documents.  The class weights are trained by distributed updates:
-each round every task sums gradient and curvature over its documents at the current weights, the sums
-are added up block by block, and the driver takes one damped Newton step.  Both rounds see all training
-documents, the first at zero weights.
+each round every task sums the gradient over its documents at the current weights, the sums are added
+up block by block, and the driver takes one step, damped and scaled by the curvature at zero weights.
+Both rounds see all training documents; the first, at zero weights, needs no more than counts of
+features and classes, and collects the pairs on the way.
 
 Features and counts that can't be broadcast are looked up in blobs: a task packs what a stretch of its
 documents asks for into one array for each part of the tables, the parts answer with a sum for each
@@ -51,7 +52,8 @@ SMOOTH = 0.1
 #: Weight of the class's own shares against what was seen after the previous token.
 PRIOR = 5.0
 #: Tokens for each part of the dealt tables, and entries that a task gathers before it sends them on.
-PART_TOKENS, PACK = 1_000_000, 3_000_000
+PART_TOKENS, PACK = 1_000_000, 4_000_000
+LEAST_BITS = 8
 #: Steps of a stored gain and of a stored share's logarithm.
 GAIN, SHARE = 4096, 2048
 BLOCK = 128
@@ -148,8 +150,8 @@ def pair_keys(keys: np.ndarray, place: np.ndarray, cls: np.ndarray) -> tuple[np.
 
 
 def part_bits(n_tokens: int) -> int:
-    """The tables have 2 ** bits parts."""
-    return max(3, (n_tokens // PART_TOKENS).bit_length())
+    """The tables have 2 ** bits parts, of which a task holds one at a time."""
+    return min(16, max(LEAST_BITS, (n_tokens // PART_TOKENS).bit_length()))
 
 
 def short(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -200,142 +202,155 @@ def probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np
     return z
 
 
-def gradients(docs: DataFrame, model, first: bool) -> np.ndarray:
-    """Gradient and curvature of the log-likelihood over ``docs``: shape (ROWS, 2 * CLASSES).
+PAIRS = "part int, keys binary, shares binary, counts binary"
+TABLE = "part int, kind int, flush long, a binary, b binary, c binary, d binary"
+#: Kinds of rows in the exchange, in the order in which a part reads them.
+GRADIENT, PAIR_TABLE, COUNT_TABLE, OWN, PAIR_ASKED, COUNT_ASKED = range(6)
+LOW = np.uint64((1 << 16) - 1)
+
+
+def packed(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """A batch of rows whose arrays become binaries."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x.tobytes() if isinstance(x, np.ndarray) else x for x in c], kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields]
+    )
+
+
+def blocks(x: np.ndarray) -> list[tuple]:
+    """Rows for the exchange: the blocks of weight rows in which anything is not zero."""
+    parts = x.reshape(ROWS // BLOCK, -1)
+    return [(-1 - int(i), parts[i].astype(np.float32), None, None) for i in np.flatnonzero(parts.any(axis=1))]
+
+
+def gathered(sums: DataFrame) -> np.ndarray:
+    """The summed blocks as an array: ROWS x CLASSES, whatever the corpus."""
+    out = np.zeros((ROWS // BLOCK, BLOCK * CLASSES), np.float32)
+    for r in sums.where(F.col("kind") == GRADIENT).select("part", "a").toLocalIterator():
+        out[-1 - r.part] = np.frombuffer(r.a, np.float32)
+    return out.reshape(ROWS, CLASSES)
+
+
+def at_zero(seen: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature at zero weights, where all probabilities are the prior's, from how often
+    each feature was seen with each class."""
+    prior = np.exp(bias.astype(np.float64))
+    prior /= prior.sum()
+    total = seen.sum(axis=1, keepdims=True)
+    return seen - total * prior, total * (prior * (1 - prior))
+
+
+def gradients(docs: DataFrame, model) -> np.ndarray:
+    """Gradient of the classes' log-likelihood over ``docs`` at the model's weights: ROWS x CLASSES.
 
     Only sums of blocks of weight rows leave a task, and they are added up where they arrive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         vocabulary = Vocabulary(m)
-        both = np.zeros((ROWS, 2 * CLASSES), np.float32)  # gradient, curvature
-        ones = np.zeros((ROWS, CLASSES), np.float32)
-        prior = np.exp(m["bias"])
-        prior /= prior.sum()
+        total = np.zeros((ROWS, CLASSES), np.float32)
         for batch in batches:
             for _, _, ids, place in batches_of(batch.column(0).to_pylist(), vocabulary):
                 cls = vocabulary.classes[ids]
                 rows = features(vocabulary.keys[ids], place)
-                if first:  # all probabilities are the prior's; it is subtracted at the end
-                    for r in rows:
-                        np.add.at(ones.reshape(-1), r * CLASSES + cls, np.float32(1))
-                    continue
                 for a in range(0, len(ids), CHUNK):
                     part = rows[:, a : a + CHUNK]
-                    p = probabilities(m["weights"], m["bias"], part)
-                    each = np.concatenate([-p, p * (1 - p)], axis=1)
-                    each[np.arange(len(p)), cls[a : a + CHUNK]] += 1
+                    each = -probabilities(m["weights"], m["bias"], part)
+                    each[np.arange(len(each)), cls[a : a + CHUNK]] += 1
                     for r in part:
                         order = np.argsort(r.astype(np.uint16), kind="stable")  # 16 bits: numpy sorts by radix
                         ordered = r.take(order)
                         starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-                        both[ordered[starts]] += np.add.reduceat(each.take(order, axis=0), starts, axis=0)
-        if first:
-            total = ones.sum(axis=1, keepdims=True)
-            both = np.concatenate([ones - total * prior.astype(np.float32), total * (prior * (1 - prior)).astype(np.float32)], axis=1)
-        both = both.reshape(ROWS // BLOCK, -1)
-        some = np.flatnonzero(both.any(axis=1))
-        for a in range(0, len(some), 32):
-            yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 32], pa.int32()), pa.array([x.tobytes() for x in both[some[a : a + 32]]], pa.binary())], ["block", "sums"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for b, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(s, np.float32)
-                total[b] = total[b] + x if b in total else x.astype(np.float64)
-        for b, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["block", "sums"])
+                        total[ordered[starts]] += np.add.reduceat(each.take(order, axis=0), starts, axis=0)
+        found = blocks(total)
+        for at in range(0, len(found), 64):
+            yield packed(found[at : at + 64], PAIRS)
 
-    kind = "block int, sums binary"
-    sums = docs.select("text").mapInArrow(run, kind).repartition("block").mapInArrow(add, kind)
-    out = np.zeros((ROWS // BLOCK, BLOCK * 2 * CLASSES), np.float32)
-    for r in sums.toLocalIterator():  # the model: ROWS x CLASSES, whatever the corpus
-        out[r.block] = np.frombuffer(r.sums, np.float32)
-    return out.reshape(ROWS, 2 * CLASSES)
+    flat = docs.select("text").mapInArrow(run, PAIRS)
+    return gathered(flat.repartition("part").sortWithinPartitions("part").mapInArrow(added, TABLE))
 
 
-PAIRS = "part int, keys binary, shares binary, counts binary"
-TABLE = "part int, kind int, flush long, a binary, b binary, c binary, d binary"
-#: Kinds of rows in the exchange, in the order in which a part reads them.
-PAIR_TABLE, COUNT_TABLE, OWN, PAIR_ASKED, COUNT_ASKED = range(5)
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each part its pairs' gains, for each block its sum; a part's rows come together."""
+    part, held = None, []
 
+    def close() -> pa.RecordBatch:
+        if part < 0:
+            total = sum(np.frombuffer(k, np.float32).astype(np.float64) for k, _, _ in held)
+            return packed([(part, GRADIENT, None, total.astype(np.float32), None, None, None)], TABLE)
+        keys = np.concatenate([np.frombuffer(k, np.uint32) for k, _, _ in held])
+        shares = np.concatenate([np.frombuffer(s, np.uint16) for _, s, _ in held])
+        counts = np.concatenate([np.frombuffer(c, np.uint32) for _, _, c in held])
+        order = np.argsort(keys)
+        keys = keys[order]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        total = np.add.reduceat(counts[order].astype(np.float64), starts)
+        share = shares[order[starts]].astype(np.float64)
+        gain = np.where(share > 0, np.log10(1 + total * np.exp2((share - 1) / SHARE) / PRIOR), -np.log10(1 + total / PRIOR))
+        return packed([(part, PAIR_TABLE, None, keys[starts], np.round((gain + 8) * GAIN).astype(np.uint16), None, None)], TABLE)
 
-def packed(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    """A batch of rows whose arrays become binaries."""
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    fields = [f.split() for f in schema.split(", ")]
-    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([x.tobytes() if isinstance(x, np.ndarray) else x for x in c], kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields]
-    )
+    for batch in batches:
+        for p, *arrays in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if p != part:
+                if held:
+                    yield close()
+                part, held = p, []
+            held.append(arrays)
+    if held:
+        yield close()
 
 
-def pair_table(docs: DataFrame, model, bits: int) -> DataFrame:
-    """The pair features of ``docs``, a row for each part: sorted keys (``a``) and gains (``b``)."""
+def collected(docs: DataFrame, model, bits: int) -> DataFrame:
+    """What the first round gathers from ``docs``: how often features were seen with classes (a row for
+    each block), and the pairs' keys (``a``) and gains (``b``), a row for each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         vocabulary = Vocabulary(m)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen = np.zeros(ROWS * CLASSES, np.int64)
+        held: list[np.ndarray] = []
+        spots: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal size
-            keys = np.concatenate([k for k, _ in held]) if held else np.zeros(0, np.uint64)
-            shares = np.concatenate([s for _, s in held]) if held else np.zeros(0, np.uint16)
+            nonlocal size, seen
+            if spots:
+                seen += np.bincount(np.concatenate(spots), minlength=ROWS * CLASSES)
+            # the upper 48 bits are the key's, the lower 16 its share, so one plain sort does for both
+            both = np.sort(np.concatenate([*held, np.zeros(0, np.uint64)]))
             held.clear()
+            spots.clear()
             size = 0
-            order = np.argsort(keys)
-            keys = keys[order]
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-            counts = np.diff(np.r_[starts, len(keys)]).astype(np.uint32)
-            shares, keys = shares[order[starts]], keys[starts]
-            cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            rows = [(i, short(keys[a:b], bits), shares[a:b], counts[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+            starts = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
+            counts = np.diff(np.r_[starts, len(both)]).astype(np.uint32)
+            both = both[starts]
+            keys, shares = short(both, bits), (both & LOW).astype(np.uint16)
+            cuts = np.searchsorted(both >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            rows = [(i, keys[a:b], shares[a:b], counts[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
             for at in range(0, len(rows), 64):
                 yield packed(rows[at : at + 64], PAIRS)
 
         for batch in batches:
             for _, _, ids, place in batches_of(batch.column(0).to_pylist(), vocabulary):
-                cls = vocabulary.classes[ids]
-                at, pairs, classes = pair_keys(vocabulary.keys[ids], place, cls)
+                cls, keys = vocabulary.classes[ids], vocabulary.keys[ids]
+                spots.append((features(keys, place) * CLASSES + cls).reshape(-1))
+                at, pairs, classes = pair_keys(keys, place, cls)
                 q = (vocabulary.known[ids[at]] + SMOOTH) / m["z"][cls[at]]
-                held.append((pairs, (1.5 - np.log2(np.minimum(q, 1.0)) * SHARE).astype(np.uint16)))
-                held.append((classes, np.zeros(len(at), np.uint16)))
-                size += 2 * len(at)
+                held.append((pairs & ~LOW) | (1.5 - np.log2(np.minimum(q, 1.0)) * SHARE).astype(np.uint64))
+                held.append(classes & ~LOW)
+                size += 2 * len(at) + len(ids)
                 if size > PACK:
                     yield from flush()
         yield from flush()
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = -1, []
-
-        def close() -> pa.RecordBatch:
-            keys = np.concatenate([np.frombuffer(k, np.uint32) for k, _, _ in held])
-            shares = np.concatenate([np.frombuffer(s, np.uint16) for _, s, _ in held])
-            counts = np.concatenate([np.frombuffer(c, np.uint32) for _, _, c in held])
-            order = np.argsort(keys)
-            keys = keys[order]
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            total = np.add.reduceat(counts[order].astype(np.float64), starts)
-            share = shares[order[starts]].astype(np.float64)
-            gain = np.where(share > 0, np.log10(1 + total * np.exp2((share - 1) / SHARE) / PRIOR), -np.log10(1 + total / PRIOR))
-            return packed([(part, PAIR_TABLE, None, keys[starts], np.round((gain + 8) * GAIN).astype(np.uint16), None, None)], TABLE)
-
-        for batch in batches:
-            for p, *arrays in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if p != part:
-                    if held:
-                        yield close()
-                    part, held = p, []
-                held.append(arrays)
-        if held:
-            yield close()
+        found = blocks(seen)
+        for at in range(0, len(found), 64):
+            yield packed(found[at : at + 64], PAIRS)
 
     small_batches(docs.sparkSession, 200)
     flat = docs.select("text").mapInArrow(run, PAIRS)
-    return flat.repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(add, TABLE)
+    return cut(flat.repartition("part").sortWithinPartitions("part").mapInArrow(added, TABLE), "lm-pairs")
 
 
 def count_table(rare: DataFrame, bits: int) -> DataFrame:
@@ -363,7 +378,7 @@ def count_table(rare: DataFrame, bits: int) -> DataFrame:
             yield close()
 
     parted = rare.select(F.shiftrightunsigned("key", 64 - bits).cast("int").alias("part"), "key", "c")
-    return parted.repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(run, TABLE)
+    return parted.repartition("part").sortWithinPartitions("part").mapInArrow(run, TABLE)
 
 
 def train(docs: DataFrame) -> dict:
@@ -391,12 +406,14 @@ def train(docs: DataFrame) -> dict:
         "keys": keys[by_key], "counts": c[by_key].astype(np.float64), "classes": classes[by_key], "bias": bias, "z": np.maximum(z, SMOOTH),
         "weights": np.zeros((ROWS, CLASSES), np.float32), "n": n, "v": v,
     }
-    for turn in range(2):
-        held = spark.sparkContext.broadcast(model)
-        sums = gradients(docs, held, first=turn == 0)
-        model = model | {"weights": model["weights"] + STEP * sums[:, :CLASSES] / (sums[:, CLASSES:] + DAMP)}
     bits = part_bits(n)
-    pairs = cut(pair_table(docs, spark.sparkContext.broadcast(model), bits), "lm-pairs")
+    first = collected(docs, spark.sparkContext.broadcast(model), bits)
+    gradient, curvature = at_zero(gathered(first), bias)
+    step = STEP / (curvature + DAMP)
+    model |= {"weights": (step * gradient).astype(np.float32)}
+    gradient = gradients(docs, spark.sparkContext.broadcast(model))
+    model |= {"weights": model["weights"] + (step * gradient).astype(np.float32)}
+    pairs = first.where(F.col("kind") == PAIR_TABLE)
     return model | {"bits": bits, "tables": pairs.unionByName(count_table(rare, bits))}
 
 
@@ -404,8 +421,12 @@ def asked(part: np.ndarray, doc: np.ndarray, keys: np.ndarray, kind: int, flush:
     """A row for each part: keys by document, how often each, the documents and their numbers of keys."""
     if not len(keys):
         return []
-    order = np.lexsort((keys, doc, part))
-    part, doc, keys = part[order], doc[order], keys[order]
+    if keys.dtype == np.uint32 and part.max() < 1 << 12 and doc.max() < 1 << 20:  # one plain sort of all three
+        one = np.sort((part.astype(np.uint64) << np.uint64(52)) | (doc.astype(np.uint64) << np.uint64(32)) | keys)
+        part, doc, keys = (one >> np.uint64(52)).astype(np.int32), ((one >> np.uint64(32)) & np.uint64((1 << 20) - 1)).astype(np.int32), one.astype(np.uint32)
+    else:
+        order = np.lexsort((keys, doc, part))
+        part, doc, keys = part[order], doc[order], keys[order]
     starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1])])
     times = np.diff(np.r_[starts, len(keys)]).astype(np.uint32)
     part, doc, keys = part[starts], doc[starts], keys[starts]
@@ -547,7 +568,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = model["tables"].unionByName(source.mapInArrow(run, TABLE))
-    answers = rows.repartition(1 << bits, "part").sortWithinPartitions("part", "kind").mapInArrow(answer, TABLE)
+    answers = rows.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(answer, TABLE)
     scored = answers.repartition("flush").sortWithinPartitions("flush", "kind").mapInArrow(summed, SCORED)
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"))
 
