@@ -52,8 +52,8 @@ SMOOTH = 0.1
 #: Weight of the class's own shares against what was seen after the previous token.
 PRIOR = 5.0
 #: Tokens for each part of the dealt tables, and entries that a task gathers before it sends them on.
-PART_TOKENS, PACK = 1_000_000, 4_000_000
-LEAST_BITS = 8
+PART_TOKENS, PACK = 4_000_000, 4_000_000
+LEAST_BITS = 5
 #: Steps of a stored gain and of a stored share's logarithm.
 GAIN, SHARE = 4096, 2048
 BLOCK = 128
@@ -73,9 +73,9 @@ def tail_class(word: bytes) -> int:
     return HOT_CLASSES + zlib.crc32(word[-1:]) % TAIL_CLASSES
 
 
-def tokens(text: str | None) -> list[bytes]:
+def tokens(text: str | bytes | None) -> list[bytes]:
     """Words, then the end token (which no word equals)."""
-    found = (text or "").encode("utf-8", "replace").lower().split()
+    found = (text.encode("utf-8", "replace") if isinstance(text, str) else text or b"").lower().split()
     found.append(b"")
     return found
 
@@ -96,7 +96,7 @@ def counts(docs: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
                 seen.update(tokens(text))
             if len(seen) > FLUSH:
                 yield flush()
@@ -106,19 +106,31 @@ def counts(docs: DataFrame) -> DataFrame:
     return partial.groupBy("key").agg(F.min("cls").alias("cls"), F.sum("c").alias("c"))
 
 
+class Index(dict):
+    """Numbers words as they come, and lists the new ones."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Vocabulary:
     """Numbers of tokens in a batch: their keys, classes and, where broadcast, counts."""
 
     def __init__(self, model: dict):
         self.model = model
-        self.index: dict[bytes, int] = {}
+        self.index = Index()
         self.keys, self.classes, self.known = np.zeros(FLUSH, np.int64), np.zeros(FLUSH, np.int64), np.zeros(FLUSH)
 
     def __call__(self, found: list[bytes]) -> np.ndarray:
         index, m = self.index, self.model
-        new = list(set(found).difference(index))
-        if new:
-            a, b = len(index), len(index) + len(new)
+        ids = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
+        if new := index.new:
+            a, b = len(index) - len(new), len(index)
             while b > len(self.keys):
                 self.keys, self.classes, self.known = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.classes, self.known))
             keys = np.fromiter(map(key, new), np.int64, len(new))
@@ -130,8 +142,8 @@ class Vocabulary:
                 here = np.flatnonzero(m["keys"][at] == keys)
                 self.known[a + here] = m["counts"][at[here]]
                 self.classes[a + here] = m["classes"][at[here]]
-            index.update(zip(new, range(a, b), strict=True))
-        return np.fromiter(map(index.__getitem__, found), np.int64, len(found))
+            index.new = []
+        return ids
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -175,7 +187,7 @@ def features(keys: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.stack([(mixed(c) >> shift).astype(np.int64) for c in contexts])
 
 
-def batches_of(texts: list[str | None], vocabulary: Vocabulary) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def batches_of(texts: list[bytes | None], vocabulary: Vocabulary) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Texts in stretches of some CHUNK tokens or more: first text, lengths, token numbers, places."""
     at, first, lengths, found = 0, 0, [], []
     for i, text in enumerate(texts):
@@ -250,21 +262,19 @@ def gradients(docs: DataFrame, model) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         vocabulary = Vocabulary(m)
-        total = np.zeros((ROWS, CLASSES), np.float32)
+        total = np.zeros((CLASSES, ROWS))
         for batch in batches:
-            for _, _, ids, place in batches_of(batch.column(0).to_pylist(), vocabulary):
+            for _, _, ids, place in batches_of(batch.column(0).cast(pa.binary()).to_pylist(), vocabulary):
                 cls = vocabulary.classes[ids]
                 rows = features(vocabulary.keys[ids], place)
                 for a in range(0, len(ids), CHUNK):
                     part = rows[:, a : a + CHUNK]
                     each = -probabilities(m["weights"], m["bias"], part)
                     each[np.arange(len(each)), cls[a : a + CHUNK]] += 1
-                    for r in part:
-                        order = np.argsort(r.astype(np.uint16), kind="stable")  # 16 bits: numpy sorts by radix
-                        ordered = r.take(order)
-                        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-                        total[ordered[starts]] += np.add.reduceat(each.take(order, axis=0), starts, axis=0)
-        found = blocks(total)
+                    spots = part.reshape(-1)
+                    for c, x in enumerate(np.ascontiguousarray(each.T)):  # class by class, the sums stay in cache
+                        total[c] += np.bincount(spots, np.tile(x, len(part)), ROWS)
+        found = blocks(np.ascontiguousarray(total.T))
         for at in range(0, len(found), 64):
             yield packed(found[at : at + 64], PAIRS)
 
@@ -333,7 +343,7 @@ def collected(docs: DataFrame, model, bits: int) -> DataFrame:
                 yield packed(rows[at : at + 64], PAIRS)
 
         for batch in batches:
-            for _, _, ids, place in batches_of(batch.column(0).to_pylist(), vocabulary):
+            for _, _, ids, place in batches_of(batch.column(0).cast(pa.binary()).to_pylist(), vocabulary):
                 cls, keys = vocabulary.classes[ids], vocabulary.keys[ids]
                 spots.append((features(keys, place) * CLASSES + cls).reshape(-1))
                 at, pairs, classes = pair_keys(keys, place, cls)
@@ -464,11 +474,11 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 starts = np.cumsum(lengths) - lengths
                 if kind == PAIR_ASKED:
                     sums = np.add.reduceat(times * looked_up(*pairs, np.frombuffer(a, np.uint32), 0.0), starts)
-                    yield packed([(p, kind, flush, c, sums, None, None)], TABLE)
+                    yield packed([(p, kind, flush, c, sums.astype(np.float32), None, None)], TABLE)
                 else:
                     found = looked_up(*counts, np.frombuffer(a, np.uint64), 0)
                     sums = np.add.reduceat(times * np.log10(found + SMOOTH), starts)
-                    yield packed([(p, kind, flush, c, sums, np.add.reduceat(times * (found > 0), starts), None)], TABLE)
+                    yield packed([(p, kind, flush, c, sums, np.add.reduceat(times * (found > 0), starts).astype(np.uint32), None)], TABLE)
 
 
 SCORED = "doc_id long, n_tokens long, n_known long, base double, model double"
@@ -491,11 +501,11 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums = np.frombuffer(d, np.float64).reshape(3, -1).copy()
                 state = [np.frombuffer(a, np.int64), np.frombuffer(b, np.uint8), np.frombuffer(c, np.int64), *sums]
                 continue
-            at, x = np.frombuffer(a, np.uint32), np.frombuffer(b, np.float64)
+            at, x = np.frombuffer(a, np.uint32), np.frombuffer(b, np.float64 if kind == COUNT_ASKED else np.float32)
             state[5][at] += x
             if kind == COUNT_ASKED:
                 state[4][at] += x
-                state[3][at] += np.frombuffer(c, np.float64)
+                state[3][at] += np.frombuffer(c, np.uint32)
     if state is not None:
         yield close()
 
@@ -537,7 +547,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
         for batch in batches:
             names = batch.column(0)
-            for first, lengths, ids, place in batches_of(batch.column(1).to_pylist(), vocabulary):
+            for first, lengths, ids, place in batches_of(batch.column(1).cast(pa.binary()).to_pylist(), vocabulary):
                 cls, keys, known = vocabulary.classes[ids], vocabulary.keys[ids], vocabulary.known[ids]
                 rows = features(keys, place)
                 lp = np.empty(len(ids))
