@@ -52,14 +52,14 @@ SMOOTH = 0.1
 #: Weight of the class's own shares against what was seen after the previous token.
 PRIOR = 5.0
 #: Tokens for each part of the dealt tables, and entries that a task gathers before it sends them on.
-PART_TOKENS, PACK = 4_000_000, 4_000_000
+PART_TOKENS, PACK = 4_000_000, 1_200_000
 LEAST_BITS = 5
 #: Steps of a stored gain and of a stored share's logarithm.
 GAIN, SHARE = 4096, 2048
 BLOCK = 128
 STEP, DAMP = 0.3, 20.0
 CHUNK = 16_384
-FLUSH = 400_000
+FLUSH = 200_000
 END = xxhash.xxh3_64_intdigest(b"")
 SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
