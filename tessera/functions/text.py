@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 BLANK = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
+#: The same characters for Python's strip.
+BLANKS = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trimmed(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
     return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")

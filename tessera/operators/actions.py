@@ -12,6 +12,7 @@ FIELDS = "action string, templateType string, domain string, componentName strin
 #: How kinds of file are called when their path is asked for.
 LABELS = {"page": "페이지 컴포넌트", "component": "컴포넌트", "store": "스토어", "api": "API 모듈", "router": "라우터"}
 OTHER_LABEL = "파일"
+#: What is said of a block without metadata, and of one whose metadata is no JSON.
 NO_META, BAD_META = "JSON 메타데이터를 찾을 수 없습니다.", "JSON 파싱에 실패했습니다."
 
 
@@ -32,7 +33,7 @@ def extract_actions(responses: DataFrame, tag: str = TAG) -> DataFrame:
     blocks = responses.select("resp_id", F.posexplode(F.regexp_extract_all("text", F.lit(_block(tag)), F.lit(1))).alias("action_no", "block"))
     meta = F.regexp_extract("block", r"(\{[^`]*?\})", 1)
     code = F.regexp_extract("block", r"```(?:[a-z]*)\n([\s\S]*?)```", 1)
-    parsed = blocks.select("resp_id", "action_no", meta.alias("meta"), code.alias("code"), F.from_json(meta, FIELDS + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("a"))
+    parsed = blocks.select("resp_id", "action_no", meta.alias("meta"), code.alias("code"), F.from_json(meta, FIELDS + ", _bad string", {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}).alias("a"))
     ok = (F.col("meta") != "") & F.col("a").isNotNull() & F.col("a._bad").isNull()
     error = F.when(F.col("meta") == "", NO_META).when(~ok, BAD_META)
     fields = [F.when(ok, F.col(f"a.{n}")).alias(n) for n in ("action", "templateType", "domain", "componentName", "filePath")]

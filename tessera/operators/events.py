@@ -42,6 +42,28 @@ def reduce_events(events: DataFrame) -> DataFrame:
     return answers.unionByName(files)
 
 
+#: What the status line says while a model answers, and after an error.
+ANSWERING, FAILED = " 응답 중…", "오류 발생"
+
+
+def exchange_events(tokens: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """``resp_id, seq, type, text`` of what a user interface is told of each response.
+
+    ``tokens`` (resp_id, seq, token); ``outcomes`` (resp_id, model, outcome, message): an ``error`` ends
+    in its message, ``ok`` and ``aborted`` answers in ``done``; the status line is set before and after."""
+    failed = F.col("outcome") == "error"
+    said = tokens.select("resp_id", F.lit(1).alias("step"), F.col("seq").cast("long").alias("at"), F.lit("token").alias("type"), F.col("token").alias("text"))
+    row = lambda step, kind, text: F.struct(F.lit(step).alias("step"), F.lit(0).cast("long").alias("at"), kind.alias("type"), text.alias("text"))
+    frame = F.array(
+        row(0, F.lit("status"), F.concat("model", F.lit(ANSWERING))),
+        row(2, F.when(failed, "error").otherwise("done"), F.when(failed, F.col("message"))),
+        row(3, F.lit("status"), F.when(failed, F.lit(FAILED)).otherwise(F.col("model"))),
+    )
+    told = said.unionByName(outcomes.select("resp_id", F.inline(frame)))
+    seq = F.row_number().over(Window.partitionBy("resp_id").orderBy("step", "at")) - 1
+    return told.select("resp_id", seq.alias("seq"), "type", "text")
+
+
 def last_status(events: DataFrame) -> DataFrame:
     return events.where("type = 'status'").groupBy("session").agg(F.max_by("text", "seq").alias("status"))
 

@@ -44,7 +44,7 @@ def hybrid_context(queries: DataFrame, entries: DataFrame, docs: DataFrame, chun
         short = routed.where(F.size("combined") < cfg.max_docs).select("query_id")
         asked = queries.select("query_id", "vector").join(short, "query_id", "left_semi")
         name = ["source", "sec_pos", "piece_pos"]
-        top = cosine_topk(chunks.select(*name, "embedding"), asked, name, cfg).join(chunks.select(*name, "text"), name)
+        top = cosine_topk(chunks.select(*name, "embedding"), asked, name, cfg, most=queries.count()).join(chunks.select(*name, "text"), name)
         pieces = F.transform(F.array_sort(F.collect_list(F.struct("rank", titled(F.col("source"), F.col("text")).alias("doc")))), lambda x: x["doc"])
         top = top.groupBy("query_id").agg(pieces.alias("pieces"))
         if mode == "compat":

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import ChatConfig, RetrievalConfig
 from ..functions.text import BLANK, trimmed
+from .actions import TAG, strip_actions
 
 #: What in a question names a domain; the first pattern that matches counts.
 DOMAIN = "([a-zA-Z][a-zA-Z0-9\\-_]*)"
@@ -26,6 +27,11 @@ def selection(text: Column) -> Column:
     return F.nullif(trimmed(text), F.lit(""))
 
 
+def given(queries: DataFrame, query: str = "query") -> DataFrame:
+    """``queries`` that say anything at all: blank ones are not sent."""
+    return queries.where(F.coalesce(trimmed(F.col(query)) != "", F.lit(False)))
+
+
 def extract_domain(query: Column) -> Column:
     return F.lower(F.coalesce(*[F.nullif(F.regexp_extract(query, p, 1), F.lit("")) for p in DOMAIN_PATTERNS]))
 
@@ -85,6 +91,16 @@ def assemble_prompts(rows: DataFrame, preamble: str = "") -> DataFrame:
     return rows.select("query_id", prompt.alias("prompt"))
 
 
+def stored(turns: DataFrame, outcomes: DataFrame, tag: str = TAG) -> DataFrame:
+    """Turns (conv_id, turn, role, text) that enter a history: an assistant's only where its answer ended
+    well by ``outcomes`` (conv_id, turn, outcome), and without its action blocks; all others as they are."""
+    known = outcomes.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "outcome")
+    joined = turns.join(known, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), "left")
+    answer = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    kept = joined.where(~answer | F.coalesce(F.col("outcome") == "ok", F.lit(False)))
+    return kept.select("conv_id", "turn", "role", F.when(answer, strip_actions(F.col("text"), tag)).otherwise(F.col("text")).alias("text"))
+
+
 def since_clear(turns: DataFrame) -> DataFrame:
     """Turns (conv_id, turn, role, text) after their conversation's last row of role ``clear``."""
     last = turns.where("role = 'clear'").groupBy(F.col("conv_id").alias("c")).agg(F.max("turn").alias("cleared"))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RetrievalConfig
-from ..functions.text import small
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,14 +37,22 @@ def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], list[list[float
     return chunks.drop("embedding").mapInPandas(run, kinds + ", embedding array<float>")
 
 
-def cosine_topk(chunks: DataFrame, queries: DataFrame, order: list[str], cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+def cosine_topk(chunks: DataFrame, queries: DataFrame, order: list[str], cfg: RetrievalConfig = RetrievalConfig(), most: int | None = None) -> DataFrame:
     """The ``top_k`` chunks of each query (query_id, vector) by falling score, ties in ``order``.
 
-    Chunks without a vector are left out, and so are scores that are no number.  Queries are
-    broadcast when few, so chunks stay where they are and each task keeps its best k of each query."""
+    Chunks without a vector are left out, and so are scores that are no number.  Queries are dealt into
+    blocks of about ``broadcast_rows``, each broadcast, so chunks stay where they are and each task keeps
+    its best k of each query.  ``most`` is a bound of the number of queries, which are counted without it."""
     kept = chunks.where(F.col("embedding").isNotNull()).withColumn("__n", norm(F.col("embedding")))
     asked = queries.select("query_id", "vector", norm(F.col("vector")).alias("__m"))
-    scored = kept.crossJoin(small(asked, cfg.broadcast_rows)).withColumn("score", cosine(F.col("embedding"), F.col("vector"), F.col("__n"), F.col("__m"), cfg.epsilon))
+    blocks = max(1, -(-(asked.count() if most is None else most) // cfg.broadcast_rows))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = [_best(kept, asked.where(block == k) if blocks > 1 else asked, order, cfg) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _best(kept: DataFrame, asked: DataFrame, order: list[str], cfg: RetrievalConfig) -> DataFrame:
+    scored = kept.crossJoin(F.broadcast(asked)).withColumn("score", cosine(F.col("embedding"), F.col("vector"), F.col("__n"), F.col("__m"), cfg.epsilon))
     scored = scored.drop("embedding", "vector", "__n", "__m").where(F.col("score").isNotNull() & ~F.isnan("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *order)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= cfg.top_k)

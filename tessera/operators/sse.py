@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import trimmed
 
 DONE = "[DONE]"
-FRAME = "struct<choices:array<struct<delta:struct<content:string>>>>"
+#: Where a frame has its token.
+CONTENT = "$.choices[0].delta.content"
 
 
 def payloads(text: Column) -> Column:
@@ -25,8 +26,10 @@ def until_done(data: Column) -> Column:
 
 
 def token(payload: Column) -> Column:
-    """The frame's first delta, or null where it is malformed or empty."""
-    return F.nullif(F.get(F.from_json(payload, FRAME)["choices"], 0)["delta"]["content"], F.lit(""))
+    """The frame's first delta, or null where the frame is no strict JSON, or the delta no string or empty."""
+    frame = F.try_parse_json(payload)
+    kind = F.schema_of_variant(F.try_variant_get(frame, CONTENT, "variant"))
+    return F.when(kind == "STRING", F.nullif(F.try_variant_get(frame, CONTENT, "string"), F.lit("")))
 
 
 def joined_bytes(chunks: DataFrame) -> DataFrame:

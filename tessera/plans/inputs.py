@@ -54,28 +54,22 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "conv_id", "turn", "text")
 
 
-def questions(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
-    """Every user's turn (if not ``whole``, as the SQL of hybrid_context and context_route has it, every
-    first turn), with an open file and the vector of its conversation's number."""
-    if whole:
-        turns, key, kind = asked(spark, sf_dir), "query_id", "left"
-    else:
-        turns, key, kind = table(spark, sf_dir, "conversations").where("turn = 0"), "conv_id", "inner"
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's turn, with an open file and the vector of its conversation's number, if there is one."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    out = turns.select(
-        F.col(key).alias("query_id"), "conv_id", F.col("text").alias("query"),
+    out = asked(spark, sf_dir).select(
+        "query_id", "conv_id", F.col("text").alias("query"),
         F.concat(pick(FOLDERS, F.col("conv_id") % len(FOLDERS)), F.lit("/f.tsx")).alias("file_path"),
         pick(IMPORTS, F.col("conv_id") % len(IMPORTS)).alias("file_content"),
     )
-    return out.join(vectors, F.col("conv_id") == F.col("vec_id"), kind).drop("conv_id", "vec_id")
+    return out.join(vectors, F.col("conv_id") == F.col("vec_id"), "left").drop("conv_id", "vec_id")
 
 
-def chunks(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
-    """A chunk for each vector: the document of its number (if not ``whole``, as the SQL of hybrid_context
-    has it, its first 200 characters), an odd one with the separator at its end."""
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk for each vector: the document of its number, an odd one with the separator at its end."""
     docs = table(spark, sf_dir, "documents")
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    text = F.concat(F.col("text") if whole else F.substring("text", 1, 200), F.when(F.col("doc_id") % 2 == 1, F.lit("\n\n---")).otherwise(F.lit("")))
+    text = F.concat(F.col("text"), F.when(F.col("doc_id") % 2 == 1, F.lit("\n\n---")).otherwise(F.lit("")))
     return docs.join(vectors, F.col("doc_id") == F.col("vec_id")).select(
         rel(F.col("doc_id")).alias("source"), F.lit(0).alias("sec_pos"), F.lit(0).alias("piece_pos"), text.alias("text"), "embedding", "vec_id",
     )

@@ -64,15 +64,12 @@ def path_rule_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 def import_rule_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = inputs.table(spark, sf_dir, "documents")
     content = F.regexp_replace("text", "(^|\n)([A-M])", "$1import Table Button; $2")
-    return docs.select("doc_id", F.size(routing.import_targets(content)).cast("long").alias("n_hits"), F.array_join(F.array_distinct(routing.import_targets(content)), "|").alias("targets"))
+    # exploded and gathered, the targets are computed once
+    found = docs.select("doc_id", F.explode(F.array(routing.import_targets(content))).alias("t"))
+    return found.select("doc_id", F.size("t").cast("long").alias("n_hits"), F.array_join(F.array_distinct("t"), "|").alias("targets"))
 
 
 def context_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.context_route(inputs.questions(spark, sf_dir, whole=False), inputs.documents(spark, sf_dir))
-
-
-def context_route_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every turn of a user."""
     return routing.context_route(inputs.questions(spark, sf_dir), inputs.documents(spark, sf_dir))
 
 
@@ -96,8 +93,8 @@ def _nearest(spark: SparkSession, sf_dir: str, of: str) -> DataFrame:
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question's nearest chunks."""
-    return _nearest(spark, sf_dir, "vec_id = 7")
+    """The nearest chunks of the stated questions, those whose number 50 divides."""
+    return _nearest(spark, sf_dir, "vec_id % 50 = 0")
 
 
 def cosine_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,9 +102,9 @@ def cosine_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, "vec_id % 10 = 0")
 
 
-def _context(spark: SparkSession, sf_dir: str, mode: str = "compat", whole: bool = True) -> DataFrame:
-    q = inputs.questions(spark, sf_dir, whole)
-    return hybrid.hybrid_context(q, entries(spark), inputs.documents(spark, sf_dir), inputs.chunks(spark, sf_dir, whole).drop("vec_id"), CFG, mode)
+def _context(spark: SparkSession, sf_dir: str, mode: str = "compat") -> DataFrame:
+    q = inputs.questions(spark, sf_dir)
+    return hybrid.hybrid_context(q, entries(spark), inputs.documents(spark, sf_dir), inputs.chunks(spark, sf_dir).drop("vec_id"), CFG, mode)
 
 
 def _shown(out: DataFrame) -> DataFrame:
@@ -115,13 +112,7 @@ def _shown(out: DataFrame) -> DataFrame:
 
 
 def hybrid_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: documents for each question, by keyword, open file and similarity; over the cut
-    index that its SQL has."""
-    return _shown(_context(spark, sf_dir, whole=False))
-
-
-def hybrid_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over an index of whole documents; tested against brute force."""
+    """The flagship: documents for each question, by keyword, open file and similarity."""
     return _shown(_context(spark, sf_dir))
 
 
@@ -134,54 +125,29 @@ def line_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.table(spark, sf_dir, "documents").select("doc_id", prompt.cap_lines(F.col("text"), CAP).alias("capped"))
 
 
-def _asked(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Questions that name a domain in various ways: every turn of a user (if not ``whole``, as the SQL
-    has it, the first 20 characters of every first turn)."""
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of a user, naming a domain in various ways."""
     forms = ("Account 업무", "about Order-2 Domain", "pay_ment 도메인에", "x 도메인 y 업무", "nothing", "stock domain")
-    if whole:
-        turns, text = inputs.asked(spark, sf_dir), F.col("text")
-    else:
-        turns, text = inputs.table(spark, sf_dir, "conversations").where("turn = 0").withColumn("query_id", F.col("conv_id")), F.substring("text", 1, 20)
-    return turns.select("query_id", F.concat(text, F.lit(" "), inputs.pick(forms, F.col("conv_id") % len(forms))).alias("query"))
+    return inputs.asked(spark, sf_dir).select("query_id", F.concat(F.col("text"), F.lit(" "), inputs.pick(forms, F.col("conv_id") % len(forms))).alias("query"))
 
 
 def domain_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asked(spark, sf_dir).select("query_id", prompt.extract_domain(F.col("query")).alias("domain"))
 
 
-def domain_extract_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _asked(spark, sf_dir, whole=True).select("query_id", prompt.extract_domain(F.col("query")).alias("domain"))
-
-
-def _resolved(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     domains = spark.createDataFrame([("account", "const r = [];"), ("order-2", None), ("y", "")], "domain string, router_content string")
-    return prompt.resolve_domains(_asked(spark, sf_dir, whole), domains, "const root = [];")
+    return prompt.resolve_domains(_asked(spark, sf_dir), domains, "const root = [];")
 
 
 def domain_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resolved(spark, sf_dir).select("query_id", prompt.domain_section().alias("section"))
 
 
-def domain_section_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolved(spark, sf_dir, whole=True).select("query_id", prompt.domain_section().alias("section"))
-
-
 def prompt_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = inputs.table(spark, sf_dir, "documents").where("doc_id < 3").select(F.lit(1).alias("k"), F.struct("doc_id", titled(F.col("doc_id").cast("string"), F.col("text")).alias("d")).alias("x"))
-    listed = docs.groupBy("k").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]).alias("docs")).drop("k")
-    rows = _resolved(spark, sf_dir).crossJoin(F.broadcast(listed))
-    n = F.col("query_id")
-    rows = rows.select(
-        "*", F.when(n % 3 != 0, F.concat(F.lit("src/"), n.cast("string"))).alias("file_path"), F.lit("tsx").alias("language"),
-        F.col("query").alias("file_content"), F.when(n % 2 == 0, F.lit("sel")).alias("selected"),
-    ).withColumn("docs", F.when(n % 5 == 0, F.slice("docs", 1, 0)).when(n % 5 == 1, F.lit(None)).otherwise(F.col("docs")))
-    return prompt.assemble_prompts(rows, "PRE\n")
-
-
-def prompt_assemble_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts of every turn of a user with the documents retrieved for it; tested against brute force."""
+    """Prompts of every turn of a user with the documents retrieved for it."""
     found = _context(spark, sf_dir).select("query_id", "docs")
-    rows = _resolved(spark, sf_dir, whole=True).join(found, "query_id")
+    rows = _resolved(spark, sf_dir).join(found, "query_id")
     n = F.col("query_id")
     rows = rows.select(
         "*", F.when(n % 3 != 0, F.concat(F.lit("src/"), n.cast("string"))).alias("file_path"), F.lit("tsx").alias("language"),
@@ -190,11 +156,6 @@ def prompt_assemble_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompt.assemble_prompts(rows, "PRE\n")
 
 
-def cosine_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The single-question form for the stated questions, those whose number 50 divides."""
-    return _nearest(spark, sf_dir, "vec_id % 50 = 0")
-
-
 def _said(messages: str = "messages") -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), F.coalesce(m["content"], F.lit("")))), "\n")
 
@@ -210,6 +171,33 @@ def history_after_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompt.history(turns.unionByName(clear)).select("conv_id", _said().alias("history"))
 
 
+def blank_input_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that are sent: every third turn is made blank."""
+    turns = inputs.table(spark, sf_dir, "conversations")
+    said = F.when(F.col("turn") % 3 == 0, F.lit(" \n\u3000")).otherwise(F.col("text"))
+    return prompt.given(turns.select("conv_id", "turn", said.alias("query")))
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each assistant's turn ended: one in five with an error, one in five aborted."""
+    turns = inputs.table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    end = F.when(F.col("conv_id") % 5 == 0, "error").when(F.col("conv_id") % 5 == 1, "aborted").otherwise("ok")
+    return turns.select("conv_id", "turn", end.alias("outcome"))
+
+
+def history_on_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block = F.when(F.col("role") == "assistant", F.concat("text", F.lit("\n<file-action>x</file-action> "))).otherwise(F.col("text"))
+    turns = inputs.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", block.alias("text"))
+    return prompt.history(prompt.stored(turns, _outcomes(spark, sf_dir))).select("conv_id", _said().alias("history"))
+
+
+def exchange_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("resp_id")
+    ends = _outcomes(spark, sf_dir).select(key, F.lit("m").alias("model"), "outcome", F.lit("no answer").alias("message"))
+    tokens = sse_decode(spark, sf_dir).join(ends.select("resp_id"), "resp_id", "left_semi")
+    return events.exchange_events(tokens, ends)
+
+
 def request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = prompt.history(inputs.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     return prompt.build_requests(h, F.lit('be "brief"\n'))
@@ -284,9 +272,9 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        hybrid_context, hybrid_context_whole, hybrid_clean, chunk_sliding_window, split_by_headers, header_chunks, doc_header, dedupe_first_by_header,
-        keyword_index_parse, keyword_route, path_rule_route, import_rule_route, context_route, context_route_whole, readfiles_lookup, cosine_pair,
-        cosine_topk, cosine_topk_batch, cosine_topk_each, line_cap, domain_extract, domain_extract_whole, domain_section, domain_section_whole, prompt_assemble, prompt_assemble_whole, chat_history,
+        hybrid_context, hybrid_clean, chunk_sliding_window, split_by_headers, header_chunks, doc_header, dedupe_first_by_header,
+        keyword_index_parse, keyword_route, path_rule_route, import_rule_route, context_route, readfiles_lookup, cosine_pair,
+        cosine_topk, cosine_topk_batch, line_cap, domain_extract, domain_section, prompt_assemble, blank_input_filter, chat_history, history_on_success, exchange_messages,
         history_after_clear, request_json, sse_decode, token_fold, event_reduce, event_status, action_extract, action_strip,
         action_route, action_plan, action_outcomes, template_apply, stream_sse_decode, stream_event_reduce, snapshot_changes,
     )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..operators.routing import IMPORT_RULES, PATH_RULES
-from ..operators.prompt import NO_DOCUMENTS
 from . import inputs
 
 BLANK = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -81,12 +80,12 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, round(score, 9) AS score FROM r WHERE rank <= 5"""
 
 
-HYBRID = f"""
+FOUND = f"""
 WITH docs AS (SELECT {REL} AS rel, text AS content, '## [' || ({REL}) || ']' || chr(10) || chr(10) || text AS doc FROM documents),
 q AS (
-  SELECT conv_id AS query_id, text AS query, {listed(inputs.FOLDERS)}[conv_id % {len(inputs.FOLDERS)} + 1] || '/f.tsx' AS file_path,
+  SELECT conv_id * 1000 + turn AS query_id, text AS query, {listed(inputs.FOLDERS)}[conv_id % {len(inputs.FOLDERS)} + 1] || '/f.tsx' AS file_path,
     {listed(inputs.IMPORTS)}[conv_id % {len(inputs.IMPORTS)} + 1] AS file_content, embedding AS v
-  FROM conversations JOIN embeddings ON vec_id = conv_id WHERE turn = 0
+  FROM conversations LEFT JOIN embeddings ON vec_id = conv_id WHERE role = 'user'
 ), kw AS (
   SELECT query_id, rel, min((entry_id, pos)) AS best FROM (
     SELECT query_id, entry_id, unnest(files) AS rel, unnest(range(len(files))) AS pos FROM q, {ENTRIES}
@@ -101,20 +100,21 @@ q AS (
 ), d AS (SELECT *, list_transform(a, lambda x: {first_line('x')}) AS h FROM c
 ), e AS (SELECT query_id, kw, ctx, list_filter(a, lambda x, i: list_position(h, h[i]) = i)[1:3] AS combined FROM d
 ), s AS (
-  SELECT e.query_id, ({REL}) AS source, substr(text, 1, 200) || CASE WHEN doc_id % 2 = 1 THEN chr(10) || chr(10) || '---' ELSE '' END AS t, {cosine('m.embedding', 'q.v')} AS score
-  FROM e JOIN q USING (query_id), embeddings m JOIN documents ON doc_id = m.vec_id WHERE len(combined) < 3
+  SELECT e.query_id, ({REL}) AS source, text || CASE WHEN doc_id % 2 = 1 THEN chr(10) || chr(10) || '---' ELSE '' END AS t, {cosine('m.embedding', 'q.v')} AS score
+  FROM e JOIN q USING (query_id), embeddings m JOIN documents ON doc_id = m.vec_id WHERE len(combined) < 3 AND v IS NOT NULL
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source) AS rank FROM s
 ), j AS (SELECT query_id, string_agg('## [' || source || ']' || chr(10) || chr(10) || t, {SEP} ORDER BY rank) AS x FROM r WHERE rank <= 5 GROUP BY ALL
 ), p AS (SELECT query_id, list_filter(string_split(x, {SEP}), lambda y: {trim('y')} <> '') AS parts FROM j
 ), f AS (SELECT query_id, kw, ctx, coalesce(parts, []) AS parts, list_concat(combined, coalesce(parts, [])[1:3 - len(combined)]) AS al FROM e LEFT JOIN p USING (query_id)
 ), g AS (SELECT *, list_transform(al, lambda x: {first_line('x')}) AS h FROM f
-), o AS (SELECT *, list_filter(al, lambda x, i: list_position(h, h[i]) = i) AS ds FROM g)
+), o AS (SELECT *, list_filter(al, lambda x, i: list_position(h, h[i]) = i) AS ds FROM g)"""
+HYBRID = f"""{FOUND}
 SELECT query_id, CAST(len(ds) AS BIGINT) AS n_docs, array_to_string(ds, {SEP}) AS docs,
   array_to_string(list_filter([CASE WHEN len(kw) > 0 THEN 'keyword' END, CASE WHEN len(ctx) > 0 THEN 'context' END, CASE WHEN len(parts) > 0 THEN 'embedding' END], lambda m: m IS NOT NULL), ',') AS methods
 FROM o"""
 
 FORMS = ("Account 업무", "about Order-2 Domain", "pay_ment 도메인에", "x 도메인 y 업무", "nothing", "stock domain")
-ASKED = f"SELECT conv_id AS query_id, substr(text, 1, 20) || ' ' || {listed(FORMS)}[conv_id % {len(FORMS)} + 1] AS query FROM conversations WHERE turn = 0"
+ASKED = f"SELECT conv_id * 1000 + turn AS query_id, text || ' ' || {listed(FORMS)}[conv_id % {len(FORMS)} + 1] AS query FROM conversations WHERE role = 'user'"
 NAME = "([a-zA-Z][a-zA-Z0-9_-]*)"
 DOMAIN = f"lower(coalesce(nullif(regexp_extract(query, '{NAME}{BLANK}*업무', 1), ''), nullif(regexp_extract(query, '(?i){NAME}{BLANK}+domain', 1), ''), nullif(regexp_extract(query, '{NAME}{BLANK}*도메인', 1), '')))"
 ADVICE = "chr(10) || '위 파일에 신규 {} 배열 항목을 추가하여 updateFile 블록의 generatedCode를 작성하세요.'"
@@ -162,6 +162,11 @@ PLANNED = f"""{ACTIONS}, y AS (
   SELECT *, CASE WHEN action = 'updateFile' THEN 'updated' WHEN resp_id % 3 = 0 OR (resp_id % 4 = 0 AND resp_id % 8 <> 0) THEN 'cancelled' ELSE 'created' END AS outcome FROM x WHERE error IS NULL
 )"""
 
+#: Chunks stay whole, and of each header the first one counts.
+CLEAN = FOUND.replace(f"SELECT query_id, list_filter(string_split(x, {SEP}), lambda y: {trim('y')} <> '') AS parts FROM j", "SELECT query_id, list_filter(x, lambda y, i: list_position(list_transform(x, lambda z: " + first_line("z") + "), " + first_line("y") + ") = i) AS parts FROM j")
+CLEAN = CLEAN.replace(f"string_agg('## [' || source || ']' || chr(10) || chr(10) || t, {SEP} ORDER BY rank) AS x", "list('## [' || source || ']' || chr(10) || chr(10) || t ORDER BY rank) AS x")
+CLEAN += f" SELECT query_id, array_to_string(list_transform(ds, lambda x: {first_line('x')}), '|') AS headers FROM o"
+
 ORACLE_SQL = {
     "hybrid_context": HYBRID,
     "chunk_sliding_window": f"SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS piece_pos, {trim('unnest(l)')} AS piece FROM (SELECT doc_id, {pieces('text')} AS l FROM documents)",
@@ -181,22 +186,31 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY best) -
     "path_rule_route": f"SELECT page_id, CAST(unnest(range(len(t))) AS INTEGER) AS ord, unnest(t) AS rel FROM (SELECT page_id, {first_seen('u')} AS t FROM (SELECT page_id, {path_list('p')} AS u FROM (SELECT page_id, url || '\\' || {listed(inputs.FOLDERS)}[page_id % {len(inputs.FOLDERS)} + 1] || '\\x' AS p FROM pages)))",
     "import_rule_route": f"SELECT doc_id, len(u) AS n_hits, array_to_string({first_seen('u')}, '|') AS targets FROM (SELECT doc_id, " + import_list(r"regexp_replace(text, '(^|\n)([A-M])', '\1import Table Button; \2', 'g')") + " AS u FROM documents)",
     "context_route": f"""
-WITH q AS (SELECT conv_id AS query_id, {listed(inputs.FOLDERS)}[conv_id % {len(inputs.FOLDERS)} + 1] || '/f.tsx' AS p, {listed(inputs.IMPORTS)}[conv_id % {len(inputs.IMPORTS)} + 1] AS c FROM conversations JOIN embeddings ON vec_id = conv_id WHERE turn = 0),
+WITH q AS (SELECT conv_id * 1000 + turn AS query_id, {listed(inputs.FOLDERS)}[conv_id % {len(inputs.FOLDERS)} + 1] || '/f.tsx' AS p, {listed(inputs.IMPORTS)}[conv_id % {len(inputs.IMPORTS)} + 1] AS c FROM conversations WHERE role = 'user'),
 u AS (SELECT query_id, list_concat({path_list('p')}, {import_list('c')}) AS u FROM q), t AS (SELECT query_id, {first_seen('u')} AS t FROM u)
 SELECT * FROM (SELECT query_id, CAST(unnest(range(len(t))) AS INTEGER) AS ord, unnest(t) AS rel FROM t) WHERE rel IN (SELECT {REL} FROM documents)""",
     "readfiles_lookup": f"SELECT l.doc_id AS query_id, d.rel, '## [' || d.rel || ']' || chr(10) || chr(10) || d.text AS doc FROM labels l JOIN (SELECT {REL} AS rel, text FROM documents) d ON d.rel = 'docs/' || (l.doc_id * 2) || '.md'",
     "cosine_pair": f"SELECT a.vec_id, round({cosine('a.embedding', 'b.embedding')}, 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id + 1",
-    "cosine_topk": topk("vec_id = 7"),
+    "cosine_topk": topk("vec_id % 50 = 0"),
     "cosine_topk_batch": topk("vec_id % 10 = 0"),
     "line_cap": "SELECT doc_id, CASE WHEN len(l) > 5 THEN array_to_string(l[1:5], chr(10)) || chr(10) || chr(10) || '... (' || (len(l) - 5) || '줄 생략됨)' ELSE text END AS capped FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)",
     "domain_extract": f"SELECT query_id, {DOMAIN} AS domain FROM ({ASKED})",
     "domain_section": f"SELECT query_id, section FROM ({SECTION})",
-    "prompt_assemble": f"""
-WITH d AS (SELECT string_agg('## [' || doc_id || ']' || chr(10) || chr(10) || text, {SEP} ORDER BY doc_id) AS docs FROM documents WHERE doc_id < 3)
-SELECT query_id, 'PRE' || chr(10) || section || CASE query_id % 5 WHEN 0 THEN '' WHEN 1 THEN {quoted(NO_DOCUMENTS)} ELSE '## Scaffold 문서 (관련 항목)' || chr(10) || docs END
+    "prompt_assemble": f"""{FOUND}, x AS ({SECTION})
+SELECT query_id, 'PRE' || chr(10) || section || CASE WHEN len(ds) = 0 THEN '' ELSE '## Scaffold 문서 (관련 항목)' || chr(10) || array_to_string(ds, {SEP}) END
   || CASE WHEN query_id % 3 = 0 THEN '' ELSE concat_ws(chr(10), chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## 현재 열린 파일: src/' || query_id, '```tsx', query, '```',
     CASE WHEN query_id % 2 = 0 THEN chr(10) || '### 선택된 텍스트' || chr(10) || '```' || chr(10) || 'sel' || chr(10) || '```' ELSE '' END) END AS prompt
-FROM ({SECTION}), d""",
+FROM x JOIN o USING (query_id)""",
+    "hybrid_clean": CLEAN,
+    "blank_input_filter": f"SELECT conv_id, turn, text AS query FROM conversations WHERE turn % 3 <> 0 AND {trim('text')} <> ''",
+    "history_on_success": f"SELECT conv_id, string_agg(role || ': ' || CASE WHEN role = 'assistant' THEN {trim('text')} ELSE text END, chr(10) ORDER BY turn) AS history FROM conversations WHERE role <> 'assistant' OR conv_id % 5 > 1 GROUP BY ALL",
+    "exchange_messages": f"""
+WITH e AS (SELECT conv_id * 1000 + turn AS resp_id, conv_id % 5 = 0 AS bad FROM conversations WHERE role = 'assistant'), m AS (
+  SELECT resp_id, 1 AS step, seq, 'token' AS type, token AS text FROM ({TOKENS}) JOIN e USING (resp_id)
+  UNION ALL SELECT resp_id, 0, 0, 'status', 'm 응답 중…' FROM e
+  UNION ALL SELECT resp_id, 2, 0, CASE WHEN bad THEN 'error' ELSE 'done' END, CASE WHEN bad THEN 'no answer' END FROM e
+  UNION ALL SELECT resp_id, 3, 0, 'status', CASE WHEN bad THEN '오류 발생' ELSE 'm' END FROM e)
+SELECT resp_id, CAST(row_number() OVER (PARTITION BY resp_id ORDER BY step, seq) - 1 AS INTEGER) AS seq, type, text FROM m""",
     "chat_history": "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history FROM conversations GROUP BY ALL",
     "history_after_clear": "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history FROM conversations WHERE conv_id % 2 = 1 OR turn > 0 OR conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn = 1) GROUP BY ALL",
     "request_json": """

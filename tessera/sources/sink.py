@@ -15,6 +15,11 @@ def inside(root: str, path: str) -> str:
     return at
 
 
+def write_events(events: DataFrame, path: str) -> None:
+    """Events as lines of JSON, a file for each partition, added to what is there."""
+    events.write.mode("append").json(path)
+
+
 def write_planned(plan: DataFrame, root: str) -> None:
     """Write each planned (path, content) from the tasks; ``root`` must be shared by all executors."""
 

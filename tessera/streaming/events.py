@@ -35,6 +35,8 @@ def reduce(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
         elif kind == "error":
             out.append((key[0], start if start >= 0 else next_seq, "assistant", None, f"오류: {message or ''}", True))
             start, said = -1, ""
+        elif kind == "clear":  # what was open is gone; closed messages are out already
+            start, said = -1, ""
         elif kind in SUBTYPES:
             shown = message if kind == "fileError" else "" if kind == "fileCancelled" else path
             out.append((key[0], next_seq, "system", SUBTYPES[kind], shown, kind == "fileError"))

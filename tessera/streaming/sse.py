@@ -9,21 +9,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.text import BLANKS
+
 OUTPUT = "resp_id long, seq long, token string"
 STATE = "next_no long, seq long, done boolean, carry binary, waiting string"
 
 
+def _refused(constant: str) -> float:
+    raise ValueError(f"{constant} is no JSON")
+
+
 def frame_token(payload: str) -> str | None:
-    """The first delta's content, or None where the frame is malformed or empty."""
+    """The first delta's content, or None where the frame is no strict JSON, or the content no string or empty."""
     try:
-        content = json.loads(payload)["choices"][0]["delta"]["content"]
+        content = json.loads(payload, parse_constant=_refused)["choices"][0]["delta"]["content"]
     except (ValueError, LookupError, TypeError):
         return None
     return content if isinstance(content, str) and content else None
 
 
 def decode(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Chunks of one response, in whatever order they come: they wait until those before are there."""
+    """Chunks of one response, in whatever order they come: they wait until those before are there.
+
+    After the terminator nothing is kept but that it came."""
     next_no, seq, done, carry, waiting = state.get if state.exists else (0, 0, False, b"", "{}")
     held: dict[int, str] = {int(k): v for k, v in json.loads(waiting).items()}
     for frame in frames:
@@ -36,16 +44,19 @@ def decode(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
         next_no += 1
         *lines, carry = carry.split(b"\n")
         for line in lines:
-            text = line.decode("utf-8", "replace").strip()
+            text = line.decode("utf-8", "replace").strip(BLANKS)
             if done or not text.startswith("data:"):
                 continue
-            payload = text[5:].strip()
+            payload = text[5:].strip(BLANKS)
             if payload == "[DONE]":
                 done = True
             elif (token := frame_token(payload)) is not None:
                 out.append((key[0], seq, token))
                 seq += 1
-    state.update((next_no, seq, done, bytes(carry), json.dumps(held)))
+    if done:
+        state.update((next_no, seq, True, b"", "{}"))
+    else:
+        state.update((next_no, seq, False, bytes(carry), json.dumps(held)))
     yield pd.DataFrame(out, columns=["resp_id", "seq", "token"])
 
 

@@ -45,7 +45,7 @@ def nearest(conv):
 
 
 def test_hybrid_context_retrieves_whole_documents(spark, made):
-    got = registry.QUERIES["hybrid_context_whole"](spark, made).collect()
+    got = registry.QUERIES["hybrid_context"](spark, made).collect()
     assert got and all(r.docs == SEP.join(nearest(69)) for r in got if r.query_id == 69_000)
     assert any("second part" in r.docs for r in got) and all("late" in r.docs for r in got)
 
@@ -62,22 +62,22 @@ def test_every_user_turn_is_asked_whole(spark, made):
     assert ids == {34_001, 34_003, 69_000}
     said = {r.query_id: r.query for r in inputs.questions(spark, made).collect()}
     assert said == {c * 1000 + t: x for c, t, role, x in TURNS if role == "user"}
-    for name in ("hybrid_context_whole", "hybrid_clean", "domain_section_whole"):
+    for name in ("hybrid_context", "hybrid_clean", "domain_section"):
         assert {r.query_id for r in registry.QUERIES[name](spark, made).collect()} == ids
     # conversations 34 and 69 have forms 4 ("nothing") and 3
-    assert {r.query_id: r.domain for r in registry.QUERIES["domain_extract_whole"](spark, made).collect()} == {34_001: "late-1", 34_003: None, 69_000: "y"}
-    assert registry.QUERIES["context_route_whole"](spark, made).count() == 0
+    assert {r.query_id: r.domain for r in registry.QUERIES["domain_extract"](spark, made).collect()} == {34_001: "late-1", 34_003: None, 69_000: "y"}
+    assert registry.QUERIES["context_route"](spark, made).count() == 0
 
 
 def test_prompts_hold_the_documents_retrieved_for_each(spark, made):
-    docs = {r.query_id: r.docs for r in registry.QUERIES["hybrid_context_whole"](spark, made).collect()}
-    got = {r.query_id: r.prompt for r in registry.QUERIES["prompt_assemble_whole"](spark, made).collect()}
+    docs = {r.query_id: r.docs for r in registry.QUERIES["hybrid_context"](spark, made).collect()}
+    got = {r.query_id: r.prompt for r in registry.QUERIES["prompt_assemble"](spark, made).collect()}
     assert set(got) == set(docs) == {34_001, 34_003, 69_000}
     assert all(docs[q] in got[q] for q in got) and SEP.join(nearest(69)) in got[69_000] and SEP.join(nearest(69)) not in got[34_001]
 
 
 def test_nearest_of_all_stated_questions(spark, made):
-    got = {(r.query_id, r["rank"]): r.vec_id for r in registry.QUERIES["cosine_topk_each"](spark, made).collect()}
+    got = {(r.query_id, r["rank"]): r.vec_id for r in registry.QUERIES["cosine_topk"](spark, made).collect()}
     norm = lambda v: math.sqrt(sum(x * x for x in v))
     for q in (0, 50):
         mine = VECTORS[q][1]
