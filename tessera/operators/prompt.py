@@ -122,3 +122,32 @@ def build_requests(histories: DataFrame, system: Column, cfg: ChatConfig = ChatC
         F.lit(cfg.temperature).alias("temperature"), F.lit(cfg.max_tokens).alias("max_tokens"),
     )
     return histories.select("conv_id", F.to_json(body).alias("body"))
+
+
+#: Where chats are completed, how requests name themselves, what is said when no answer comes.
+CHAT_PATH = "/v1/chat/completions"
+AGENT = "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36"
+BAD_STATUS, NO_BODY = "sLLM 서버 오류: ", "응답 스트림을 받을 수 없습니다"
+
+
+def chat_url(endpoint: Column) -> Column:
+    """The chat path at the endpoint's origin, whatever its own path; null where it has no origin.
+    The origin is in lower case and without its scheme's own port."""
+    origin = F.lower(F.regexp_extract(trimmed(endpoint), r"^((?i)https?://[^/?#\\]+)", 1))
+    origin = F.regexp_replace(F.regexp_replace(origin, "^(http://.*):80$", "$1"), "^(https://.*):443$", "$1")
+    return F.concat(F.nullif(origin, F.lit("")), F.lit(CHAT_PATH))
+
+
+def chat_headers(api_key: Column) -> Column:
+    """The request's headers in order, (name, value); a bearer only if there is a key."""
+    pair = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    bearer = F.when(F.coalesce(api_key != "", F.lit(False)), pair("Authorization", F.concat(F.lit("Bearer "), api_key)))
+    fixed = [pair("Content-Type", F.lit("application/json")), pair("Accept", F.lit("text/event-stream")), pair("User-Agent", F.lit(AGENT))]
+    return F.array_compact(F.array(*fixed, bearer))
+
+
+def response_error(status: Column, status_text: Column, body: Column) -> Column:
+    """What is wrong with a response, or null: any status but 2xx (an unknown one too), then a missing body."""
+    bad = ~F.coalesce(status.between(200, 299), F.lit(False))
+    said = F.concat(F.lit(BAD_STATUS), F.coalesce(status.cast("string"), F.lit("")), F.lit(" "), F.coalesce(status_text, F.lit("")))
+    return F.when(bad, said).when(body.isNull(), F.lit(NO_BODY))

@@ -23,6 +23,10 @@ INDEX = """# index
   files: [docs/24.md]
 """
 FOLDERS = ("src\\Domains\\a", "src/pages/", "x/router/", "x/hooks/", "x/providers/", "platform", "misc")
+#: Folders of a written tree; hidden ones and those that begin with an underscore are read too.
+TREE = ("", "a/b/", "_in/", ".h/")
+#: Endpoints as settings may have them; the last is none.
+ENDPOINTS = ("http://Localhost:11434", "https://h.example:443/base/x?y", " HTTP://a:80#z", "nothing")
 IMPORTS = ("import { Button } from 'ui';", "  import { useApi } from '@core/hooks';\nimport x from 'zod';", "const a = 1; // Table", "import { MyTable, Label } from 'ui';\nimport create from 'zustand'; // create( store", "")
 
 

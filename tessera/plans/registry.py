@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..config import RetrievalConfig
 from ..functions.text import header, titled
 from ..operators import actions, chunking, events, hybrid, prompt, routing, similarity, sse
-from ..sources.markdown import snapshot_diff
+from ..sources.markdown import read_markdown, resolve_source, snapshot_diff
+from ..sources.sink import write_planned
 from ..streaming import events as event_stream
 from ..streaming import sse as sse_stream
-from ..streaming.run import replay
+from ..streaming.run import replay, shared
 from . import inputs
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -262,11 +263,77 @@ def stream_event_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(inputs.ui_events(spark, sf_dir), event_stream.reduce_stream)
 
 
-def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = inputs.documents(spark, sf_dir)
+def _later(old: DataFrame) -> DataFrame:
+    """A later state of documents: some gone, some changed, some new."""
     new = old.where("rel not like '%7.md'").withColumn("content", F.when(F.col("rel").like("%3.md"), F.concat("content", F.lit("!"))).otherwise(F.col("content")))
     extra = old.where("rel like '%9.md'").withColumn("rel", F.concat(F.lit("new/"), "rel"))
-    return snapshot_diff(old, new.unionByName(extra))
+    return new.unionByName(extra)
+
+
+def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = inputs.documents(spark, sf_dir)
+    return snapshot_diff(old, _later(old))
+
+
+def snapshot_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = inputs.marked(spark, sf_dir).select(inputs.rel(F.col("doc_id")).alias("rel"), F.col("text").alias("content"))
+    new = _later(old)
+    return chunking.rebuild_index(chunking.chunk_documents(old, CFG), snapshot_diff(old, new), new, CFG)
+
+
+def markdown_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files of a tree, partials and other kinds of file among them, and read again."""
+    base = shared(spark).removeprefix("file://")
+    if "://" in base:
+        raise ValueError("a tree of files needs a shared folder that is mounted")
+    k = F.col("doc_id")
+    name = F.concat(F.when(k % 5 == 0, "_").otherwise(""), F.lit("d"), k.cast("string"), F.when(k % 7 == 0, ".txt").otherwise(".md"))
+    plan = inputs.table(spark, sf_dir, "documents").select(F.concat(inputs.pick(inputs.TREE, k % len(inputs.TREE)), name).alias("path"), F.col("text").alias("content"))
+    write_planned(plan, f"{base}/.rag")
+    return read_markdown(spark, resolve_source([f"{base}/none", base], None))
+
+
+def measured(texts: list[str | None]) -> list[list[float]]:
+    """An embedder for tests of the seam: code points and line breaks."""
+    return [[float(len(t or "")), float((t or "").count("\n"))] for t in texts]
+
+
+def embed_seam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = similarity.embed_chunks(inputs.table(spark, sf_dir, "documents").select("doc_id", "text"), measured)
+    return out.select("doc_id", *[F.get("embedding", F.lit(i)).cast("long").alias(n) for i, n in enumerate(("n_chars", "n_breaks"))])
+
+
+def context_without_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval while no index is built yet."""
+    return _shown(hybrid.hybrid_context(inputs.questions(spark, sf_dir), entries(spark), inputs.documents(spark, sf_dir), None, CFG))
+
+
+def abort_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of answers, a fifth of which are aborted after two."""
+    turns = inputs.table(spark, sf_dir, "conversations").where("conv_id % 5 = 1")
+    return events.until_abort(sse_decode(spark, sf_dir), turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("resp_id"), F.lit(2).alias("aborted_at_seq")))
+
+
+def events_after_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ui = inputs.ui_events(spark, sf_dir)
+    return events.reduce_events(events.after_clear(ui.withColumn("type", F.when(F.col("seq") % 20 == 7, "clear").otherwise(F.col("type")))))
+
+
+def request_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each conversation's request goes, and with which headers."""
+    k = F.col("conv_id")
+    calls = request_json(spark, sf_dir).select("conv_id", inputs.pick(inputs.ENDPOINTS, k % len(inputs.ENDPOINTS)).alias("endpoint"), F.when(k % 2 == 0, F.concat(F.lit("k"), k.cast("string"))).otherwise("").alias("key"))
+    lines = F.transform(prompt.chat_headers(F.col("key")), lambda h: F.concat(h["name"], F.lit(": "), h["value"]))
+    return calls.select("conv_id", prompt.chat_url(F.col("endpoint")).alias("url"), F.array_join(lines, "\n").alias("headers"))
+
+
+def response_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with each turn's response: statuses and missing bodies."""
+    k = F.col("conv_id") % 4
+    status, said = F.when(k == 1, 404).when(k == 2, 500).otherwise(200), F.when(k == 1, "Not Found").when(k != 2, "OK")
+    body = F.when(k != 3, F.col("text"))
+    turns = inputs.table(spark, sf_dir, "conversations")
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("resp_id"), prompt.response_error(status, said, body).alias("error"))
 
 
 QUERIES = {
@@ -277,5 +344,6 @@ QUERIES = {
         cosine_topk, cosine_topk_batch, line_cap, domain_extract, domain_section, prompt_assemble, blank_input_filter, chat_history, history_on_success, exchange_messages,
         history_after_clear, request_json, sse_decode, token_fold, event_reduce, event_status, action_extract, action_strip,
         action_route, action_plan, action_outcomes, template_apply, stream_sse_decode, stream_event_reduce, snapshot_changes,
+        snapshot_rebuild, markdown_tree, embed_seam, context_without_index, abort_truncate, events_after_clear, request_call, response_errors,
     )
 }

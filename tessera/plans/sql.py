@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.prompt import AGENT, BAD_STATUS, NO_BODY
 from ..operators.routing import IMPORT_RULES, PATH_RULES
 from . import inputs
 
@@ -167,7 +168,38 @@ CLEAN = FOUND.replace(f"SELECT query_id, list_filter(string_split(x, {SEP}), lam
 CLEAN = CLEAN.replace(f"string_agg('## [' || source || ']' || chr(10) || chr(10) || t, {SEP} ORDER BY rank) AS x", "list('## [' || source || ']' || chr(10) || chr(10) || t ORDER BY rank) AS x")
 CLEAN += f" SELECT query_id, array_to_string(list_transform(ds, lambda x: {first_line('x')}), '|') AS headers FROM o"
 
+#: Before there is an index: what keywords and the open file lead to.
+UNINDEXED = FOUND.partition("\n), s AS (")[0] + f"""
+)
+SELECT query_id, CAST(len(combined) AS BIGINT) AS n_docs, array_to_string(combined, {SEP}) AS docs,
+  array_to_string(list_filter([CASE WHEN len(kw) > 0 THEN 'keyword' END, CASE WHEN len(ctx) > 0 THEN 'context' END], lambda m: m IS NOT NULL), ',') AS methods
+FROM e"""
+
+#: Every twentieth event of a session clears it.
+CLEARED = REDUCED.replace(f"WITH e AS ({UI})", f"""WITH f AS (SELECT * REPLACE (CASE WHEN seq % 20 = 7 THEN 'clear' ELSE type END AS type) FROM ({UI})),
+e AS (SELECT * FROM f QUALIFY seq > coalesce(max(CASE WHEN type = 'clear' THEN seq END) OVER (PARTITION BY session), -1))""")
+
+#: The documents after the changes of ``snapshot_changes``.
+LATER = f"""
+SELECT rel, CASE WHEN rel LIKE '%3.md' THEN text || '!' ELSE text END AS text FROM (SELECT {REL} AS rel, text FROM documents) WHERE rel NOT LIKE '%7.md'
+UNION ALL SELECT 'new/' || ({REL}), text FROM documents WHERE ({REL}) LIKE '%9.md'"""
+
 ORACLE_SQL = {
+    "context_without_index": UNINDEXED,
+    "snapshot_rebuild": f"""
+SELECT source, sec_pos, CAST(unnest(range(len(w))) AS INTEGER) AS piece_pos, {trim('unnest(w)')} AS text FROM (
+  SELECT source, sec_pos, {pieces('section')} AS w FROM (
+    SELECT rel AS source, CAST(unnest(range(len(l))) AS INTEGER) AS sec_pos, unnest(l) AS section
+    FROM (SELECT rel, CASE WHEN len({PARTS}) > 0 THEN {PARTS} ELSE [{MARKED}] END AS l FROM ({LATER}))))""",
+    "markdown_tree": f"SELECT {listed(inputs.TREE)}[doc_id % {len(inputs.TREE)} + 1] || 'd' || doc_id || '.md' AS rel, text AS content FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND text IS NOT NULL",
+    "embed_seam": "SELECT doc_id, length(coalesce(text, '')) AS n_chars, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS n_breaks FROM documents",
+    "abort_truncate": f"SELECT * FROM ({TOKENS}) WHERE resp_id // 1000 % 5 <> 1 OR seq < 2",
+    "events_after_clear": CLEARED + "SELECT * FROM m",
+    "request_call": f"""
+SELECT DISTINCT conv_id, ['http://localhost:11434/v1/chat/completions', 'https://h.example/v1/chat/completions', 'http://a/v1/chat/completions'][conv_id % 4 + 1] AS url,
+  'Content-Type: application/json' || chr(10) || 'Accept: text/event-stream' || chr(10) || 'User-Agent: {AGENT}'
+    || CASE WHEN conv_id % 2 = 0 THEN chr(10) || 'Authorization: Bearer k' || conv_id ELSE '' END AS headers FROM conversations""",
+    "response_errors": f"SELECT conv_id * 1000 + turn AS resp_id, CASE conv_id % 4 WHEN 1 THEN {quoted(BAD_STATUS)} || '404 Not Found' WHEN 2 THEN {quoted(BAD_STATUS)} || '500 ' WHEN 3 THEN {quoted(NO_BODY)} END AS error FROM conversations",
     "hybrid_context": HYBRID,
     "chunk_sliding_window": f"SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS piece_pos, {trim('unnest(l)')} AS piece FROM (SELECT doc_id, {pieces('text')} AS l FROM documents)",
     "split_by_headers": f"SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS sec_pos, unnest(l) AS section FROM (SELECT doc_id, CASE WHEN len({PARTS}) > 0 THEN {PARTS} ELSE [{MARKED}] END AS l FROM documents)",

@@ -167,3 +167,26 @@ def test_top_k_plan_limits_before_the_shuffle(spark):
     q = spark.createDataFrame([(1, [1.0])], "query_id int, vector array<float>")
     plan = similarity.cosine_topk(c, q, ["vec_id"])._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "BroadcastNestedLoopJoin" in plan
+
+
+@pytest.mark.parametrize("endpoint, url", [
+    ("http://Host:8080/base?x", "http://host:8080/v1/chat/completions"), ("HTTPS://h:443", "https://h/v1/chat/completions"), ("http://h:443/", "http://h:443/v1/chat/completions"), ("h:80", None), ("", None),
+])
+def test_chat_url(spark, endpoint, url):
+    assert one(spark, prompt.chat_url(F.col("t")), t=endpoint) == url
+
+
+def test_requests_and_errors(spark):
+    names = lambda k: [h.name for h in one(spark, prompt.chat_headers(F.col("t")), t=k)]
+    assert names("") == names(None) == ["Content-Type", "Accept", "User-Agent"] and names("k")[3:] == ["Authorization"]
+    rows = spark.createDataFrame([(200, "OK", "x"), (204, None, None), (500, None, None), (None, "lost", "x")], "s int, m string, b string")
+    got = [r[0] for r in rows.select(prompt.response_error(F.col("s"), F.col("m"), F.col("b"))).collect()]
+    assert got == [None, prompt.NO_BODY, prompt.BAD_STATUS + "500 ", prompt.BAD_STATUS + " lost"]
+
+
+def test_rebuild_leaves_what_stayed(spark):
+    index = spark.createDataFrame([("stays", 0, 0, "as it was"), ("goes", 0, 0, "x"), ("new", 0, 0, "x")], "source string, sec_pos int, piece_pos int, text string")
+    changes = spark.createDataFrame([("goes", "deleted"), ("new", "changed"), ("more", "created")], "rel string, change string")
+    docs = spark.createDataFrame([("stays", "not read"), ("new", "# a\n# b"), ("more", "y")], "rel string, content string")
+    got = sorted(tuple(r) for r in chunking.rebuild_index(index, changes, docs).collect())
+    assert got == [("more", 0, 0, "y"), ("new", 0, 0, "# a"), ("new", 1, 0, "# b"), ("stays", 0, 0, "as it was")]
