@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, langid, lm, near_dedup, pii, quality, sharding
+from . import align, bpe, chat, decontaminate, exact_dedup, langid, lm, merkle, near_dedup, pii, quality, sharding, simhash
 
 
 def pipeline(spark, sf_dir: str):
@@ -22,10 +22,14 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_langid": langid.op9_langid,
     "op10_chat": chat.op10_chat,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_simhash": simhash.op12_simhash,
+    "op13_align": align.op13_align,
     "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op10_chat": chat.OP10_SQL,
+    "op11_merkle": merkle.OP11_SQL,
 }
