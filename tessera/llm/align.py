@@ -27,9 +27,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,8 @@ HELD = 1 << 21
 AT_ONCE = 1 << 19
 SPLIT = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
+#: What is said of a text without tokens.
+NONE = (0, 0, 0, "", b"")
 ALIGNED = "part int, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary"
 
 
@@ -67,6 +71,7 @@ class Pair:
     """The two tokenizers, and their tokens' bytes and decimal names."""
 
     def __init__(self, a: str, b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores out
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -88,22 +93,38 @@ class Pair:
         wide = f"S{1 + len(str(max(len(self.bytes_a), len(self.bytes_b))))}"
         self.names = [[np.array([f"{i}{end}" for i in range(len(t))], wide) for end in ends] for t, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;"))]
 
-    def coded(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Both tokenizers' ids, or None if one doesn't give the bytes back."""
-        a: list[int] = []
-        b: list[int] = []
-        for part in stretches(text):
-            a += self.a.encode(f" {part}", add_special_tokens=False).ids
-            b += self.b.encode(part)
-        want = f" {text}".encode("utf-8", "replace")
-        if b"".join([self.bytes_a[i] for i in a]) != want or b"".join([self.bytes_b[i] for i in b]) != want:
-            return None
-        return np.array(a), np.array(b)
-
-    def aligned(self, text: str | None) -> tuple[int, int, int, str, bytes]:
-        """Numbers of tokens and groups, the groups' digest, and the links packed."""
-        if not text or (coded := self.coded(text)) is None:
-            return 0, 0, 0, "", b""
+    def coded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """Both tokenizers' ids of each text, or None if one doesn't give the bytes back."""
+        parts = [list(stretches(t)) for t in texts]
+        flat = list(chain.from_iterable(parts))
+        ids_a = iter(self.a.encode_batch_fast([f" {p}" for p in flat], add_special_tokens=False))
+        ids_b = iter(self.b.encode(flat, num_threads=1))
+        for text, own in zip(texts, parts, strict=True):
+            a = list(chain.from_iterable(next(ids_a).ids for _ in own))
+            b = list(chain.from_iterable(next(ids_b) for _ in own))
+            want = f" {text}".encode("utf-8", "replace")
+            same = b"".join(map(self.bytes_a.__getitem__, a)) == want and b"".join(map(self.bytes_b.__getitem__, b)) == want
+            yield (np.array(a), np.array(b)) if same else None
+
+    def __call__(self, texts: Iterable[str | None]) -> Iterator[tuple[int, int, int, str, bytes]]:
+        """For each text the numbers of tokens and groups, the groups' digest, and the links packed."""
+        waiting: list[str | None] = []
+
+        def done() -> Iterator[tuple[int, int, int, str, bytes]]:
+            found = self.coded([t for t in waiting if t])
+            for t in waiting:
+                yield self.aligned(next(found)) if t else NONE
+
+        for text in texts:
+            waiting.append(text)
+            if sum(len(t or "") for t in waiting) > LONG:
+                yield from done()
+                waiting = []
+        yield from done()
+
+    def aligned(self, coded: tuple[np.ndarray, np.ndarray] | None) -> tuple[int, int, int, str, bytes]:
+        if coded is None:
+            return NONE
         a, b = coded
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         at = np.searchsorted(end_b, end_a)
@@ -146,7 +167,7 @@ def align(df: DataFrame, a: str, b: str, doc_id: str = "doc_id", text: str = "te
         if paths not in _pairs:
             _pairs[paths] = Pair(*paths)
         for batch in batches:
-            found = [_pairs[paths].aligned(t.as_py()) for t in batch.column(2)]
+            found = list(_pairs[paths](t.as_py() for t in batch.column(2)))
             columns = zip(*found, strict=True) if found else ((),) * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [x.split()[0] for x in ALIGNED.split(", ")])
