@@ -11,7 +11,7 @@ from .actions import TAG, strip_actions
 
 #: What in a question names a domain; the first pattern that matches counts.
 DOMAIN = "([a-zA-Z][a-zA-Z0-9\\-_]*)"
-DOMAIN_PATTERNS = (f"{DOMAIN}{BLANK}*업무", f"(?i){DOMAIN}{BLANK}+domain", f"{DOMAIN}{BLANK}*도메인")
+DOMAIN_PATTERNS = (f"{DOMAIN}{BLANK}*업무", f"(?i){DOMAIN}{BLANK}*domain", f"{DOMAIN}{BLANK}*도메인")
 #: Fixed value: said in place of documents when there is no document folder.
 NO_DOCUMENTS = "(scaffold 지식 문서를 찾을 수 없습니다.)"
 

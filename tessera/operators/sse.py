@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.text import trimmed
 
 DONE = "[DONE]"
-#: Where a frame has its token.
-CONTENT = "$.choices[0].delta.content"
+#: Keys that close the object a payload is put in; one that the payload doesn't hold shows where it ended.
+ENDS = ("end0", "end1")
+FRAME = "a struct<choices: array<struct<delta: struct<content: variant>>>>, {0} boolean"
+#: JSON as the web has it: no constants like NaN, no single quotes; of a key's values the last counts.
+STRICT = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
 
 
 def payloads(text: Column) -> Column:
@@ -26,10 +29,19 @@ def until_done(data: Column) -> Column:
 
 
 def token(payload: Column) -> Column:
-    """The frame's first delta, or null where the frame is no strict JSON, or the delta no string or empty."""
-    frame = F.try_parse_json(payload)
-    kind = F.schema_of_variant(F.try_variant_get(frame, CONTENT, "variant"))
-    return F.when(kind == "STRING", F.nullif(F.try_variant_get(frame, CONTENT, "string"), F.lit("")))
+    """The frame's first delta, or null where the payload is no JSON or more than one value, or the delta no string or empty.
+
+    A lenient parser stops where the first value ends, so the payload is put in the middle of an object
+    whose last key must be found again behind it.  Half a surrogate pair becomes a question mark."""
+
+    def parsed(end: str) -> Column:
+        frame = F.from_json(F.concat(F.lit('{"a":'), payload, F.lit(f',"{end}":true}}')), FRAME.format(end), STRICT)
+        content = F.get(frame["a"]["choices"], 0)["delta"]["content"]
+        said = F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string"))
+        return F.when(frame[end], F.nullif(said, F.lit("")))
+
+    one, other = ENDS
+    return F.when(~F.contains(payload, F.lit(one)), parsed(one)).when(~F.contains(payload, F.lit(other)), parsed(other))
 
 
 def joined_bytes(chunks: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import RetrievalConfig
 from ..functions.text import header, titled
-from ..operators import actions, chunking, events, hybrid, prompt, routing, similarity, sse
+from ..operators import actions, chunking, embedding, events, hybrid, nearest, prompt, routing, similarity, sse
 from ..sources.markdown import read_markdown, resolve_source, snapshot_diff
 from ..sources.sink import write_planned
 from ..streaming import events as event_stream
@@ -128,7 +128,7 @@ def line_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of a user, naming a domain in various ways."""
-    forms = ("Account 업무", "about Order-2 Domain", "pay_ment 도메인에", "x 도메인 y 업무", "nothing", "stock domain")
+    forms = ("Account 업무", "about Order-2 Domain", "pay_ment 도메인에", "x 도메인 y 업무", "nothing", "stock domain", "a subdomain", "the orderDomain")
     return inputs.asked(spark, sf_dir).select("query_id", F.concat(F.col("text"), F.lit(" "), inputs.pick(forms, F.col("conv_id") % len(forms))).alias("query"))
 
 
@@ -283,9 +283,7 @@ def snapshot_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markdown_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as files of a tree, partials and other kinds of file among them, and read again."""
-    base = shared(spark).removeprefix("file://")
-    if "://" in base:
-        raise ValueError("a tree of files needs a shared folder that is mounted")
+    base = shared(spark)
     k = F.col("doc_id")
     name = F.concat(F.when(k % 5 == 0, "_").otherwise(""), F.lit("d"), k.cast("string"), F.when(k % 7 == 0, ".txt").otherwise(".md"))
     plan = inputs.table(spark, sf_dir, "documents").select(F.concat(inputs.pick(inputs.TREE, k % len(inputs.TREE)), name).alias("path"), F.col("text").alias("content"))
@@ -303,6 +301,49 @@ def embed_seam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.get("embedding", F.lit(i)).cast("long").alias(n) for i, n in enumerate(("n_chars", "n_breaks"))])
 
 
+def index_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole index path: documents to chunks to vectors, and the nearest chunks' texts for each user turn."""
+    docs = inputs.marked(spark, sf_dir).select(inputs.rel(F.col("doc_id")).alias("rel"), F.col("text").alias("content"))
+    index = embedding.build_index(docs, embedding.HashedTokens, CFG)
+    asked = embedding.embed(inputs.asked(spark, sf_dir).select("query_id", "text"), embedding.HashedTokens, vector="vector")
+    return nearest.retrieved(index, asked, CFG)
+
+
+def keyword_gram_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of very many keywords (each document's first word and last two characters) stand in which document."""
+    docs = inputs.table(spark, sf_dir, "documents").where("text is not null")
+    words = F.array(F.lower(F.substring_index("text", " ", 1)), F.lower(F.right("text", F.lit(2))))
+    entries = docs.select(F.col("doc_id").alias("entry_id"), F.filter(words, lambda w: w != "").alias("keywords"))
+    hits = routing.keyword_hits(docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), entries, CFG)
+    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_entries"), F.min("entry_id").alias("first_entry"), F.sum("entry_id").alias("sum_entries"))
+
+
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers whose third block makes the first one's file again, and whose fourth has no template."""
+    k = F.col("resp_id").cast("string")
+    block = lambda kind, path: F.concat(F.lit('\n<file-action>{"action":"createFile","templateType":"' + kind + '","componentName":"D","filePath":"'), path, F.lit('"}</file-action>'))
+    said = inputs.responses(spark, sf_dir).withColumn("text", F.concat("text", block("page", F.concat(F.lit("src/"), k, F.lit(".tsx"))), block("store", F.lit("s"))))
+    n, asked = F.col("p_partkey"), inputs.table(spark, sf_dir, "part")
+    path = F.concat(F.lit(" src/"), n.cast("string"), F.lit(".tsx "))
+    answers = asked.select(n.alias("resp_id"), F.inline(F.array(
+        F.struct(F.lit(0).alias("action_no"), F.when(n % 3 != 0, path).alias("edited_path"), (n % 8 == 0).alias("overwrite_ok")),
+        F.struct(F.lit(2).alias("action_no"), path.alias("edited_path"), (n % 2 == 0).alias("overwrite_ok")),
+        F.struct(F.lit(3).alias("action_no"), F.lit("s").alias("edited_path"), F.lit(False).alias("overwrite_ok")),
+    )))
+    existing = asked.where(n % 4 == 0).select(F.concat(F.lit("src/"), n.cast("string"), F.lit(".tsx")).alias("path"))
+    return actions.fold_actions(actions.extract_actions(said), answers, _templates(spark), existing)
+
+
+def action_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a user interface is told of each answer's file actions, in order."""
+    return _folded(spark, sf_dir).select("resp_id", F.posexplode("events").alias("seq", "e")).select("resp_id", "seq", "e.*")
+
+
+def action_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each answer's actions leave in each file."""
+    return _folded(spark, sf_dir).select("resp_id", F.inline("writes"))
+
+
 def context_without_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval while no index is built yet."""
     return _shown(hybrid.hybrid_context(inputs.questions(spark, sf_dir), entries(spark), inputs.documents(spark, sf_dir), None, CFG))
@@ -345,5 +386,6 @@ QUERIES = {
         history_after_clear, request_json, sse_decode, token_fold, event_reduce, event_status, action_extract, action_strip,
         action_route, action_plan, action_outcomes, template_apply, stream_sse_decode, stream_event_reduce, snapshot_changes,
         snapshot_rebuild, markdown_tree, embed_seam, context_without_index, abort_truncate, events_after_clear, request_call, response_errors,
+        index_retrieve, keyword_gram_route, action_fold, action_writes,
     )
 }

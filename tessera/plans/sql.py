@@ -114,10 +114,10 @@ SELECT query_id, CAST(len(ds) AS BIGINT) AS n_docs, array_to_string(ds, {SEP}) A
   array_to_string(list_filter([CASE WHEN len(kw) > 0 THEN 'keyword' END, CASE WHEN len(ctx) > 0 THEN 'context' END, CASE WHEN len(parts) > 0 THEN 'embedding' END], lambda m: m IS NOT NULL), ',') AS methods
 FROM o"""
 
-FORMS = ("Account 업무", "about Order-2 Domain", "pay_ment 도메인에", "x 도메인 y 업무", "nothing", "stock domain")
+FORMS = ("Account 업무", "about Order-2 Domain", "pay_ment 도메인에", "x 도메인 y 업무", "nothing", "stock domain", "a subdomain", "the orderDomain")
 ASKED = f"SELECT conv_id * 1000 + turn AS query_id, text || ' ' || {listed(FORMS)}[conv_id % {len(FORMS)} + 1] AS query FROM conversations WHERE role = 'user'"
 NAME = "([a-zA-Z][a-zA-Z0-9_-]*)"
-DOMAIN = f"lower(coalesce(nullif(regexp_extract(query, '{NAME}{BLANK}*업무', 1), ''), nullif(regexp_extract(query, '(?i){NAME}{BLANK}+domain', 1), ''), nullif(regexp_extract(query, '{NAME}{BLANK}*도메인', 1), '')))"
+DOMAIN = f"lower(coalesce(nullif(regexp_extract(query, '{NAME}{BLANK}*업무', 1), ''), nullif(regexp_extract(query, '(?i){NAME}{BLANK}*domain', 1), ''), nullif(regexp_extract(query, '{NAME}{BLANK}*도메인', 1), '')))"
 ADVICE = "chr(10) || '위 파일에 신규 {} 배열 항목을 추가하여 updateFile 블록의 generatedCode를 작성하세요.'"
 SECTION = f"""
   SELECT query_id, query, CASE WHEN domain IS NULL THEN '' ELSE concat_ws(chr(10), chr(10) || '---' || chr(10) || chr(10) || '## 페이지 생성 컨텍스트',
@@ -184,7 +184,67 @@ LATER = f"""
 SELECT rel, CASE WHEN rel LIKE '%3.md' THEN text || '!' ELSE text END AS text FROM (SELECT {REL} AS rel, text FROM documents) WHERE rel NOT LIKE '%7.md'
 UNION ALL SELECT 'new/' || ({REL}), text FROM documents WHERE ({REL}) LIKE '%9.md'"""
 
+CHUNKED = f"""
+SELECT source, sec_pos, CAST(unnest(range(len(w))) AS INTEGER) AS piece_pos, {trim('unnest(w)')} AS text FROM (
+  SELECT source, sec_pos, {pieces('section')} AS w FROM (
+    SELECT {REL} AS source, CAST(unnest(range(len(l))) AS INTEGER) AS sec_pos, unnest(l) AS section
+    FROM (SELECT doc_id, CASE WHEN len({PARTS}) > 0 THEN {PARTS} ELSE [{MARKED}] END AS l FROM documents)))"""
+
+
+def tokens(text: str = "text") -> str:
+    return rf"list_filter(regexp_split_to_array(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda y: y <> '')"
+
+
+def embedded(of: str, key: str) -> str:
+    """Sum of the tokens' digests' bytes, of length one, in single precision; ``words`` has (t, d, x)."""
+    return f"""
+SELECT {key}, list(CAST(CASE WHEN len2 > 0 THEN s / sqrt(len2) ELSE 0 END AS FLOAT) ORDER BY d) AS v FROM (
+  SELECT *, sum(s * s) OVER (PARTITION BY {key}) AS len2 FROM (
+    SELECT {key}, d, CAST(sum(2 * x - 255) AS DOUBLE) AS s FROM (SELECT {key}, unnest({tokens()}) AS t FROM {of}) JOIN words USING (t) GROUP BY ALL
+    UNION ALL SELECT {key}, d, 0.0 FROM {of}, range(32) r(d) WHERE len({tokens()}) = 0)) GROUP BY ALL"""
+
+
+RETRIEVED = f"""
+WITH chunks AS MATERIALIZED ({CHUNKED}), asked AS (SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user'),
+words AS MATERIALIZED (SELECT t, d, ('0x' || substr(h, 2 * d + 1, 2))::INTEGER AS x FROM (
+  SELECT t, sha256(t) AS h FROM (SELECT DISTINCT unnest({tokens()}) AS t FROM (SELECT text FROM chunks UNION ALL SELECT text FROM asked))), range(32) r(d)),
+m AS MATERIALIZED (SELECT *, {dot('v', 'v')} AS vv FROM ({embedded('chunks', 'source, sec_pos, piece_pos')})),
+q AS MATERIALIZED (SELECT query_id, v AS qv, {dot('v', 'v')} AS qq FROM ({embedded('asked', 'query_id')})),
+s AS (SELECT query_id, source, sec_pos, piece_pos, {dot('qv', 'v')} / (sqrt(vv) * sqrt(qq) + 1e-10) AS score FROM q, m),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, sec_pos, piece_pos) AS rank FROM s)
+SELECT query_id, count(*) AS n_chunks, string_agg('## [' || source || ']' || chr(10) || chr(10) || text, {SEP} ORDER BY rank) AS context
+FROM r JOIN chunks USING (source, sec_pos, piece_pos) WHERE rank <= 5 GROUP BY ALL"""
+
+#: Actions 0 to 3 of each answer in turn: 0 makes a page, 1 updates its file if it can be read, 2 makes it again, 3 has no template.
+FOLDED = f"""
+WITH RECURSIVE p AS (SELECT p_partkey AS k, {CODE} AS code, 'src/' || p_partkey || '.tsx' AS path FROM part), run AS (
+  SELECT k, -1 AS no, k % 4 = 0 AS there, false AS stopped, CAST(NULL AS VARCHAR) AS type, CAST(NULL AS VARCHAR) AS message, CAST(NULL AS VARCHAR) AS file_path, CAST(NULL AS VARCHAR) AS content FROM p
+  UNION ALL
+  SELECT k, no + 1, there OR made, type = 'fileCancelled', type, CASE WHEN type = 'fileError' THEN '템플릿 파일을 찾을 수 없습니다: store.template.txt' END,
+    CASE WHEN made THEN path END, CASE WHEN made THEN CASE no + 1 WHEN 0 THEN CASE WHEN k % 2 = 0 THEN code ELSE page('C' || k) END WHEN 1 THEN code ELSE page('D') END END
+  FROM (
+    SELECT *, type IN ('fileCreated', 'fileUpdated') AS made FROM (
+      SELECT run.k, no, there, code, path, CASE no + 1
+        WHEN 0 THEN CASE WHEN run.k % 3 = 0 OR (there AND run.k % 8 <> 0) THEN 'fileCancelled' ELSE 'fileCreated' END
+        WHEN 1 THEN CASE WHEN run.k % 5 > 1 THEN 'fileUpdated' ELSE 'none' END
+        WHEN 2 THEN CASE WHEN there AND run.k % 2 = 1 THEN 'fileCancelled' ELSE 'fileCreated' END
+        ELSE 'fileError' END AS type
+      FROM run JOIN p USING (k) WHERE NOT stopped AND no < 3))
+)"""
+for _name in ("'C' || k", "'D'"):
+    FOLDED = FOLDED.replace(f"page({_name})", f"'export function ' || {_name} || '() {{ return ''' || lower({_name}) || '''; }}' || chr(10)")
+
 ORACLE_SQL = {
+    "index_retrieve": RETRIEVED,
+    "keyword_gram_route": """
+WITH e AS (SELECT doc_id AS entry_id, list_filter([lower(string_split(text, ' ')[1]), lower(right(text, 2))], lambda w: w <> '') AS keywords FROM documents WHERE text IS NOT NULL)
+SELECT doc_id AS query_id, count(*) AS n_entries, min(entry_id) AS first_entry, CAST(sum(entry_id) AS BIGINT) AS sum_entries
+FROM documents, e WHERE len(list_filter(keywords, lambda w: contains(lower(text), w))) > 0 GROUP BY ALL""",
+    "action_fold": f"""{FOLDED}
+SELECT k AS resp_id, CAST(row_number() OVER (PARTITION BY k ORDER BY no) - 1 AS INTEGER) AS seq, type, message, file_path FROM (
+  SELECT k, no, type, message, file_path FROM run WHERE no >= 0 AND type <> 'none'
+  UNION ALL SELECT p_partkey, -1, 'fileError', CASE p_partkey % 5 WHEN 0 THEN 'JSON 메타데이터를 찾을 수 없습니다.' ELSE 'JSON 파싱에 실패했습니다.' END, NULL FROM part WHERE p_partkey % 5 < 2)""",
+    "action_writes": f"{FOLDED} SELECT k AS resp_id, file_path AS path, arg_max(content, no) AS content FROM run WHERE file_path IS NOT NULL GROUP BY ALL",
     "context_without_index": UNINDEXED,
     "snapshot_rebuild": f"""
 SELECT source, sec_pos, CAST(unnest(range(len(w))) AS INTEGER) AS piece_pos, {trim('unnest(w)')} AS text FROM (

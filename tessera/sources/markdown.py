@@ -2,56 +2,35 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import is_folder, list_tree, read_files
+
 SCHEMA = "rel string, content string"
 
 
 def resolve_source(folders: list[str], bundled: str | None, name: str = ".rag") -> str | None:
     """The first folder's ``name`` directory that exists, else the bundled one, else None."""
     for folder in folders:
-        if os.path.isdir(at := os.path.join(folder, name)):
+        if is_folder(at := f"{folder.rstrip('/')}/{name}"):
             return at
-    return bundled if bundled and os.path.isdir(bundled) else None
-
-
-def markdown_paths(root: str) -> list[str]:
-    """Regular ``.md`` files below ``root``, hidden folders included, links not followed; sorted."""
-    found = []
-    for folder, _, names in os.walk(root):
-        for n in names:
-            at = os.path.join(folder, n)
-            if n.endswith(".md") and os.path.isfile(at) and not os.path.islink(at):
-                found.append(os.path.relpath(at, root).replace(os.sep, "/"))
-    return sorted(found)
+    return bundled if bundled and is_folder(bundled) else None
 
 
 def read_markdown(spark: SparkSession, root: str | None, partial: bool = False) -> DataFrame:
-    """Documents (rel, content) below a folder all executors see; a missing folder has none.
+    """Documents (rel, content) of the ``.md`` files below a folder; a missing folder has none.
 
-    Spark's own file sources skip names that begin with a dot or underscore, so paths are listed here
-    and read by the tasks.  Files named ``_*`` are no documents; ``partial`` reads them too."""
-    if root is None or not os.path.isdir(root):
+    Spark's own file sources skip names that begin with a dot or underscore, so tasks list the tree,
+    hidden folders included and links not followed, and other tasks read it.  The folder is a path or
+    URI of any file system that Arrow opens and all executors see.  Files named ``_*`` are no
+    documents; ``partial`` reads them too."""
+    if root is None or not is_folder(root):
         return spark.createDataFrame([], SCHEMA)
-    paths = [p for p in markdown_paths(root) if partial or not p.rsplit("/", 1)[-1].startswith("_")]
-    if not paths:
-        return spark.createDataFrame([], SCHEMA)
-
-    def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            contents = []
-            for rel in frame["rel"]:
-                with open(os.path.join(root, rel), encoding="utf-8", errors="replace", newline="") as f:
-                    contents.append(f.read())
-            yield pd.DataFrame({"rel": frame["rel"], "content": contents})
-
-    listed = spark.createDataFrame([(p,) for p in paths], "rel string").repartition(max(1, min(len(paths) // 64 + 1, 256)))
-    return listed.mapInPandas(load, SCHEMA)
+    found = list_tree(spark, root, ".md")
+    if not partial:
+        found = found.where(~F.substring_index("rel", "/", -1).startswith("_"))
+    return read_files(found, root)
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -23,9 +23,10 @@ def frame_token(payload: str) -> str | None:
     """The first delta's content, or None where the frame is no strict JSON, or the content no string or empty."""
     try:
         content = json.loads(payload, parse_constant=_refused)["choices"][0]["delta"]["content"]
-    except (ValueError, LookupError, TypeError):
+    except (ValueError, LookupError, TypeError, RecursionError):
         return None
-    return content if isinstance(content, str) and content else None
+    # half a surrogate pair is no character: a question mark, as in the batch form
+    return content.encode("utf-8", "replace").decode() if isinstance(content, str) and content else None
 
 
 def decode(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -135,7 +135,7 @@ def test_prompt_parts(spark):
     cap = lambda n: one(spark, prompt.cap_lines(F.col("t"), 200), t="\n".join("x" * n))
     assert cap(200).count("\n") == 199 and cap(201).endswith("\n\n... (1줄 생략됨)")
     domain = lambda q: one(spark, prompt.extract_domain(F.col("q")), q=q)
-    assert [domain(q) for q in ("Account 업무에", "a DOMAIN", "b 도메인 c 업무", "account에")] == ["account", "a", "c", None]
+    assert [domain(q) for q in ("Account 업무에", "a DOMAIN", "b 도메인 c 업무", "account에", "subdomain", "the orderDomain")] == ["account", "a", "c", None, "sub", "order"]
     assert one(spark, prompt.file_section(F.col("p"), F.col("l"), F.col("c"), F.col("s")), p="f", l="ts", c="x", s="").endswith("x\n```\n")
     assert one(spark, prompt.selection(F.col("s")), s=" \n") is None
 
@@ -159,7 +159,7 @@ def test_sink_stays_inside(spark, tmp_path):
     assert (tmp_path / "a/b.txt").read_text() == "x"
     for bad in ("../x", "/etc/x"):
         with pytest.raises(ValueError, match="leads out"):
-            sink.inside(str(tmp_path), bad)
+            sink.inside(bad)
 
 
 def test_top_k_plan_limits_before_the_shuffle(spark):
