@@ -54,8 +54,8 @@ PRIOR = 5.0
 #: Tokens for each part of the dealt tables, and entries that a task gathers before it sends them on.
 PART_TOKENS, PACK = 4_000_000, 1_200_000
 LEAST_BITS = 5
-#: Steps of a stored gain and of a stored share's logarithm.
-GAIN, SHARE = 4096, 2048
+#: Steps of a stored share's logarithm.
+SHARE = 2048
 BLOCK = 128
 STEP, DAMP = 0.3, 20.0
 CHUNK = 16_384
@@ -299,7 +299,7 @@ def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.add.reduceat(counts[order].astype(np.float64), starts)
         share = shares[order[starts]].astype(np.float64)
         gain = np.where(share > 0, np.log10(1 + total * np.exp2((share - 1) / SHARE) / PRIOR), -np.log10(1 + total / PRIOR))
-        return packed([(part, PAIR_TABLE, None, keys[starts], np.round((gain + 8) * GAIN).astype(np.uint16), None, None)], TABLE)
+        return packed([(part, PAIR_TABLE, None, keys[starts], gain.astype(np.float32), None, None)], TABLE)
 
     for batch in batches:
         for p, *arrays in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -464,7 +464,7 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if p != part:
                 part, pairs, counts = p, nothing, nothing
             if kind == PAIR_TABLE:
-                pairs = (np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint16) / GAIN - 8)
+                pairs = (np.frombuffer(a, np.uint32), np.frombuffer(b, np.float32).astype(np.float64))
             elif kind == COUNT_TABLE:
                 counts = (np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64))
             elif kind == OWN:

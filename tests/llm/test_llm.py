@@ -405,11 +405,26 @@ def trained_on(spark, texts):
     return df, lm.train(df)
 
 
+@pytest.mark.parametrize("times", [1, 1000, 110_000, 1_000_000, 1_000_000_000, 4_000_000_000])
+def test_lm_gains_of_any_size(times):
+    """A pair's gain against its formula, however often it was seen; and of a class without such a pair."""
+    for stored in (1, 1 + 3 * lm.SHARE, 1 + 12 * lm.SHARE, 0):
+        arrays = [lm.np.array([7], t).tobytes() for t in (lm.np.uint32,)] + [lm.np.array([stored], lm.np.uint16).tobytes(), lm.np.array([times], lm.np.uint32).tobytes()]
+        class Column(list):
+            def to_pylist(self):
+                return list(self)
+        batch = type("Batch", (), {"column": lambda self, k: Column([0] if k == 0 else [arrays[k - 1]])})()
+        table = next(lm.added(iter([batch])))
+        got = lm.np.frombuffer(table.column(4)[0].as_py(), lm.np.float32)[0]
+        want = math.log10(1 + times * 2.0 ** ((stored - 1) / lm.SHARE) / lm.PRIOR) if stored else -math.log10(1 + times / lm.PRIOR)
+        assert got == pytest.approx(want, rel=1e-5)
+
+
 def test_lm_probabilities_sum_to_one(spark):
     """Inside every frequent class, after every token, over all tokens; and of the classes, after any context."""
     texts = [prose(40, i) for i in range(30)] + ["a b a b a c"]
     _, m = trained_on(spark, texts)
-    pairs = {r.part: (lm.np.frombuffer(r.a, lm.np.uint32), lm.np.frombuffer(r.b, lm.np.uint16) / lm.GAIN - 8) for r in m["tables"].where(F.col("kind") == lm.PAIR_TABLE).collect()}
+    pairs = {r.part: (lm.np.frombuffer(r.a, lm.np.uint32), lm.np.frombuffer(r.b, lm.np.float32)) for r in m["tables"].where(F.col("kind") == lm.PAIR_TABLE).collect()}
     rows = m["tables"].where(F.col("kind") == lm.COUNT_TABLE).count()
     assert rows == 0 and len(m["keys"]) == m["v"]  # all counts of so small a corpus are broadcast
     seen = {(x, y) for t in texts for x, y in zip([None, *lm.tokens(t)], lm.tokens(t))}
