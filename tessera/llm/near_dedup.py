@@ -41,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT_SHARE, cut, read, salted_join, small_batches, unused
@@ -228,11 +228,15 @@ def residual(docs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 
     Joined by rare shingle and size class; see the module's text for why that is exact."""
     flat = held.join(docs.select("id"), "id", "left_semi").select("id", F.explode("s").alias("x"))
-    # a shingle stands once in a document, so none has more rows than there are documents
-    counted = flat.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("x")))
-    ranked = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("r"))
-    rarest = F.slice("r", F.lit(1), (F.size("r") - F.ceil(F.size("r") * F.lit(percent) / 100) + 1).cast("int"))
-    keys = ranked.select("id", F.explode(F.transform(F.filter(rarest, lambda r: r["c"] > 1), lambda r: r["x"])).alias("x"))
+    counts = cut(flat.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-counts")
+    total = docs.agg(F.sum("n")).head()[0] or 0
+    hot = cut(counts.where(F.col("c") * HOT_SHARE > total).select("x"), "near-often")  # fewer than HOT_SHARE
+    shared = salted_join(flat, counts, ["x"], ["id"], hot=hot)
+    ranked = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("r")).join(docs.select("id", "n"), "id")
+    # a document's rarest shingles are those that no other has, which lead nowhere; then come these
+    left = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1 - (F.col("n") - F.size("r"))
+    rarest = F.slice("r", F.lit(1), F.greatest(left, F.lit(0)).cast("int"))
+    keys = ranked.select("id", F.explode(F.transform(rarest, lambda r: r["x"])).alias("x"))
     step = F.lit(math.log(100 / percent) * (1 + 1e-9))  # rounding must not move sets two classes apart
     keyed = keys.join(docs, "id").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
     keyed = cut(keyed, "near-keyed")
