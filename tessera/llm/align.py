@@ -90,8 +90,8 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.length_a, self.length_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
-        wide = f"S{1 + len(str(max(len(self.bytes_a), len(self.bytes_b))))}"
-        self.names = [[np.array([f"{i}{end}" for i in range(len(t))], wide) for end in ends] for t, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;"))]
+        # a name and what follows it (inside a group, then at its end) in eight bytes, moved as one number
+        self.names = [np.array([f"{i}{end}" for end in ends for i in range(len(t))], "S8").view(np.uint64) for t, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;"))]
 
     def coded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         """Both tokenizers' ids of each text, or None if one doesn't give the bytes back."""
@@ -100,8 +100,8 @@ class Pair:
         ids_a = iter(self.a.encode_batch_fast([f" {p}" for p in flat], add_special_tokens=False))
         ids_b = iter(self.b.encode(flat, num_threads=1))
         for text, own in zip(texts, parts, strict=True):
-            a = list(chain.from_iterable(next(ids_a).ids for _ in own))
-            b = list(chain.from_iterable(next(ids_b) for _ in own))
+            a = next(ids_a).ids if len(own) == 1 else list(chain.from_iterable(next(ids_a).ids for _ in own))
+            b = next(ids_b) if len(own) == 1 else list(chain.from_iterable(next(ids_b) for _ in own))
             want = f" {text}".encode("utf-8", "replace")
             same = b"".join(map(self.bytes_a.__getitem__, a)) == want and b"".join(map(self.bytes_b.__getitem__, b)) == want
             yield (np.array(a), np.array(b)) if same else None
@@ -134,11 +134,11 @@ class Pair:
         # where each group's tokens stand when all are written down: A's, then B's
         past_a, past_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
         group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
-        (comma_a, bar), (comma_b, semicolon) = self.names
-        said = np.empty(len(a) + len(b), bar.dtype)
-        said[np.arange(len(a)) + np.r_[0, past_b[:-1]][group_a]] = np.where(last_a, bar[a], comma_a[a])
-        said[np.arange(len(b)) + past_a[group_b]] = np.where(last_b, semicolon[b], comma_b[b])
-        digest = hashlib.sha256(said.tobytes().replace(b"\0", b"")[:-1]).hexdigest()
+        names_a, names_b = self.names
+        said = np.empty(len(a) + len(b), np.uint64)
+        said[np.arange(len(a)) + np.r_[0, past_b[:-1]][group_a]] = names_a[a + last_a * len(self.bytes_a)]
+        said[np.arange(len(b)) + past_a[group_b]] = names_b[b + last_b * len(self.bytes_b)]
+        digest = hashlib.sha256(said.tobytes().translate(None, b"\0")[:-1]).hexdigest()
         return len(a), len(b), len(past_a), digest, packed(a[last_a], b[last_b])
 
 
