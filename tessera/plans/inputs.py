@@ -109,6 +109,25 @@ def ui_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e
 
 
+#: Kinds of event by event_id modulo 11, where users send messages while models answer.
+TALK = ("send", "token", "token", "send", "token", "done", "stop", "token", "error", "token", "send")
+
+
+def talk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages and answers, one session for each user: some messages are blank, and every
+    seventh event replies to a message that is three events old at least."""
+    from pyspark.sql import Window
+
+    n = F.col("event_id")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    kind = pick(TALK, n % len(TALK)).alias("type")
+    e = table(spark, sf_dir, "events").select("user_id", n, kind, (F.row_number().over(w) - 1).cast("long").alias("seq"), F.when(n % 5 == 0, F.lit(" \n")).otherwise(F.concat("event_type", F.lit(" "))).alias("content"))
+    sent = F.when(F.col("type") == "send", F.col("seq"))
+    last, older = (F.max(sent).over(w.rowsBetween(Window.unboundedPreceding, -k)) for k in (1, 3))
+    reply = F.when(F.col("type").isin("token", "done", "error"), F.when(n % 7 == 0, older).otherwise(last))
+    return e.select(F.col("user_id").cast("string").alias("session"), "seq", "type", reply.alias("reply_to"), "content")
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers made of parts: blocks good and bad, with and without code."""
     p = table(spark, sf_dir, "part")

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..config import RetrievalConfig
 from ..functions.text import header, titled
-from ..operators import actions, chunking, embedding, events, hybrid, nearest, prompt, routing, similarity, sse
+from ..operators import actions, chunking, embedding, events, hybrid, nearest, prompt, routing, similarity, sse, turns
 from ..sources.markdown import read_markdown, resolve_source, snapshot_diff
 from ..sources.sink import write_planned
 from ..streaming import events as event_stream
 from ..streaming import sse as sse_stream
+from ..streaming import turns as turn_stream
 from ..streaming.run import replay, shared
 from . import inputs
 from .sql import ORACLE_SQL  # noqa: F401
@@ -377,6 +378,16 @@ def response_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("resp_id"), prompt.response_error(status, said, body).alias("error"))
 
 
+def message_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each message sent while answers arrive."""
+    out = turns.message_outcomes(inputs.talk_events(spark, sf_dir))
+    return out.withColumn("ended_seq", F.coalesce("ended_seq", F.lit(-1)))  # -1: open
+
+
+def stream_message_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay(inputs.talk_events(spark, sf_dir), lambda events: turn_stream.outcomes_stream(events, None))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -386,6 +397,6 @@ QUERIES = {
         history_after_clear, request_json, sse_decode, token_fold, event_reduce, event_status, action_extract, action_strip,
         action_route, action_plan, action_outcomes, template_apply, stream_sse_decode, stream_event_reduce, snapshot_changes,
         snapshot_rebuild, markdown_tree, embed_seam, context_without_index, abort_truncate, events_after_clear, request_call, response_errors,
-        index_retrieve, keyword_gram_route, action_fold, action_writes,
+        index_retrieve, keyword_gram_route, action_fold, action_writes, message_outcomes, stream_message_outcomes,
     )
 }

@@ -151,6 +151,34 @@ a AS (
   FROM e WHERE type IN ('fileCreated', 'fileError', 'fileCancelled'))
 """
 
+#: Messages and answers event by event: the current message, whether its answer has begun, what ends.
+TURNS = f"""
+WITH RECURSIVE k AS (
+  SELECT user_id, CAST(user_id AS VARCHAR) AS session, event_id, {listed(inputs.TALK)}[event_id % {len(inputs.TALK)} + 1] AS type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq,
+    CASE WHEN event_id % 5 = 0 THEN ' ' || chr(10) ELSE event_type || ' ' END AS content FROM events
+), e AS MATERIALIZED (
+  SELECT session, seq, type, content, CASE WHEN type IN ('token', 'done', 'error') THEN
+    CASE WHEN event_id % 7 = 0 THEN max(CASE WHEN type = 'send' THEN seq END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 3 PRECEDING)
+    ELSE max(CASE WHEN type = 'send' THEN seq END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END END AS reply_to FROM k
+), run AS (
+  SELECT DISTINCT session, CAST(-1 AS BIGINT) AS seq, CAST(-1 AS BIGINT) AS cur, false AS begun, CAST(-1 AS BIGINT) AS ended, CAST(NULL AS VARCHAR) AS how FROM e
+  UNION ALL
+  SELECT run.session, e.seq,
+    CASE WHEN sent THEN CASE WHEN refused THEN cur ELSE e.seq END WHEN type = 'stop' OR (mine AND type <> 'token') THEN -1 ELSE cur END,
+    CASE WHEN sent THEN refused AND begun WHEN type = 'stop' OR (mine AND type <> 'token') THEN false ELSE begun OR mine END,
+    CASE WHEN sent AND refused THEN e.seq ELSE cur END,
+    CASE WHEN sent AND refused THEN 'ignored' WHEN cur < 0 THEN NULL WHEN sent THEN 'superseded' WHEN type = 'stop' THEN 'stopped' WHEN mine AND type <> 'token' THEN type END
+  FROM run JOIN e ON e.session = run.session AND e.seq = run.seq + 1,
+    LATERAL (SELECT type = 'send' AS sent, begun OR trim(replace(content, chr(10), '')) = '' AS refused, cur >= 0 AND coalesce(reply_to = cur, false) AS mine)
+), ends AS (
+  SELECT session, ended AS seq, how AS outcome, seq AS ended_seq FROM run WHERE how IS NOT NULL
+  UNION ALL SELECT session, cur, 'open', NULL FROM run r WHERE cur >= 0 AND seq = (SELECT max(seq) FROM e WHERE e.session = r.session)
+), told AS (
+  SELECT ends.session, ends.seq, string_agg(content, '' ORDER BY e.seq) AS said FROM ends JOIN e ON e.session = ends.session AND e.reply_to = ends.seq AND type = 'token'
+  WHERE ended_seq IS NULL OR e.seq < ended_seq GROUP BY ALL
+)
+SELECT session, seq, outcome, ended_seq, CASE WHEN outcome <> 'ignored' THEN coalesce(said, '') END AS answer FROM ends LEFT JOIN told USING (session, seq)"""
+
 META = """'{"action":"' || a || '","templateType":"' || t || '"}'"""
 CODE = "'const n = ''' || p_name || ''';'"
 ACTIONS = f"""
@@ -235,6 +263,8 @@ for _name in ("'C' || k", "'D'"):
     FOLDED = FOLDED.replace(f"page({_name})", f"'export function ' || {_name} || '() {{ return ''' || lower({_name}) || '''; }}' || chr(10)")
 
 ORACLE_SQL = {
+    "message_outcomes": f"SELECT * REPLACE (coalesce(ended_seq, -1) AS ended_seq) FROM ({TURNS})",
+    "stream_message_outcomes": f"SELECT * FROM ({TURNS}) WHERE outcome <> 'open'",
     "index_retrieve": RETRIEVED,
     "keyword_gram_route": """
 WITH e AS (SELECT doc_id AS entry_id, list_filter([lower(string_split(text, ' ')[1]), lower(right(text, 2))], lambda w: w <> '') AS keywords FROM documents WHERE text IS NOT NULL)
