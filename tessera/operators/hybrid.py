@@ -6,14 +6,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RetrievalConfig
-from ..functions.text import first_by, header, split_literal, titled, trimmed
-from .routing import context_route, keyword_route, lookup_documents
+from ..functions.text import first_by, header, small, split_literal, titled, trimmed
+from ..streaming.run import shared
+from .routing import RULE_TARGETS, context_targets, keyword_route
 from .similarity import cosine_topk
 
 
-def _lists(routes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    found = lookup_documents(routes, docs).groupBy("query_id")
-    return found.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "doc"))), lambda x: x["doc"]).alias(name))
+#: Bytes of routed documents' texts up to which they are broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Ways that questions of one document are dealt into beyond that.
+SALTS = 64
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, however often it is used."""
+    path = f"{shared(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def named_documents(entries: DataFrame, docs: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """``rel, header, content`` of the documents that keyword entries or rules can name, one of each name
+    (of several the first text), read once."""
+    rules = docs.sparkSession.createDataFrame([(t,) for t in RULE_TARGETS], "rel string")
+    names = entries.select(F.explode("files").alias("rel")).unionByName(rules).distinct()
+    found = docs.select("rel", "content").join(small(names, cfg.broadcast_rows), "rel", "left_semi").groupBy("rel").agg(F.min("content").alias("content"))
+    return _kept(found.select("rel", header(titled(F.col("rel"), F.lit(""))).alias("header"), "content"), "named")
+
+
+def routed_names(queries: DataFrame, entries: DataFrame, named: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """``query_id, chosen, n_kw, n_ctx``: names of up to ``max_docs`` documents of each question, those of keywords first,
+    and how many either way named.  No text is read: a document's header follows from its name."""
+    known = small(named.select("rel", "header", F.col("content").isNotNull().alias("has")), cfg.broadcast_rows)
+    targets = queries.select("query_id", F.posexplode(context_targets(F.col("file_path"), F.col("file_content"))).alias("ord", "rel"))
+    asked = keyword_route(queries, entries, cfg).withColumn("way", F.lit(0)).unionByName(targets.withColumn("way", F.lit(1)))
+    lists = asked.join(known, "rel").groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("way", "ord", "rel", "header", "has"))).alias("all"),
+        F.count_if(F.col("way") == 0).alias("n_kw"), F.count_if(F.col("way") == 1).alias("n_ctx"),
+    )
+    held = F.filter("all", lambda x: x["has"])
+    lists = lists.withColumn("held", held).withColumn("heads", F.transform("held", lambda x: x["header"]))
+    chosen = F.transform(F.slice(first_by(F.col("held"), F.col("heads")), 1, cfg.max_docs), lambda x: x["rel"])
+    return _kept(lists.select("query_id", chosen.alias("chosen"), "n_kw", "n_ctx"), "routed")
+
+
+def _with_texts(routed: DataFrame, named: DataFrame) -> DataFrame:
+    """``query_id, combined``: the chosen documents' texts, which are broadcast if they are small, else dealt in salts
+    as many questions ask for the same few documents."""
+    wanted = routed.select("query_id", F.posexplode("chosen").alias("pos", "rel"))
+    texts = named.select("rel", titled(F.col("rel"), F.col("content")).alias("doc"))
+    size = named.agg(F.sum(F.octet_length("content")).alias("n")).first()["n"] or 0
+    if size <= BROADCAST_BYTES:
+        met = wanted.join(F.broadcast(texts), "rel")
+    else:
+        dealt = texts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = wanted.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int")).join(dealt, ["rel", "salt"])
+    return met.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "doc"))), lambda x: x["doc"]).alias("combined"))
 
 
 def dedupe_first(docs: DataFrame, key: str, order: list[str], doc: str = "doc") -> DataFrame:
@@ -31,18 +79,18 @@ def hybrid_context(queries: DataFrame, entries: DataFrame, docs: DataFrame, chun
     which holds or ends with the separator's rule comes apart, as the semantics have it; ``clean``
     keeps chunks whole and takes one of each source.  Without ``chunks`` (no index yet) there is no
     similarity search.  Only queries that are short of documents reach that search, which ranks vectors
-    alone; source, sec_pos and piece_pos name a chunk, and bring the found ones' texts."""
+    alone; source, sec_pos and piece_pos name a chunk, and bring the found ones' texts.  Routing goes by
+    names, written once; texts come for the chosen documents only."""
     none = F.array().cast("array<string>")
-    routed = queries.select("query_id").join(_lists(keyword_route(queries, entries, cfg), docs, "kw"), "query_id", "left")
-    routed = routed.join(_lists(context_route(queries, docs), docs, "ctx"), "query_id", "left")
-    routed = routed.select("query_id", F.coalesce("kw", none).alias("kw"), F.coalesce("ctx", none).alias("ctx"))
-    routed = routed.withColumn("all", F.concat("kw", "ctx")).withColumn("heads", F.transform("all", header))
-    routed = routed.withColumn("combined", F.slice(first_by(F.col("all"), F.col("heads")), 1, cfg.max_docs)).drop("all", "heads")
+    named = named_documents(entries, docs, cfg)
+    names = routed_names(queries, entries, named, cfg)
+    routed = queries.select("query_id").join(names, "query_id", "left").join(_with_texts(names, named), "query_id", "left")
+    routed = routed.select("query_id", F.coalesce("combined", none).alias("combined"), F.coalesce("n_kw", F.lit(0)).alias("n_kw"), F.coalesce("n_ctx", F.lit(0)).alias("n_ctx"))
     if chunks is None:
         found = routed.withColumn("parts", none)
     else:
-        short = routed.where(F.size("combined") < cfg.max_docs).select("query_id")
-        asked = queries.select("query_id", "vector").join(short, "query_id", "left_semi")
+        full = names.where(F.size("chosen") >= cfg.max_docs).select("query_id")
+        asked = queries.select("query_id", "vector").join(full, "query_id", "left_anti")
         name = ["source", "sec_pos", "piece_pos"]
         top = cosine_topk(chunks.select(*name, "embedding"), asked, name, cfg, most=queries.count()).join(chunks.select(*name, "text"), name)
         pieces = F.transform(F.array_sort(F.collect_list(F.struct("rank", titled(F.col("source"), F.col("text")).alias("doc")))), lambda x: x["doc"])
@@ -56,6 +104,6 @@ def hybrid_context(queries: DataFrame, entries: DataFrame, docs: DataFrame, chun
     left = cfg.max_docs - F.size("combined")
     out = found.withColumn("docs", F.concat("combined", F.slice("parts", 1, left))).withColumn("heads", F.transform("docs", header))
     methods = F.array_compact(F.array(
-        F.when(F.size("kw") > 0, "keyword"), F.when(F.size("ctx") > 0, "context"), F.when(F.size("parts") > 0, "embedding"),
+        F.when(F.col("n_kw") > 0, "keyword"), F.when(F.col("n_ctx") > 0, "context"), F.when(F.size("parts") > 0, "embedding"),
     ))
     return out.select("query_id", first_by(F.col("docs"), F.col("heads")).alias("docs"), methods.alias("methods"))

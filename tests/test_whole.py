@@ -64,8 +64,8 @@ def test_every_user_turn_is_asked_whole(spark, made):
     assert said == {c * 1000 + t: x for c, t, role, x in TURNS if role == "user"}
     for name in ("hybrid_context", "hybrid_clean", "domain_section"):
         assert {r.query_id for r in registry.QUERIES[name](spark, made).collect()} == ids
-    # conversations 34 and 69 have forms 4 ("nothing") and 3
-    assert {r.query_id: r.domain for r in registry.QUERIES["domain_extract"](spark, made).collect()} == {34_001: "late-1", 34_003: None, 69_000: "y"}
+    # of the eight forms conversations 34 and 69 have number 2 ("pay_ment 도메인에") and 5 ("stock domain")
+    assert {r.query_id: r.domain for r in registry.QUERIES["domain_extract"](spark, made).collect()} == {34_001: "late-1", 34_003: "pay_ment", 69_000: "stock"}
     assert registry.QUERIES["context_route"](spark, made).count() == 0
 
 
@@ -84,3 +84,17 @@ def test_nearest_of_all_stated_questions(spark, made):
         best = sorted(range(80), key=lambda i: -sum(a * b for a, b in zip(VECTORS[i][1], mine, strict=True)) / (norm(VECTORS[i][1]) * norm(mine) + 1e-10))
         assert [got[q, k + 1] for k in range(5)] == best[:5]
     assert len(got) == 10
+
+
+def test_texts_dealt_in_salts_are_the_same(spark, monkeypatch):
+    """Documents named twice, without text, and asked for by every question; broadcast or not."""
+    from tessera.operators import hybrid
+
+    docs = spark.createDataFrame([("a", "x"), ("a", "b"), ("n", None), ("a\nb", "first line as a\nc"), ("a\nc", "lost"), ("r", "z")], "rel string, content string")
+    entries = spark.createDataFrame([(0, ["k"], ["n", "a", "none", "a\nb"]), (1, ["q"], ["a\nc", "r", "a"])], "entry_id int, keywords array<string>, files array<string>")
+    queries = spark.createDataFrame([(i, "K" if i % 3 else "kq", None, None) for i in range(30)] + [(30, "no", None, None)], "query_id int, query string, file_path string, file_content string")
+    want = {i: (["## [a]\n\nb", "## [a\nb]\n\nfirst line as a\nc"] + ([] if i % 3 else ["## [r]\n\nz"]), ["keyword"]) for i in range(30)} | {30: ([], [])}
+    for most in (hybrid.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(hybrid, "BROADCAST_BYTES", most)
+        got = hybrid.hybrid_context(queries, entries, docs, None).collect()
+        assert {r.query_id: (r.docs, r.methods) for r in got} == want and len(got) == 31
