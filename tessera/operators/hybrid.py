@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from ..config import RetrievalConfig
 from ..functions.text import first_by, header, small, split_literal, titled, trimmed
 from ..streaming.run import shared
+from .nearest import pruned_topk
 from .routing import RULE_TARGETS, context_targets, keyword_route
-from .similarity import cosine_topk
-
 
 #: Bytes of routed documents' texts up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
@@ -92,7 +91,7 @@ def hybrid_context(queries: DataFrame, entries: DataFrame, docs: DataFrame, chun
         full = names.where(F.size("chosen") >= cfg.max_docs).select("query_id")
         asked = queries.select("query_id", "vector").join(full, "query_id", "left_anti")
         name = ["source", "sec_pos", "piece_pos"]
-        top = cosine_topk(chunks.select(*name, "embedding"), asked, name, cfg, most=queries.count()).join(chunks.select(*name, "text"), name)
+        top = pruned_topk(chunks.select(*name, "embedding"), asked, name, cfg).join(chunks.select(*name, "text"), name)
         pieces = F.transform(F.array_sort(F.collect_list(F.struct("rank", titled(F.col("source"), F.col("text")).alias("doc")))), lambda x: x["doc"])
         top = top.groupBy("query_id").agg(pieces.alias("pieces"))
         if mode == "compat":
