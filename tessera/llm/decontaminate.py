@@ -1,8 +1,10 @@
 """Benchmark decontamination by template canonicalisation (operator 6), with DataFrame functions only.
 
-Numbers, units after them and names (capitalised words inside a sentence) become typed placeholders;
-everything else is lower-cased and freed of punctuation.  Windows of five such tokens are hash-joined
-with those of the benchmark.  Hits are gathered per text, item and alignment; what stood in the slots
+Numbers (also number words and the digits that a word such as ``3x`` begins with), units after them and
+names (capitalised words inside a sentence) become typed placeholders; everything else is lower-cased
+and freed of punctuation.  A capitalised word that begins a sentence may be a name or not, so windows
+with such a word stand twice, once with the word itself and once with a name in its place; an item's
+window is found by either.  Windows of five such tokens are hash-joined with those of the benchmark.  Hits are gathered per text, item and alignment; what stood in the slots
 must map item values to document values one to one (up to ``SLIPS``), so that a question asked again
 with other names and numbers is caught while a chance likeness of patterns is not.  A text is
 contaminated by an item when at least half of the item's windows are found in it.
@@ -44,6 +46,9 @@ UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|ml|l|s|ms|min|h|hours?|minutes?|seconds?|d
 SEPARATORS = r"[^\p{L}\p{N}]+"
 NAME = r"\p{Lu}(?<=[\p{L}\p{N},;]\s.)\p{Ll}+(?![\p{L}\p{N}])"
 NUMBER = rf"(?<![\p{{L}}\p{{N}}])\p{{N}}+(?:{UNITS})?(?![\p{{L}}\p{{N}}])"
+MIXED = r"(?<![\p{L}\p{N}])\p{N}+(?=\p{L})"
+NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+CAPITALISED = r"^\p{Lu}\p{Ll}+$"
 UNIT = rf"(?<={MARK}num\s?)\b(?:{UNITS})(?![\p{{L}}\p{{N}}])"
 
 
@@ -52,35 +57,52 @@ def _tokens(c: Column) -> Column:
 
 
 def templates(df: DataFrame, ident: str, text: str, literal: bool = False) -> DataFrame:
-    """``ident``, ``hashes`` of the template's tokens and ``slots`` (null where a token is literal;
-    the whole array is null if the text has no slots).  ``literal`` leaves the words as they are."""
+    """``ident``, ``hashes`` of the template's tokens, ``slots`` (null where a token is literal; the whole
+    array is null if the text has no slots) and ``openers``, the capitalised words that are literal in
+    ``hashes`` but may be names (null elsewhere).  ``literal`` leaves the words as they are."""
     given = df.select(F.col(ident).alias("ident"), F.translate(text_or_empty(text), MARK, " ").alias("t"))
+    none = F.lit(None).cast("array<string>")
     if literal:
-        return given.select("ident", F.transform(_tokens(F.col("t")), lambda x: F.xxhash64(F.lit("raw"), F.lower(x))).alias("hashes"), F.lit(None).cast("array<string>").alias("slots"))
+        return given.select("ident", F.transform(_tokens(F.col("t")), lambda x: F.xxhash64(F.lit("raw"), F.lower(x))).alias("hashes"), none.alias("slots"), none.alias("openers"))
     named = given.withColumn("m", F.regexp_replace("t", NAME, MARK + "name"))
-    counted = named.withColumn("m", F.when(F.col("m").rlike(r"\p{N}"), F.regexp_replace(F.regexp_replace("m", NUMBER, MARK + "num"), UNIT, MARK + "unit")).otherwise(F.col("m")))
+    numbers = F.regexp_replace(F.regexp_replace(F.regexp_replace("m", NUMBER, MARK + "num"), UNIT, MARK + "unit"), MIXED, MARK + "num")
+    counted = named.withColumn("m", F.when(F.col("m").rlike(r"\p{N}"), numbers).otherwise(F.col("m")))
     parts = counted.select("ident", _tokens(F.col("m")).alias("tokens"), F.when(F.contains("m", F.lit(MARK)), _tokens(F.col("t"))).alias("raw"))
+    parts = parts.withColumn("low", F.transform("tokens", lambda x: F.lower(x)))
+    number = lambda x: x.isin(NUMBER_WORDS)
+    slots = F.transform("low", lambda x, i: F.when(x.startswith(MARK), F.lower(F.get("raw", i))).when(number(x), x))
+    openers = F.transform("tokens", lambda x, i: F.when((x != F.get("low", i)) & x.rlike(CAPITALISED) & ~number(F.get("low", i)), F.get("low", i)))
     return parts.select(
         "ident",
-        F.transform("tokens", lambda x: F.xxhash64(F.lower(x))).alias("hashes"),
-        F.when(F.col("raw").isNotNull(), F.transform("tokens", lambda x, i: F.when(x.startswith(MARK), F.lower(F.get("raw", i))))).alias("slots"),
+        F.transform("low", lambda x: F.xxhash64(F.when(number(x), MARK + "num").otherwise(x))).alias("hashes"),
+        F.when(F.col("raw").isNotNull() | F.exists("low", number), slots).alias("slots"),
+        F.when(F.exists("tokens", lambda x: x.rlike(CAPITALISED)), openers).alias("openers"),
     )
 
 
 def windows(df: DataFrame, ident: str, text: str, literal: bool = False) -> DataFrame:
-    """A row for each window: ``ident``, ``pos``, hash ``h``, ``slots`` of the window (null: none)."""
+    """A row for each window: ``ident``, ``pos``, hash ``h``, ``slots`` of the window (null: none).  A window
+    with a word that may be a name has a second row, in which it is one."""
     t = templates(df, ident, text, literal)
     n = F.size("hashes")
-    at = lambda i, k: F.get("hashes", i + k)
-    whole = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(F.lit("short"), "hashes").alias("h"), F.col("slots").alias("slots")))
-    many = F.transform(
+    window = lambda pos, h, slots: F.struct(pos.alias("pos"), h.alias("h"), slots.alias("slots"))
+    whole = F.array(window(F.lit(0), F.xxhash64(F.lit("short"), "hashes"), F.col("slots")))
+    name = F.xxhash64(F.lit(MARK + "name"))
+    opener = lambda i, k: F.get("openers", i + k)
+    plain = F.transform(
         F.sequence(F.lit(0), n - WINDOW),
-        lambda i: F.struct(
-            i.alias("pos"),
-            F.xxhash64(*[at(i, k) for k in range(WINDOW)]).alias("h"),
-            F.when(F.col("slots").isNotNull(), F.slice("slots", i + 1, WINDOW)).alias("slots"),
+        lambda i: window(i, F.xxhash64(*[F.get("hashes", i + k) for k in range(WINDOW)]), F.when(F.col("slots").isNotNull(), F.slice("slots", i + 1, WINDOW))),
+    )
+    opened = F.filter(F.sequence(F.lit(0), n - WINDOW), lambda i: F.coalesce(*[opener(i, k) for k in range(WINDOW)]).isNotNull())
+    other = F.transform(
+        opened,
+        lambda i: window(
+            i,
+            F.xxhash64(*[F.when(opener(i, k).isNotNull(), name).otherwise(F.get("hashes", i + k)) for k in range(WINDOW)]),
+            F.array(*[F.coalesce(opener(i, k), F.get("slots", i + k)) for k in range(WINDOW)]),
         ),
     )
+    many = F.when(F.col("openers").isNull(), plain).otherwise(F.concat(plain, other))
     listed = F.when(n >= WINDOW, many).when(n > 0, whole)
     # outer: for a plain explode the optimizer would compute the whole array once more, in a filter
     return t.select("ident", F.explode_outer(listed).alias("w")).where("w is not null").select("ident", "w.pos", "w.h", "w.slots")

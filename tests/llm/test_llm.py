@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -371,6 +372,38 @@ def test_decontamination_of_items_asked_again(spark):
     assert got == {i for i, t in made if hit(t)} and 5 < len(got) < 55
 
 
+SHAPES = [
+    "{A} has {n} red apples. {B} takes {m} of them away. How many are left?", "Solve for x: {n}x + {m} = {k}", "{A} has {w} apples and eats {v} of them",
+    "A train leaves the station at {n} km per hour. {A} boards it after {m} hours. How far has it gone by then?",
+    "{A} and {B} share {n} marbles in the ratio {m} to {k}. How many marbles does {A} get?", "If {A} reads {w} pages each evening, how many pages has {A} read after {v} evenings?",
+    "{B} buys {n} pens at {m} cents each. What does {B} pay in all for them?", "Find the area of a garden that is {n} m long and {m} m wide.",
+    "{A} was born in {k}. In which year did {A} turn {n} if the birthday had already passed?", "A tank holds {k} l of water. Every minute {m} l drain out of it. When is the tank half empty?",
+]
+CLEAN = [
+    "{A} wrote {n} letters to {B} last summer. They were never answered.", "Solve your own problems first, said {A}, and then mine, all {n} of them.", "{A} has a red bicycle and {w} old chairs.",
+    "The train to the coast was {n} minutes late. {A} waited with {B}.", "{A} and {B} went to see {n} paintings in the gallery.", "How many people live here? About {k}, says {A}, or {w} more.",
+    "{B} sells pens in {n} colours. What a fine shop!", "The garden of {A} is long and narrow, with {m} trees in it.", "{A} came back in {k}. In spring {B} left for {n} days.", "Every minute counts. {A} had {m} left.",
+]
+
+
+def test_decontamination_of_other_parameters(spark):
+    """Items of ten shapes asked again with other names, numbers and number words, also where a sentence
+    begins: of 500 at least nine in ten are found, and none of 500 texts of like words."""
+    rng = random.Random(5)
+    people, number = "Tom Ann Bob Sue Max Eve Joe Kim Lea Ian".split(), "two three four five six seven eight nine eleven twelve".split()
+
+    def put(shape):
+        (a, b), (w, v), (n, m, k) = rng.sample(people, 2), rng.sample(number, 2), rng.sample(range(2, 2000), 3)
+        return shape.format(A=a, B=b, w=w, v=v, n=n, m=m, k=k)
+
+    bench = spark.createDataFrame([(i, put(t)) for i, t in enumerate(SHAPES)], "item_id long, text string")
+    asked = [(i, f"{prose(20, i)}. {put(SHAPES[i % 10])} {prose(20, i + 7)}") for i in range(500)]
+    clean = [(1000 + i, f"{prose(20, i)}. {put(CLEAN[i % 10])} {prose(20, i + 7)}") for i in range(500)]
+    got = {r.doc_id: r.item_ids for r in decontaminate.report(spark.createDataFrame(asked + clean, "doc_id long, text string"), bench).where("contaminated").collect()}
+    assert sum(got.get(i) == str(i % 10) for i, _ in asked) >= 450
+    assert not [i for i in got if i >= 1000]
+
+
 def test_decontamination_finds_all_whole_items(spark, docs):
     plain = lambda t: " ".join(re.findall(r"\w+", t.lower()))
     items = {r.item_id: plain(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
