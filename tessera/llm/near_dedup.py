@@ -14,9 +14,12 @@ looked at again:
 2. In every band each document is held against one leader, the document with the largest shared part;
    links are confirmed on the full sets, and connected components are taken.
 3. What is left are documents in bands whose components differ.  Linked sets share one of their few
-   rarest shingles (of n shingles one of the n - ceil(0.8 n) + 1 rarest, by one order for all), and
+   rarest shingles (of n shingles one of the n - ceil(0.8 n) + 1 rarest, by one order for all, and in
+   the smaller set even one of the n - ceil(8/9 n) + 1 rarest, as it must share 8/9 of its own), and
    the larger has at most 1.25 times the shingles of the smaller.  So they are joined by rare shingle
    and size, not by band: a passage that very many unlike documents share is rare in none of them.
+   Letters of one form, each with some words of its own, have only those among the rarest of the
+   smaller, and so aren't paired by the form.
    Within such a group only documents outside its most frequent component are held against the
    others.  Each pair is confirmed too, unless the bound or the sets' parities rule it out.  Parity bit
    j of a set tells whether an odd number of its shingles fall on j, so the bits in which two sets
@@ -223,10 +226,11 @@ def alike(p1: str, n1: str, p2: str, n2: str, percent: int):
     return sum(bits[1:], bits[0]) * (100 + percent) <= (F.col(n1) + F.col(n2)) * (100 - percent)
 
 
-def residual(docs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Pairs (``a``, ``b``) of ``docs`` (id, comp, u, n, p) of different components that may be linked.
+def meetings(docs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``docs`` (id, comp, u, n, p; the columns with ``_a`` and ``_b``) that meet in a rare shingle.
 
-    Joined by rare shingle and size class; see the module's text for why that is exact."""
+    Joined by rare shingle, size class and which of the two is smaller; see the module's text for why
+    no link is lost."""
     flat = held.join(docs.select("id"), "id", "left_semi").select("id", F.explode("s").alias("x"))
     counts = cut(flat.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-counts")
     total = docs.agg(F.sum("n")).head()[0] or 0
@@ -234,9 +238,10 @@ def residual(docs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     shared = salted_join(flat, counts, ["x"], ["id"], hot=hot)
     ranked = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("r")).join(docs.select("id", "n"), "id")
     # a document's rarest shingles are those that no other has, which lead nowhere; then come these
-    left = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1 - (F.col("n") - F.size("r"))
-    rarest = F.slice("r", F.lit(1), F.greatest(left, F.lit(0)).cast("int"))
-    keys = ranked.select("id", F.explode(F.transform(rarest, lambda r: r["x"])).alias("x"))
+    lone = F.col("n") - F.size("r")
+    first = lambda part, whole: F.greatest(F.col("n") - F.ceil(F.col("n") * F.lit(part) / whole) + 1 - lone, F.lit(0)).cast("int")
+    ranked = ranked.select("id", F.slice("r", F.lit(1), first(percent, 100)).alias("r"), first(2 * percent, 100 + percent).alias("short"))
+    keys = ranked.select("id", "short", F.posexplode("r").alias("at", "r")).select("id", F.col("r.x").alias("x"), (F.col("at") < F.col("short")).alias("short"))
     step = F.lit(math.log(100 / percent) * (1 + 1e-9))  # rounding must not move sets two classes apart
     keyed = keys.join(docs, "id").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
     keyed = cut(keyed, "near-keyed")
@@ -244,9 +249,21 @@ def residual(docs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     most = keyed.groupBy("x", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("x").agg(F.max_by("comp", "c").alias("most"), F.count(F.lit(1)).alias("comps"))
     keyed = cut(salted_join(keyed, most.where("comps > 1").select("x", "most"), ["x"], ["id"]), "near-mixed")
     columns = ("id", "comp", "u", "n", "p")
-    one = keyed.where("comp <> most").select("x", F.explode(F.array(*[F.col("size") + k for k in (-1, 0, 1)])).alias("size"), "most", *[F.col(c).alias(f"{c}_a") for c in columns])
-    other = keyed.select("x", "size", *[F.col(c).alias(f"{c}_b") for c in columns])
-    pairs = salted_join(other, one, ["x", "size"], ["id_b"])
+    # where each of the two may stand: as the smaller by its rarest shingles only, as the larger by all its keys
+    small = lambda *sizes: F.array(*[F.struct(F.lit(True).alias("a_small"), x.alias("size")) for x in sizes])
+    large = lambda *sizes: F.array(*[F.struct(F.lit(False).alias("a_small"), x.alias("size")) for x in sizes])
+    size, none = F.col("size"), F.array().cast("array<struct<a_small:boolean,size:int>>")
+    places = F.concat(F.when(F.col("short"), small(size, size + 1)).otherwise(none), large(size, size - 1))
+    one = keyed.where("comp <> most").withColumn("at", F.explode(places)).select("x", "at.a_small", "at.size", "most", *[F.col(c).alias(f"{c}_a") for c in columns])
+    places = F.concat(small(size), F.when(F.col("short"), large(size)).otherwise(none))
+    other = keyed.withColumn("at", F.explode(places)).select("x", "at.a_small", "at.size", *[F.col(c).alias(f"{c}_b") for c in columns])
+    pairs = salted_join(other, one, ["x", "a_small", "size"], ["id_b"])
+    return pairs.where(F.col("a_small") == (F.struct("n_a", "id_a") < F.struct("n_b", "id_b")))
+
+
+def residual(docs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of ``docs`` (id, comp, u, n, p) of different components that may be linked."""
+    pairs = meetings(docs, held, percent)
     once = (F.col("comp_b") == F.col("most")) | (F.col("id_b") < F.col("id_a"))
     pairs = pairs.where((F.col("comp_a") != F.col("comp_b")) & once & could("u_a", "n_a", "u_b", "n_b", percent) & alike("p_a", "n_a", "p_b", "n_b", percent))
     return pairs.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()

@@ -602,6 +602,33 @@ def test_near_dedup_of_one_band(spark):
     assert {(r.a, r.b) for r in found.collect()} == {(a, b) for a in s for b in s if a > b and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])}
 
 
+def loose_sets(spark, given):
+    """Sets as documents of a component each."""
+    held = near_dedup.with_parity(spark.createDataFrame([(i, sorted(s)) for i, s in given.items()], "id long, s array<long>"))
+    return held.select("id", F.col("id").alias("comp"), F.size("s").alias("u"), F.size("s").alias("n"), "p"), held
+
+
+def test_near_dedup_of_one_form(spark):
+    """Sets that share eight of ten shingles with all others are never linked, and hardly meet."""
+    rng = random.Random(2)
+    docs, held = loose_sets(spark, {i: {*range(8), 100 + rng.randrange(300), 1000 + rng.randrange(300)} for i in range(600)})
+    assert near_dedup.meetings(docs, held, 80).count() < 20 * 600
+
+
+def test_near_dedup_residual_of_all_sizes(spark):
+    """Against all pairs: sets of one to sixty shingles that differ about as much as they may."""
+    rng, given = random.Random(4), {}
+    for i in range(260):
+        base = set(rng.sample(range(i // 20 * 40, i // 20 * 40 + 75), rng.choice([1, 2, 4, 5, 9, 10, 18, 30, 45, 60])))
+        given[2 * i] = base
+        drop, more = rng.randrange(len(base) // 5 + 1), rng.randrange(len(base) // 5 + 1)
+        given[2 * i + 1] = set(rng.sample(sorted(base), len(base) - drop)) | {5000 + rng.randrange(40) for _ in range(more)}
+    docs, held = loose_sets(spark, given)
+    found = near_dedup.confirmed(near_dedup.residual(docs, held, 80), held, 80).where("link")
+    want = {(a, b) for a in given for b in given if a > b and 100 * len(given[a] & given[b]) >= 80 * len(given[a] | given[b])}
+    assert len(want) > 200 and {(r.a, r.b) for r in found.collect()} == want
+
+
 def test_langid(spark, odd, empty, docs):
     rows = queries.QUERIES["op9_langid"](spark, SF).toPandas().merge(docs)
     held = rows[rows.held_out]
