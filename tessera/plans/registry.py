@@ -257,11 +257,11 @@ def template_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_sse_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay(inputs.sse_chunks(spark, sf_dir), sse_stream.decode_stream)
+    return replay(inputs.sse_chunks(spark, sf_dir), lambda chunks: sse_stream.decode_stream(chunks, None))
 
 
 def stream_event_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay(inputs.ui_events(spark, sf_dir), event_stream.reduce_stream)
+    return replay(inputs.ui_events(spark, sf_dir), lambda events: event_stream.reduce_stream(events, None))
 
 
 def _later(old: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def test_sse(spark, size):
     df = spark.createDataFrame(chunks[::-1], "resp_id long, chunk_no long, bytes binary")
     assert sse.fold_tokens(sse.decode_sse(df)).head().response == "Hél이"
     if size != 1:
-        streamed = replay(df.repartition(3), sse_stream.decode_stream).orderBy("seq").collect()
+        streamed = replay(df.repartition(3), lambda c: sse_stream.decode_stream(c, None)).orderBy("seq").collect()
         assert [r.token for r in streamed] == ["Hé", "l이"]
 
 
@@ -109,7 +109,7 @@ def test_events(spark):
         (0, "assistant", "ab", False, False), (1, "system", "p", False, False), (5, "assistant", "오류: e", True, False),
         (7, "assistant", "오류: f", True, False), (9, "assistant", "d", False, True),
     ]
-    streamed = sorted((r.start_seq, r.role, r.content, r.is_error) for r in replay(df, event_stream.reduce_stream).collect())
+    streamed = sorted((r.start_seq, r.role, r.content, r.is_error) for r in replay(df, lambda e: event_stream.reduce_stream(e, None)).collect())
     assert streamed == [x[:4] for x in got if not x[4]]
     assert events.last_status(df).head().status == "s"
     tokens = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "resp_id int, seq int, token string")

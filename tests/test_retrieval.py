@@ -192,4 +192,4 @@ def test_odd_frames(spark):
     df = spark.createDataFrame(rows, "resp_id long, chunk_no long, bytes binary")
     want = {i: t for i, (_, t) in enumerate(FRAMES) if t is not None}
     assert {r.resp_id: r.token for r in sse.decode_sse(df).collect()} == want
-    assert {r.resp_id: r.token for r in replay(df, sse_stream.decode_stream).collect()} == want
+    assert {r.resp_id: r.token for r in replay(df, lambda c: sse_stream.decode_stream(c, None)).collect()} == want
