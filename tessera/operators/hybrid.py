@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import RetrievalConfig
 from ..functions.text import first_by, header, small, split_literal, titled, trimmed
-from ..streaming.run import shared
-from .nearest import pruned_topk
+from .nearest import pruned_topk, written
 from .routing import RULE_TARGETS, context_targets, keyword_route
 
 #: Bytes of routed documents' texts up to which they are broadcast.
@@ -17,20 +16,13 @@ BROADCAST_BYTES = 64 << 20
 SALTS = 64
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: computed once, however often it is used."""
-    path = f"{shared(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def named_documents(entries: DataFrame, docs: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """``rel, header, content`` of the documents that keyword entries or rules can name, one of each name
     (of several the first text), read once."""
     rules = docs.sparkSession.createDataFrame([(t,) for t in RULE_TARGETS], "rel string")
     names = entries.select(F.explode("files").alias("rel")).unionByName(rules).distinct()
     found = docs.select("rel", "content").join(small(names, cfg.broadcast_rows), "rel", "left_semi").groupBy("rel").agg(F.min("content").alias("content"))
-    return _kept(found.select("rel", header(titled(F.col("rel"), F.lit(""))).alias("header"), "content"), "named")
+    return written(found.select("rel", header(titled(F.col("rel"), F.lit(""))).alias("header"), "content"), "named")
 
 
 def routed_names(queries: DataFrame, entries: DataFrame, named: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
@@ -46,7 +38,7 @@ def routed_names(queries: DataFrame, entries: DataFrame, named: DataFrame, cfg:
     held = F.filter("all", lambda x: x["has"])
     lists = lists.withColumn("held", held).withColumn("heads", F.transform("held", lambda x: x["header"]))
     chosen = F.transform(F.slice(first_by(F.col("held"), F.col("heads")), 1, cfg.max_docs), lambda x: x["rel"])
-    return _kept(lists.select("query_id", chosen.alias("chosen"), "n_kw", "n_ctx"), "routed")
+    return written(lists.select("query_id", chosen.alias("chosen"), "n_kw", "n_ctx"), "routed")
 
 
 def _with_texts(routed: DataFrame, named: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import RetrievalConfig
 from tessera.operators import actions, embedding, nearest, routing, similarity, sse
+from tessera.plans import registry
 from tessera.sources import files, markdown, sink
 from tessera.streaming import sse as sse_stream
 from tessera.streaming.run import replay
@@ -193,3 +194,26 @@ def test_odd_frames(spark):
     want = {i: t for i, (_, t) in enumerate(FRAMES) if t is not None}
     assert {r.resp_id: r.token for r in sse.decode_sse(df).collect()} == want
     assert {r.resp_id: r.token for r in replay(df, lambda c: sse_stream.decode_stream(c, None)).collect()} == want
+
+
+@pytest.mark.parametrize("size", [1, 7, 400])
+def test_cells_score_as_all_pairs(size):
+    rng = np.random.default_rng(3)
+    held, asked = rng.normal(size=(400, 8)), rng.normal(size=(40, 8))
+    held[5], held[6:9], held[9], held[10], held[11] = 0, held[20], held[20] * 3, held[21] * 1e-7, held[22] * 1e-70
+    asked[0], asked[1], asked[2], asked[3] = 0, held[20], held[21] * 1e-6, held[22] * 1e-80
+    want = []
+    for q, x in enumerate(asked):
+        score = [sum(a * b for a, b in zip(x, y, strict=True)) / (np.sqrt(sum(a * a for a in x)) * np.sqrt(sum(b * b for b in y)) + 1e-10) for y in held]
+        want.append(sorted(range(400), key=lambda i: (-score[i], i))[:5])
+        for least in (np.nan, score[want[q][4]]):
+            got = []
+            for a in range(0, 400, size):
+                _, to, found = nearest.Cell(held[a : a + size], 5, 1e-10).best(asked[q : q + 1], np.array([least]))
+                got += list(zip(-found, to + a, strict=True))
+            assert [i for _, i in sorted(got)[:5]] == want[q]
+
+
+def test_registered_searches_send_no_question_to_all(spark):
+    plan = registry.QUERIES["cosine_topk_batch"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
