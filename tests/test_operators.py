@@ -190,3 +190,25 @@ def test_rebuild_leaves_what_stayed(spark):
     docs = spark.createDataFrame([("stays", "not read"), ("new", "# a\n# b"), ("more", "y")], "rel string, content string")
     got = sorted(tuple(r) for r in chunking.rebuild_index(index, changes, docs).collect())
     assert got == [("more", 0, 0, "y"), ("new", 0, 0, "# a"), ("new", 1, 0, "# b"), ("stays", 0, 0, "as it was")]
+
+
+def test_trimming_leaves_what_is_no_white_space(spark):
+    rows = [(" 　a b \x85", "a b \x85"), ("﻿\n", ""), ("x\t \n", "x"), ("é", "é")]
+    from tessera.functions.text import said, trimmed, trimmed_end
+
+    c = F.col("t")
+    for t, want in rows:
+        got = spark.createDataFrame([(t,)], "t string").select(trimmed(c).alias("both"), trimmed_end(F.concat(F.lit(" "), c)).alias("end"), said(c).alias("said")).head()
+        assert (got.both, got.said) == (want, want != "") and got.end.strip(" 　") == want
+
+
+def test_answers_of_one_file_are_dealt_over_tasks(spark):
+    answers = spark.range(100).coalesce(1).select(F.col("id").alias("resp_id"), F.lit("<file-action>{}</file-action>").alias("text"))
+    assert actions.extract_actions(answers).rdd.getNumPartitions() > 4
+
+
+def test_embedders_get_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    texts = spark.range(3000).coalesce(1).select(F.lit("x" * 100).alias("text"))
+    out = similarity.embed_chunks(texts, lambda t: [[float(len(t))]] * len(t)).agg(F.max(F.get("embedding", F.lit(0))).alias("n")).head()
+    assert out.n <= 500
