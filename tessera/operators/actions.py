@@ -35,8 +35,10 @@ def extract_actions(responses: DataFrame, tag: str = TAG) -> DataFrame:
     """Rows for each block of (resp_id, text): the action's fields, or ``error``.
 
     The metadata is the first brace to the first closing one without a back tick between; the first
-    fenced code, if not empty, replaces ``generatedCode``."""
-    blocks = responses.select("resp_id", F.posexplode(F.regexp_extract_all("text", F.lit(_block(tag)), F.lit(1))).alias("action_no", "block"))
+    fenced code, if not empty, replaces ``generatedCode``.  Answers are dealt over all tasks first: a small
+    file of very many answers would be parsed by one."""
+    tasks = 2 * responses.sparkSession.sparkContext.defaultParallelism
+    blocks = responses.select("resp_id", "text").repartition(tasks, "resp_id").select("resp_id", F.posexplode(F.regexp_extract_all("text", F.lit(_block(tag)), F.lit(1))).alias("action_no", "block"))
     meta = F.regexp_extract("block", r"(\{[^`]*?\})", 1)
     code = F.regexp_extract("block", r"```(?:[a-z]*)\n([\s\S]*?)```", 1)
     parsed = blocks.select("resp_id", "action_no", meta.alias("meta"), code.alias("code"), F.from_json(meta, FIELDS + ", _bad string", {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}).alias("a"))
