@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RetrievalConfig
+from ..llm.common import small_batches
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,7 +28,9 @@ def cosine(a: Column, b: Column, norm_a: Column, norm_b: Column, epsilon: float
 
 
 def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], text: str = "text") -> DataFrame:
-    """``chunks`` with ``embedding``; ``embed`` is called with batches of texts inside the workers."""
+    """``chunks`` with ``embedding``; ``embed`` is called with batches of texts inside the workers, which hold
+    one of bounded bytes at a time."""
+    small_batches(chunks.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
