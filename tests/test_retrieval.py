@@ -81,6 +81,22 @@ def test_many_keywords(spark):
     assert by_grams == by_loop
 
 
+def test_keyword_counts(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    rows = [(i, [word(rng.randrange(1, 5)) for _ in range(rng.randrange(0, 5))]) for i in range(400)] + [(400, ["a", "a"]), (401, [])]
+    texts = [(i, word(rng.randrange(0, 30))) for i in range(60)] + [(60, None), (61, "")]
+    want = {}
+    for q, t in texts:
+        found = [e for e, words in rows if t is not None and any(w in t for w in words)]
+        if found:
+            want[q] = (len(found), min(found), sum(found))
+    got = routing.keyword_counts(spark.createDataFrame(texts, "query_id int, query string"), spark.createDataFrame(rows, "entry_id int, keywords array<string>"))
+    assert {r.query_id: tuple(r)[1:] for r in got.collect()} == want and len(want) > 40
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_many_keywords_need_no_nested_loop(spark):
     entries = spark.range(100_000).select(F.col("id").alias("entry_id"), F.array(F.concat(F.lit("key"), F.hex("id"), F.lit("word"))).alias("keywords"), F.array(F.lit("f")).alias("files"))
     queries = spark.createDataFrame([(1, "a KEY1869Fword b"), (2, "key1869Gword")], "query_id int, query string")
