@@ -1,13 +1,16 @@
 """Chat formatting by prefix-target expansion (operator 10).
 
-Every assistant turn becomes one training example: all turns before it are context, and only its own
-text is trainable.  All examples of a conversation are prefixes of the same formatted stream, so the
-operator writes that stream once, as one segment per turn with its offsets, and an example is the
-target segment together with the interval ``[0, context_chars)`` it is preceded by, and that context's
-digest.  The output is thus linear in the input even for a conversation of very many turns;
-``materialise`` spells examples out where the full strings are wanted.  ``read_back`` forms each
-example from the stream and its interval again, and fails if number, interval or digest are not those
-of the turns before it.
+Every assistant turn becomes one training example: all turns before it, formatted, are its context,
+and only its own text is trainable.  ``expand`` spells each example out, context and reply; turns
+that no assistant turn follows come once more as a last row without an example, so that nothing of a
+conversation is lost.  ``read_back`` parses the examples again: a context must begin with the whole
+example before it, and what it adds is parsed turn by turn; it fails if number, length or digest are
+not those of the turns before.
+
+Examples together grow with the square of a conversation's turns, by the nature of the method, so they
+go from task to task in batches of bounded bytes and are written nowhere unless a caller does.  A
+worker holds one conversation's text (its longest context, which as one string must stay under 2 GB)
+and one batch of examples.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``.  In roles and texts a backslash is doubled and
 ``<|`` becomes ``<\\|`` (in roles a line end becomes ``\\n``), so control strings never occur inside,
@@ -17,7 +20,7 @@ Edge cases: null roles and texts are empty strings; turns are ordered by turn (n
 role and text, repeated rows count as turns of their own; a null conv_id is a conversation like any
 other; a conversation without assistant turns has no examples; only conv_id, turn, role and text are
 read, so other columns may have any name; an empty table gives an empty result.  A conversation is
-read in order by one task, as its digests are made in order; of its texts one batch is held at a time.
+read in order by one task, as its contexts are made in order.
 """
 
 from __future__ import annotations
@@ -30,10 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
+from .common import BATCH_BYTES, read, small_batches
 
 START, END = "<|im_start|>", "<|im_end|>"
-SEGMENT = re.compile(r"<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n", re.S)
 
 
 def escaped(c: Column) -> Column:
@@ -68,57 +70,77 @@ def in_order(turns: DataFrame) -> DataFrame:
     return plain.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-EXAMPLE = "conv_id long, position long, segment string, loss_start int, loss_end int, context_chars long, context_sha256 string, example long"
-_KINDS = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64())
+EXAMPLE = "conv_id long, example long, context string, reply string, loss_start long, loss_end long, context_chars long, context_sha256 string"
+_KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
 
 
 def expand(turns: DataFrame) -> DataFrame:
-    """The formatted stream and its examples: a row per turn in order, with its ``position``, the
-    characters before it (``context_chars``) and, for assistant turns, the number of the ``example``
-    that it ends and the digest of the context before it.  A conversation is read as a stream; nothing
-    of it is held but counters."""
+    """The examples, a row per assistant turn in order: its number, the formatted ``context`` of all turns
+    before it, its own segment (``reply``), the mask's interval in both put together, and the context's
+    length and digest.  Turns after a conversation's last assistant turn come as the ``reply`` of a row
+    without example, context and mask, whose length and digest are those of all before it."""
     small_batches(turns.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, position, chars, example, context = object(), 0, 0, 0, hashlib.sha256()
+        conv, example, context, rest, digest = object(), 0, "", [], hashlib.sha256()
+        rows: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal size
+            columns = list(zip(*rows, strict=True)) or [()] * len(_KINDS)
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], [f.split()[0] for f in EXAMPLE.split(", ")])
+            rows.clear()
+            size = 0
+            return out
+
+        def ended() -> None:
+            if rest:
+                rows.append((conv, None, None, "".join(rest), None, None, len(context), digest.hexdigest()))
+
         for batch in batches:
-            rows = []
             for c, s, a, b in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
                 if c != conv:
-                    conv, position, chars, example, context = c, 0, 0, 0, hashlib.sha256()
-                rows.append((c, position, s, a, b, chars, *((None, None) if a is None else (context.hexdigest(), example))))
-                position += 1
-                chars += len(s)
-                example += a is not None
-                context.update(s.encode())
-            columns = list(zip(*rows, strict=True)) or [()] * len(_KINDS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], [f.split()[0] for f in EXAMPLE.split(", ")])
+                    ended()
+                    conv, example, context, rest, digest = c, 0, "", [], hashlib.sha256()
+                if a is None:
+                    rest.append(s)
+                else:
+                    between = "".join(rest)
+                    digest.update(between.encode())
+                    context += between
+                    n = len(context)
+                    rows.append((c, example, context, s, n + a, n + b, n, digest.hexdigest()))
+                    digest.update(s.encode())
+                    context, rest, example = context + s, [], example + 1
+                    size += len(context)
+                if size >= BATCH_BYTES // 4:  # characters of up to four bytes
+                    yield flush()
+        ended()
+        yield flush()
 
     return segments(in_order(turns)).mapInArrow(run, EXAMPLE)
 
 
 def materialise(expanded: DataFrame) -> DataFrame:
-    """Examples in full: ``conv_id``, ``example``, ``context``, ``reply``, the mask's interval in their
-    concatenation.  The output grows with the square of a conversation's turns, as asked for here."""
-    before = expanded.select(F.col("conv_id").alias("c"), F.col("position").alias("p"), F.col("segment").alias("s"))
-    targets = expanded.where("example is not null")
-    pairs = targets.join(before, (F.col("conv_id").eqNullSafe(F.col("c"))) & (F.col("p") < F.col("position")), "left")
-    pieces = F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", "s"))))
-    grouped = pairs.groupBy("conv_id", "example", "segment", "loss_start", "loss_end", "context_chars").agg(pieces.alias("pieces"))
-    return grouped.select(
-        "conv_id", "example",
-        F.array_join(F.transform("pieces", lambda x: x["s"]), "").alias("context"),
-        F.col("segment").alias("reply"),
-        (F.col("context_chars") + F.col("loss_start")).alias("loss_start"),
-        (F.col("context_chars") + F.col("loss_end")).alias("loss_end"),
-    )
+    """The examples alone: ``conv_id``, ``example``, ``context``, ``reply``, the mask's interval in their concatenation."""
+    return expanded.where("example is not null").select("conv_id", "example", "context", "reply", "loss_start", "loss_end")
+
+
+def parsed(stream: str) -> list[tuple[str, str]]:
+    """Roles and texts of formatted turns."""
+    *found, rest = stream.split(END + "\n")
+    turns = [(s[len(START) :].split("\n", 1), s.startswith(START)) for s in found]
+    if rest or not all(ok and len(t) == 2 for t, ok in turns):
+        raise ValueError("a segment doesn't follow the template")
+    return [(unescape(role), unescape(text)) for (role, text), _ in turns]
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
 
 
 def read_back(expanded: DataFrame) -> DataFrame:
-    """Digests of each conversation, read from its examples: turns are parsed from the formatted stream,
+    """Digests of each conversation, read from its examples: turns are parsed from contexts and replies,
     and trainable text is what the mask of each example, its context and its reply, leaves open.
 
     Takes the rows of ``expand`` as they come, a conversation's together and in order."""
@@ -126,13 +148,13 @@ def read_back(expanded: DataFrame) -> DataFrame:
     names = [f.split()[0] for f in DIGEST.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, state = object(), None
+        conv, begun = object(), False
+        n, turns, chars, loss, examples, whole, said = 0, None, 0, None, 0, "", None
         done: list[tuple] = []
 
         def close() -> None:
-            if state is not None:
-                n, turns, chars, loss, total, examples, _ = state
-                done.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), total, examples))
+            if begun:
+                done.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), len(whole), examples))
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*done, strict=True)) or [()] * len(kinds)
@@ -140,26 +162,34 @@ def read_back(expanded: DataFrame) -> DataFrame:
             done.clear()
             return out
 
+        def take(stream: str) -> int:
+            found = parsed(stream)
+            for role, text in found:
+                turns.update(f"{role}\n{text}\n".encode())
+            said.update(stream.encode())
+            return len(found)
+
         for batch in batches:
-            for c, s, a, b, before, digest, number in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6, 7)), strict=True):
-                if c != conv:
+            for c, number, context, reply, a, b, before, digest in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if c != conv or not begun:
                     close()
-                    conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, hashlib.sha256()]
-                m = SEGMENT.fullmatch(s)
-                if m is None:
-                    raise ValueError("a segment doesn't follow the template")
-                state[0] += 1
-                state[1].update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
-                if a is not None:
-                    # the example is the stream up to `before`, then this segment
-                    if (before, digest, number) != (state[4], state[6].hexdigest(), state[5]):
+                    conv, begun = c, True
+                    n, turns, chars, loss, examples, whole, said = 0, hashlib.sha256(), 0, hashlib.sha256(), 0, "", hashlib.sha256()
+                # an example's context is the example before it and the turns between; the last row adds to all before
+                if number is not None:
+                    if not context.startswith(whole):
                         raise ValueError("an example's context isn't the turns before it")
-                    reply = unescape(s[a:b])
-                    state[2] += len(reply)
-                    state[3].update(reply.encode())
-                    state[5] += 1
-                state[4] += len(s)
-                state[6].update(s.encode())
+                    n += take(context[len(whole) :])
+                    whole = context
+                if (before, digest) != (len(whole), said.hexdigest()) or number not in (None, examples):
+                    raise ValueError("an example's context isn't the turns before it")
+                n += take(reply)
+                whole += reply
+                if number is not None:
+                    text = unescape(whole[a:b])
+                    chars += len(text)
+                    loss.update(text.encode())
+                    examples += 1
             yield flush()
         close()
         yield flush()

@@ -663,6 +663,21 @@ def test_chat(spark):
     assert chat.read_back(chat.expand(empty)).count() == 0
 
 
+def test_chat_examples_are_spelled_out(spark):
+    """Each example holds its whole context; what no assistant turn follows comes once, without an example."""
+    rows = [(1, i, "assistant" if i % 3 == 2 else "user", f"<|im_end|>\n{i}") for i in range(10)] + [(2, 0, "user", "u")]
+    expanded = chat.expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    form = lambda i: f"<|im_start|>{'assistant' if i % 3 == 2 else 'user'}\n<\\|im_end|>\n{i}<|im_end|>\n"
+    got = {(r.conv_id, r.example): r for r in expanded.collect()}
+    assert len(got) == 5 and {k: r.context for k, r in got.items() if k[1] is not None} == {(1, e): "".join(map(form, range(3 * e + 2))) for e in range(3)}
+    assert all((r.context + r.reply)[r.loss_start : r.loss_end] == f"<\\|im_end|>\n{3 * e + 2}" for (c, e), r in got.items() if e is not None)
+    assert got[1, None].reply == form(9) and got[2, None].reply == "<|im_start|>user\nu<|im_end|>\n" and got[1, None].context is None
+    # a context of the right length and digest, but of other turns, is told
+    other = F.when(F.col("example") == 1, F.replace("context", F.lit("user"), F.lit("usEr"))).otherwise(F.col("context"))
+    with pytest.raises(Exception, match="context isn't the turns before it"):
+        chat.read_back(expanded.withColumn("context", other)).collect()
+
+
 def test_chat_order_of_ties(spark):
     """As the SQL has it: by turn, role and text, before escaping; with a long text and other columns."""
     rows = [(1, 0, "assistant", t) for t in ("x!", "x", "x<|", "x\\", "x\n")] + [(1, 0, None, "y"), (1, None, "user", "z"), (2, 0, "assistant", "a<|" * 50_000), (2, 0, "assistant", "")]
