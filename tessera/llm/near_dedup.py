@@ -54,6 +54,8 @@ SLOTS = BANDS * ROWS
 RING = 1 << 20
 #: Words of 64 parity bits for each candidate's set.
 PARITY = 8
+#: Shingles whose number of documents is told to all tasks, at most.
+OFTEN = 1 << 19
 MEMO_WORDS = 200_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
@@ -226,24 +228,59 @@ def alike(p1: str, n1: str, p2: str, n2: str, percent: int):
     return sum(bits[1:], bits[0]) * (100 + percent) <= (F.col(n1) + F.col(n2)) * (100 - percent)
 
 
+def often(docs: DataFrame, held: DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Shingles of more than one in OFTEN of those of ``docs``, sorted, and how many documents have each;
+    and whether these are all that more than one has.  Fewer than OFTEN by that definition."""
+    total = docs.agg(F.sum("n")).head()[0] or 0
+    flat = held.join(docs.select("id"), "id", "left_semi").select(F.explode("s").alias("x"))
+    counts = flat.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where((F.col("c") > 1) & (F.col("c") * OFTEN > total))
+    found = counts.toArrow()
+    x, c = (found.column(k).to_numpy() for k in ("x", "c"))
+    order = np.argsort(x)
+    return x[order], c[order], total < 2 * OFTEN
+
+
+def rarest(docs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """``docs`` (id, comp, u, n, p) with each of their rarest shingles ``x``, and whether it also leads from
+    the smaller set (``short``).  The order is one for all: by the number of documents, as far as ``often``
+    tells it, then by hash.  Those that no other document has lead nowhere and are left out where they are known."""
+    small_batches(docs.sparkSession)
+    known = docs.sparkSession.sparkContext.broadcast(often(docs, held))
+    columns = ["id", "comp", "u", "n", "p"]
+    rows = docs.select(*columns).join(held.select("id", "s"), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xs, counts, every = known.value
+        for batch in batches:
+            column, at, found, short = batch.column(5), [], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            for i in range(batch.num_rows):
+                s = column[i].values.to_numpy()
+                c = np.ones(len(s), np.int64)
+                if len(xs):
+                    k = np.minimum(np.searchsorted(xs, s), len(xs) - 1)
+                    c = np.where(xs[k] == s, counts[k], 1)
+                order = np.lexsort((s, c))
+                order = order[: len(s) + len(s) * -percent // 100 + 1]
+                less = np.arange(len(order)) < len(s) + len(s) * -2 * percent // (100 + percent) + 1
+                if every:
+                    less, order = less[c[order] > 1], order[c[order] > 1]
+                at += [i] * len(order)
+                found.append(s[order])
+                short.append(less)
+            kept = [x.take(pa.array(at, pa.int64())) for x in batch.columns[:5]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(found)), pa.array(np.concatenate(short))], [*columns, "x", "short"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", x long, short boolean")
+
+
 def meetings(docs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """Pairs of ``docs`` (id, comp, u, n, p; the columns with ``_a`` and ``_b``) that meet in a rare shingle.
 
     Joined by rare shingle, size class and which of the two is smaller; see the module's text for why
     no link is lost."""
-    flat = held.join(docs.select("id"), "id", "left_semi").select("id", F.explode("s").alias("x"))
-    counts = cut(flat.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-counts")
-    total = docs.agg(F.sum("n")).head()[0] or 0
-    hot = cut(counts.where(F.col("c") * HOT_SHARE > total).select("x"), "near-often")  # fewer than HOT_SHARE
-    shared = salted_join(flat, counts, ["x"], ["id"], hot=hot)
-    ranked = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("r")).join(docs.select("id", "n"), "id")
-    # a document's rarest shingles are those that no other has, which lead nowhere; then come these
-    lone = F.col("n") - F.size("r")
-    first = lambda part, whole: F.greatest(F.col("n") - F.ceil(F.col("n") * F.lit(part) / whole) + 1 - lone, F.lit(0)).cast("int")
-    ranked = ranked.select("id", F.slice("r", F.lit(1), first(percent, 100)).alias("r"), first(2 * percent, 100 + percent).alias("short"))
-    keys = ranked.select("id", "short", F.posexplode("r").alias("at", "r")).select("id", F.col("r.x").alias("x"), (F.col("at") < F.col("short")).alias("short"))
     step = F.lit(math.log(100 / percent) * (1 + 1e-9))  # rounding must not move sets two classes apart
-    keyed = keys.join(docs, "id").withColumn("size", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
+    keyed = rarest(docs, held, percent).withColumn("size", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
     keyed = cut(keyed, "near-keyed")
     # the component that most of a shingle's documents are in
     most = keyed.groupBy("x", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("x").agg(F.max_by("comp", "c").alias("most"), F.count(F.lit(1)).alias("comps"))

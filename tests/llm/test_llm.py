@@ -615,8 +615,20 @@ def test_near_dedup_of_one_form(spark):
     assert near_dedup.meetings(docs, held, 80).count() < 20 * 600
 
 
-def test_near_dedup_residual_of_all_sizes(spark):
-    """Against all pairs: sets of one to sixty shingles that differ about as much as they may."""
+def test_near_dedup_pairs_by_rare_shingles_only(spark):
+    """Only the rarest shingles become rows of a join; the others are counted, and joined with nothing."""
+    docs, held = loose_sets(spark, {i: {*range(80), *range(1000 + i // 2 * 20, 1020 + i // 2 * 20)} for i in range(200)})
+    keys = near_dedup.rarest(docs, held, 80)
+    assert keys.count() <= 21 * 200 and keys.where("x < 1000").groupBy("id").count().where("count > 1").isEmpty()
+    plan = near_dedup.meetings(docs, held, 80)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__hot" not in plan and "explode(s" not in plan
+
+
+@pytest.mark.parametrize("often", [1 << 19, 50])
+def test_near_dedup_residual_of_all_sizes(spark, monkeypatch, often):
+    """Against all pairs: sets of one to sixty shingles that differ about as much as they may; the shingles'
+    counts are known for all or for few of them."""
+    monkeypatch.setattr(near_dedup, "OFTEN", often)
     rng, given = random.Random(4), {}
     for i in range(260):
         base = set(rng.sample(range(i // 20 * 40, i // 20 * 40 + 75), rng.choice([1, 2, 4, 5, 9, 10, 18, 30, 45, 60])))
