@@ -9,6 +9,11 @@ its own keys with ``np.unique`` (in rounds of bounded size), the partial counts
 keys over all tasks, and each task sums the runs of equal keys of its range.  A key of a third of all
 links comes as one row for each partition and round, like any other.  The sorted counts are written.
 
+No token of either tokenizer goes on past a space, so a text is coded as its stretches between single
+spaces, each with the space before it, and a worker remembers what stretches were coded and aligned as.
+Where that could depend on the text around (two spaces in a row, other white space behind a space, the
+second tokenizer's own sign for a space) the text is coded whole.
+
 For the documents' figures the counts go back to the partitions whose keys they are: each partition gets
 the sorted counts of its own keys, keeps them in a file without a name that it maps into memory, and looks
 its documents' links up by ``searchsorted``.  So no task holds the counts of the whole corpus, and the
@@ -47,6 +52,8 @@ LONG = 1 << 18
 HELD = 1 << 21
 #: Links that are looked up at a time.
 AT_ONCE = 1 << 19
+#: Bytes of remembered stretches' keys, names and links; each has some 300 more.  And stretches coded at a time.
+MEMO_BYTES, MEMO_STRETCHES, CODED = 20 << 20, 250_000, 4096
 SPLIT = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
 #: What is said of a text without tokens.
@@ -92,6 +99,39 @@ class Pair:
         self.length_a, self.length_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
         # a name and what follows it (inside a group, then at its end) in eight bytes, moved as one number
         self.names = [np.array([f"{i}{end}" for end in ends for i in range(len(t))], "S8").view(np.uint64) for t, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;"))]
+        self.memo: dict[str, tuple[int, bytes, bytes] | None] = {}
+        self.held = 0
+
+    def learn(self, words: list[str]) -> None:
+        """Remember each of ``words`` as (number of A's tokens, groups' names, links), or as None if texts with
+        it are to be coded whole."""
+        if self.held > MEMO_BYTES or len(self.memo) > MEMO_STRETCHES:
+            self.memo.clear()
+            self.held = 0
+        alone = [w for w in words if w[:1].isprintable() and w and "▁" not in w]
+        self.memo.update(dict.fromkeys(words))
+        for at in range(0, len(alone), CODED):
+            self._learn(alone[at : at + CODED])
+
+    def _learn(self, words: list[str]) -> None:
+        ends = np.cumsum([len(w.encode("utf-8", "replace")) + 1 for w in words])
+        if (coded := next(self.coded([" ".join(words)]))) is not None:
+            a, b = coded
+            cuts_a, cuts_b = (np.searchsorted(e, ends) for e in (np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])))
+            if np.array_equal(np.cumsum(self.length_a[a])[cuts_a], ends) and np.array_equal(np.cumsum(self.length_b[b])[cuts_b], ends):
+                said, last_a, last_b = self.groups(a, b)
+                names = said.tobytes().translate(None, b"\0")
+                links = np.stack([a[last_a], b[last_b]], 1).astype("<u4").tobytes()
+                past_a, past_b = cuts_a + 1, cuts_b + 1
+                written = np.cumsum((said.view(np.uint8).reshape(-1, 8) != 0).sum(axis=1))[past_a + past_b - 1].tolist()
+                linked = (8 * np.cumsum(last_a)[cuts_a]).tolist()
+                for w, n, x, y, u, v in zip(words, np.diff(past_a, prepend=0).tolist(), [0, *written], written, [0, *linked], linked):
+                    self.memo[w] = n, names[x:y], links[u:v]
+                self.held += len(names) + len(links) + int(ends[-1])
+                return
+        if len(words) > 1:  # one of them is not given back: which?
+            self._learn(words[: len(words) // 2])
+            self._learn(words[len(words) // 2 :])
 
     def coded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         """Both tokenizers' ids of each text, or None if one doesn't give the bytes back."""
@@ -111,9 +151,23 @@ class Pair:
         waiting: list[str | None] = []
 
         def done() -> Iterator[tuple[int, int, int, str, bytes]]:
-            found = self.coded([t for t in waiting if t])
-            for t in waiting:
-                yield self.aligned(next(found)) if t else NONE
+            split = [t.split(" ") if t else [] for t in waiting]
+            # learning may forget first, so all that is asked for is learned at once then
+            asked = set(chain.from_iterable(split))
+            if new := asked.difference(self.memo):
+                full = self.held > MEMO_BYTES or len(self.memo) > MEMO_STRETCHES
+                self.learn(list(asked if full else new))
+            for t, words in zip(waiting, split, strict=True):
+                found = list(map(self.memo.__getitem__, words))
+                if not t:
+                    yield NONE
+                elif None in found:
+                    yield self.aligned(next(self.coded([t])))
+                else:
+                    n_a, names, links = zip(*found, strict=True)
+                    said, both, n = b"".join(names), np.frombuffer(b"".join(links), "<u4").reshape(-1, 2), sum(n_a)
+                    tokens = sum(map(said.count, (b",", b"|", b";")))
+                    yield n, tokens - n, len(both), hashlib.sha256(said[:-1]).hexdigest(), packed(both[:, 0], both[:, 1])
 
         for text in texts:
             waiting.append(text)
@@ -126,6 +180,12 @@ class Pair:
         if coded is None:
             return NONE
         a, b = coded
+        said, last_a, last_b = self.groups(a, b)
+        digest = hashlib.sha256(said.tobytes().translate(None, b"\0")[:-1]).hexdigest()
+        return len(a), len(b), int(last_a.sum()), digest, packed(a[last_a], b[last_b])
+
+    def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens' names as they are written down, eight bytes each, and which of both end a group."""
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         at = np.searchsorted(end_b, end_a)
         last_a = end_b[at] == end_a
@@ -138,8 +198,7 @@ class Pair:
         said = np.empty(len(a) + len(b), np.uint64)
         said[np.arange(len(a)) + np.r_[0, past_b[:-1]][group_a]] = names_a[a + last_a * len(self.bytes_a)]
         said[np.arange(len(b)) + past_a[group_b]] = names_b[b + last_b * len(self.bytes_b)]
-        digest = hashlib.sha256(said.tobytes().translate(None, b"\0")[:-1]).hexdigest()
-        return len(a), len(b), len(past_a), digest, packed(a[last_a], b[last_b])
+        return said, last_a, last_b
 
 
 def packed(a: np.ndarray, b: np.ndarray) -> bytes:

@@ -267,6 +267,25 @@ def test_align_of_documents(spark):
     assert rows_of(queries.QUERIES["op13_align"](spark, SF)) == want
 
 
+def test_stretches_are_coded_once(monkeypatch):
+    from tessera.llm.common import asset
+
+    rng = random.Random(7)
+    signs = [*"ab12.,  \n\t▁'é\u0301\u200b\xa0\u180e\x00中<s>|;", "the", "<|im_end|>"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 30))) for _ in range(1500)]
+    pair = align.Pair(asset("byte_bpe_50k.json"), asset("piece_bpe_32k.model"))
+    alone = [(*x[:4], align.unpacked(x[4]).tolist()) for x in map(pair.aligned, pair.coded(texts))]
+    for most in (100_000, 5):  # forgotten again and again
+        monkeypatch.setattr(align, "MEMO_STRETCHES", most)
+        for _ in range(2):
+            assert [(*x[:4], align.unpacked(x[4]).tolist()) for x in pair(texts)] == alone
+    asked = []
+    coded = pair.coded
+    monkeypatch.setattr(align, "MEMO_STRETCHES", 100_000)
+    monkeypatch.setattr(pair, "coded", lambda x: (asked.extend(x), coded(x))[1])
+    assert len(list(pair(["it was so"] * 5 + [None, "so it was"]))) == 7 and len(asked) <= 1
+
+
 def test_stretches():
     text = "ab cd  ef\n gh ij" * 50
     for long in (1, 7, 100):
