@@ -14,9 +14,10 @@ named in ``keep``, where those named like an output are replaced by it.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+import struct
+from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,9 @@ from .common import asset, read, small_batches
 #: Fixed value: how byte-level BPE splits text before merging, for classes L (letters), N (numbers) and
 #: S (white space) of characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
-#: Words remembered by one worker; the memo is emptied when full.
-MEMO_WORDS = 500_000
+#: Stretches between spaces, pre-tokens of longer stretches, and seams remembered by one worker; what is full
+#: is emptied.  An entry takes about 200 bytes, and an executor has a worker for each core.
+MEMO_WORDS, MEMO_SEAMS = 150_000, 150_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -139,102 +141,103 @@ class Tables:
         return self._stays_apart(a, b, 1 << 60)
 
 
+class Remembered(dict):
+    """What ``make`` gives for a key, made once until ``most`` are held."""
+
+    def __init__(self, make: Callable, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        found = self.make(key)
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = found
+        return found
+
+
 class Coder:
-    """Encodes and decodes whole texts; one per worker."""
+    """Encodes and decodes whole texts; one per worker.  Ids are bytes of int32 inside, as these are joined fast."""
 
     def __init__(self, tables: Tables, pattern: str):
         import ahocorasick
-        import regex
 
         self.t = tables
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, i in tables.ids.items():
             self.automaton.add_word(token, i)
         self.automaton.make_automaton()
-        self.split = regex.compile(pattern).findall
-        self.blank = regex.compile(pattern[pattern.rindex("|") + 1 :]).match
-        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(tables.special, key=len, reverse=True))) + ")") if tables.special else None
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.stretches: dict[str, tuple[int, ...] | None] = {}
-        self.seams: dict[tuple[int, int], bool] = {}
-
-    def _fits(self, a: int, b: int) -> bool:
-        known = self.seams.get((a, b))
-        if known is None:
-            if len(self.seams) > 1_000_000:
-                self.seams.clear()
-            known = self.seams[a, b] = self.t.compatible(a, b)
-        return known
-
-    def word(self, word: str) -> tuple[int, ...]:
+        # re looks a character up in a table, where regex walks the ranges of a class
+        self.split = re.compile(pattern).findall
+        self.blank = re.compile(pattern[pattern.rindex("|") + 1 :]).match
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(tables.special, key=len, reverse=True))) + ")") if tables.special else None
+        self.memo = Remembered(self.word, MEMO_WORDS)
+        self.stretches = Remembered(self._stretch, MEMO_WORDS)
+        self.seams = Remembered(self._fits, MEMO_SEAMS)
+
+    def _fits(self, seam: int) -> bool:
+        return self.t.compatible(seam >> 32, seam & 0xFFFFFFFF)
+
+    def word(self, word: str) -> bytes:
         """Ids of one pre-token."""
         t, raw = self.t, word.encode().decode("latin-1")
         if (whole := t.ids.get(raw)) is not None:
-            return (whole,)
-        n, length, shorter = len(raw), t.length, t.shorter
+            return whole.to_bytes(4, "little")
+        n, length, shorter, seams = len(raw), t.length, t.shorter, self.seams
         longest = [-1] * n
         for end, token in self.automaton.iter(raw):
             longest[end + 1 - length[token]] = token  # ends ascend, so the last is the longest
         dead = bytearray(n + 1)
         out: list[int] = []
-        at, token, seams = 0, longest[0], self.seams
+        at, token, before = 0, longest[0], -1
         while at < n:
             while token >= 0:
-                if not dead[at + length[token]]:
-                    if not out:
-                        break
-                    fits = seams.get((out[-1], token))
-                    if fits or (fits is None and self._fits(out[-1], token)):
-                        break
+                if not dead[at + length[token]] and (before < 0 or seams[before << 32 | token]):
+                    break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += length[token]
+                before = token
                 token = longest[at] if at < n else -1
             elif out:
                 dead[at] = 1
                 token = out.pop()
                 at -= length[token]
+                before = out[-1] if out else -1
             else:
                 raise ValueError("the vocabulary lacks a byte of the text")
-        return tuple(out)
+        return struct.pack(f"<{len(out)}i", *out)
 
-    def _spaced(self, text: str) -> tuple[int, ...]:
+    def _spaced(self, text: str) -> bytes:
         """Ids of a stretch, pre-token by pre-token."""
-        memo = self.memo
-        out: list[int] = []
-        for w in self.split(text):
-            ids = memo.get(w)
-            if ids is None:
-                ids = memo[w] = self.word(w)
-            out += ids
-        return tuple(out)
-
-    def _plain(self, text: str) -> list[int]:
+        return b"".join(map(self.memo.__getitem__, self.split(text)))
+
+    def _stretch(self, w: str) -> bytes:
+        """Ids of a space and ``w``; none if that depends on the text around it."""
+        if w.isascii() and w.isalpha():
+            return self.word(" " + w)
+        return b"" if not w or self.blank(w) else self._spaced(" " + w)
+
+    def _plain(self, text: str) -> bytes:
         """A pre-token holds a space only as its first character, so a text is coded stretch by stretch
         between its spaces, each stretch once; white space after a space needs the text around it."""
-        if len(self.memo) + len(self.stretches) > MEMO_WORDS:
-            self.memo.clear()
-            self.stretches.clear()
         first, *found = text.split(" ")
-        stretches = self.stretches
-        for w in set(found).difference(stretches):
-            stretches[w] = None if not w or self.blank(w) else self._spaced(" " + w)
-        parts = list(map(stretches.__getitem__, found))
-        if None in parts:
-            return list(self._spaced(text))
-        return [*self._spaced(first), *chain.from_iterable(parts)]
+        parts = list(map(self.stretches.__getitem__, found))
+        if b"" in parts:
+            return self._spaced(text)
+        return self._spaced(first) + b"".join(parts)
 
-    def encode(self, text: str | None) -> list[int]:
+    def coded(self, text: str | None) -> bytes:
+        """The ids of ``text`` as bytes of int32, least byte first."""
         if not text:
-            return []
+            return b""
         if self.special is None or not any(s in text for s in self.t.special):
             return self._plain(text)
-        out: list[int] = []
-        for part in self.special.split(text):
-            known = self.t.special.get(part)
-            out += self._plain(part) if known is None else [known]
-        return out
+        specials = self.t.special
+        return b"".join(specials[p].to_bytes(4, "little") if p in specials else self._plain(p) for p in self.special.split(text))
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.coded(text), "<i4").tolist()
 
     def decode(self, ids: np.ndarray) -> str:
         """Bytes of all ids, gathered by offset; invalid UTF-8 becomes the replacement character."""
@@ -277,12 +280,13 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, .
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _worker(spec)
         for batch in batches:
-            found = [np.array(coder.encode(x), dtype=np.int32) for x in batch.column(len(keep)).to_pylist()]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
+            found = [coder.coded(x) for x in batch.column(len(keep)).to_pylist()]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32) // 4
+            flat = np.frombuffer(b"".join(found), "<i4")
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
             columns = [*(batch.column(k) for k in range(len(keep))), ids]
             if decoded:
-                columns.append(pa.array([coder.decode(x) for x in found], pa.string()))
+                columns.append(pa.array([coder.decode(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
     return source.mapInArrow(run, T.StructType(fields))

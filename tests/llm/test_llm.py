@@ -94,6 +94,23 @@ def test_bpe_white_space(text):
     assert coder.encode(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_remembers_little(monkeypatch):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 20)
+    monkeypatch.setattr(bpe, "MEMO_SEAMS", 10)
+    coder = bpe.Coder(bpe.Tables(json.load(open(path, encoding="utf-8"))), bpe.split_pattern())
+    text = " ".join(f"quorblin{chr(97 + i % 26)}x{i} zätt,{chr(97 + i // 26)} it's\nNo" for i in range(200))
+    assert coder.encode(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert len(coder.stretches) <= 20 and len(coder.memo) <= 20 and len(coder.seams) <= 10
+    coder.memo.clear()
+    assert coder.encode("a unquestionably shorn wordling") and set(coder.memo) == {"a"}  # no stretch of one word is held twice
+
+
 @pytest.mark.parametrize("n, shards", [(0, 4), (1, 4), (2, 3), (97, 16), (1000, 7)])
 def test_sharding(spark, n, shards):
     df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("keep").alias("shard_name"))
