@@ -28,6 +28,9 @@ read, so other columns may have any name; without benchmark rows nothing is cont
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +111,22 @@ def windows(df: DataFrame, ident: str, text: str, literal: bool = False) -> Data
     return t.select("ident", F.explode_outer(listed).alias("w")).where("w is not null").select("ident", "w.pos", "w.h", "w.slots")
 
 
+def window_hashes(df: DataFrame, ident: str, text: str, literal: bool = False) -> DataFrame:
+    """``ident`` and ``h`` of the rows of ``windows``, without places and slots."""
+    t = templates(df, ident, text, literal)
+    n = F.size("hashes")
+    starts = F.sequence(F.lit(0), n - WINDOW)
+    plain = F.transform(starts, lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(WINDOW)]))
+    name = F.xxhash64(F.lit(MARK + "name"))
+    opener = lambda i, k: F.get("openers", i + k).isNotNull()
+    opened = F.filter(starts, lambda i: reduce(Column.__or__, [opener(i, k) for k in range(WINDOW)]))
+    other = F.transform(opened, lambda i: F.xxhash64(*[F.when(opener(i, k), name).otherwise(F.get("hashes", i + k)) for k in range(WINDOW)]))
+    many = F.when(F.col("openers").isNull(), plain).otherwise(F.concat(plain, other))
+    whole = F.array(F.xxhash64(F.lit("short"), "hashes"))
+    listed = F.when(n >= WINDOW, many).when(n > 0, whole)
+    return t.select("ident", F.explode_outer(listed).alias("h")).where("h is not null")
+
+
 def item_windows(benchmark: DataFrame, coverage: float = COVERAGE, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """The benchmark's windows: ``item_id``, ``item_pos``, ``item_h``, ``item_slots``, ``n_windows`` of
     the item, ``literal`` (by its own words) and ``first`` (looked for in the first step)."""
@@ -133,10 +152,10 @@ def _few(df: DataFrame) -> bool:
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
-def _searched(texts: DataFrame, items: DataFrame) -> DataFrame:
+def _searched(texts: DataFrame, items: DataFrame, made: Callable = windows) -> DataFrame:
     """Windows of ``texts`` (``ident``, ``text``), by template, and by words if any of ``items`` is."""
-    w = windows(texts, "ident", "text")
-    return w.unionByName(windows(texts, "ident", "text", literal=True)) if not items.where("literal").isEmpty() else w
+    w = made(texts, "ident", "text")
+    return w.unionByName(made(texts, "ident", "text", literal=True)) if not items.where("literal").isEmpty() else w
 
 
 def identity(text: str) -> Column:
@@ -149,7 +168,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage:
     items = item_windows(benchmark, coverage)
     texts = docs.select(identity(text).alias("ident"), F.col(text).alias("text"))
     first = items.where("first").select("item_id", "item_h")
-    near = _searched(texts, items).join(F.broadcast(first) if _few(first) else first, F.col("h") == F.col("item_h"))
+    near = _searched(texts, items, window_hashes).join(F.broadcast(first) if _few(first) else first, F.col("h") == F.col("item_h"))
     near = cut(near.select("ident", "item_id").distinct(), "leak-near")
     # the second step: each text so found against its items, window by window
     some = near.select("ident").distinct()

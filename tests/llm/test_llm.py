@@ -403,6 +403,14 @@ CLEAN = [
 ]
 
 
+@pytest.mark.parametrize("literal", [False, True])
+def test_decontamination_hashes_alone(spark, odd, literal):
+    texts = [None, "", "Ann", "In 3 km Bob met Carl. Then Dora had four apples, said Eve. Fine", "one two Three four Five six. Seven eight", "x 3x y z w v u"]
+    df = odd.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = decontaminate.windows(df, "doc_id", "text", literal).select("ident", "h")
+    assert sorted(decontaminate.window_hashes(df, "doc_id", "text", literal).collect(), key=str) == sorted(want.collect(), key=str)
+
+
 def test_decontamination_of_other_parameters(spark):
     """Items of ten shapes asked again with other names, numbers and number words, also where a sentence
     begins: of 500 at least nine in ten are found, and none of 500 texts of like words."""
