@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +73,18 @@ def tail_class(word: bytes) -> int:
     return HOT_CLASSES + zlib.crc32(word[-1:]) % TAIL_CLASSES
 
 
+#: ``tail_class`` by a word's last byte, at 256 of a word without bytes.
+TAILS = np.array([tail_class(bytes([b])) for b in range(256)] + [tail_class(b"")])
+
+
+def keys_of(found: Collection[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)).view(np.int64)
+
+
+def tails_of(found: Collection[bytes]) -> np.ndarray:
+    return TAILS[np.fromiter((w[-1] if w else 256 for w in found), np.int64, len(found))]
+
+
 def tokens(text: str | bytes | None) -> list[bytes]:
     """Words, then the end token (which no word equals)."""
     found = (text.encode("utf-8", "replace") if isinstance(text, str) else text or b"").lower().split()
@@ -89,7 +101,7 @@ def counts(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays(
-                [pa.array(map(key, seen), pa.int64(), size=len(seen)), pa.array(map(tail_class, seen), pa.int32(), size=len(seen)), pa.array(seen.values(), pa.int64(), size=len(seen))],
+                [pa.array(keys_of(seen)), pa.array(tails_of(seen), pa.int32()), pa.array(seen.values(), pa.int64(), size=len(seen))],
                 ["key", "cls", "c"],
             )
             seen.clear()
@@ -133,9 +145,9 @@ class Vocabulary:
             a, b = len(index) - len(new), len(index)
             while b > len(self.keys):
                 self.keys, self.classes, self.known = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.classes, self.known))
-            keys = np.fromiter(map(key, new), np.int64, len(new))
+            keys = keys_of(new)
             self.keys[a:b] = keys
-            self.classes[a:b] = np.fromiter(map(tail_class, new), np.int64, len(new))
+            self.classes[a:b] = tails_of(new)
             self.known[a:b] = 0.0
             if len(m["keys"]):
                 at = np.minimum(np.searchsorted(m["keys"], keys), len(m["keys"]) - 1)
@@ -272,8 +284,8 @@ def gradients(docs: DataFrame, model) -> np.ndarray:
                     each = -probabilities(m["weights"], m["bias"], part)
                     each[np.arange(len(each)), cls[a : a + CHUNK]] += 1
                     spots = part.reshape(-1)
-                    for c, x in enumerate(np.ascontiguousarray(each.T)):  # class by class, the sums stay in cache
-                        total[c] += np.bincount(spots, np.tile(x, len(part)), ROWS)
+                    for c, x in enumerate(each.T.astype(np.float64, order="C")):  # class by class, the sums stay in cache
+                        total[c] += np.bincount(spots, np.concatenate([x] * len(part)), ROWS)
         found = blocks(np.ascontiguousarray(total.T))
         for at in range(0, len(found), 64):
             yield packed(found[at : at + 64], PAIRS)

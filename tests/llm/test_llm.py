@@ -478,6 +478,12 @@ def test_lm_gains_of_any_size(times):
         assert got == pytest.approx(want, rel=1e-5)
 
 
+def test_lm_keys_of_many():
+    found = [b"", b"a", b"\xff", b"abc!", "zö".encode(), b"x" * 300]
+    assert lm.keys_of(found).tolist() == [lm.key(w) for w in found]
+    assert lm.tails_of(found).tolist() == [lm.tail_class(w) for w in found]
+
+
 def test_lm_probabilities_sum_to_one(spark):
     """Inside every frequent class, after every token, over all tokens; and of the classes, after any context."""
     texts = [prose(40, i) for i in range(30)] + ["a b a b a c"]
