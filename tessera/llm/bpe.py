@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding (operator 1).
 
 Encoding never replays merges.  One Aho-Corasick pass over a pre-token finds every vocabulary token
-in it; the longest one at each offset is tried first and backtracked to shorter prefixes until each
+in it (single bytes by a table); the longest one at each offset is tried first and backtracked to shorter prefixes until each
 neighbouring pair is *compatible*, i.e. merging their joined bytes would give back that very pair.
 Such a chain is unique and equals the merge result, and each offset is abandoned at most once, so the
 work is linear in the text.  Decoding gathers slices of one byte blob through an offset table.
@@ -25,14 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import asset, read, small_batches
+from .common import asset, read, small_batches, worker_holds
 
 #: Fixed value: how byte-level BPE splits text before merging, for classes L (letters), N (numbers) and
 #: S (white space) of characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
-#: Stretches between spaces, pre-tokens of longer stretches, and seams remembered by one worker; what is full
-#: is emptied.  An entry takes about 200 bytes, and an executor has a worker for each core.
+#: Stretches between spaces, pre-tokens of longer stretches, and seams remembered by one worker; of what is
+#: full, the half used last stays.  An entry takes about 200 bytes, and an executor has a worker for each core.
 MEMO_WORDS, MEMO_SEAMS = 150_000, 150_000
+#: Words for a query that shares its workers' memory with no other step: rare words come again, and coding one costs ten look-ups.
+MEMO_ALONE = 400_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -82,7 +84,7 @@ class Tables:
         vocab = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.ids = {raw(t): i for t, i in vocab.items() if t not in self.special}
-        size = 1 + max([*vocab.values(), *self.special.values()])
+        size = self.start = 1 + max([*vocab.values(), *self.special.values()])
         self.parts = np.full((size, 2), -1, dtype=np.int64)
         self.rank = [-1] * size
         self.pairs: dict[tuple[int, int], int] = {}
@@ -142,14 +144,17 @@ class Tables:
 
 
 class Remembered(dict):
-    """What ``make`` gives for a key, made once until ``most`` are held."""
+    """What ``make`` gives for a key, remembered for the ``most`` keys at most; those not asked for since the
+    last half of them came are forgotten first."""
 
     def __init__(self, make: Callable, most: int):
-        self.make, self.most = make, most
+        self.make, self.half, self.old = make, most // 2, {}
 
     def __missing__(self, key):
-        found = self.make(key)
-        if len(self) >= self.most:
+        if (found := self.old.pop(key, None)) is None:
+            found = self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
         self[key] = found
         return found
@@ -158,40 +163,49 @@ class Remembered(dict):
 class Coder:
     """Encodes and decodes whole texts; one per worker.  Ids are bytes of int32 inside, as these are joined fast."""
 
-    def __init__(self, tables: Tables, pattern: str):
+    def __init__(self, tables: Tables, pattern: str, most: int | None = None):
         import ahocorasick
 
         self.t = tables
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.automaton = ahocorasick.Automaton()
         for token, i in tables.ids.items():
-            self.automaton.add_word(token, i)
+            if len(token) > 1:
+                self.automaton.add_word(token, (len(token) - 1, i))
         self.automaton.make_automaton()
+        self.single = [tables.ids.get(chr(b), -1) for b in range(256)]
         # re looks a character up in a table, where regex walks the ranges of a class
         self.split = re.compile(pattern).findall
-        self.blank = re.compile(pattern[pattern.rindex("|") + 1 :]).match
+        parts = pattern.split("|")
+        self.letters, self.blank = re.compile(parts[-5].removeprefix(" ?")).match, re.compile(parts[-1]).match
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(tables.special, key=len, reverse=True))) + ")") if tables.special else None
-        self.memo = Remembered(self.word, MEMO_WORDS)
-        self.stretches = Remembered(self._stretch, MEMO_WORDS)
+        self.memo = Remembered(self.word, most or MEMO_WORDS)
+        self.stretches = Remembered(self._stretch, most or MEMO_WORDS)
         self.seams = Remembered(self._fits, MEMO_SEAMS)
 
-    def _fits(self, seam: int) -> bool:
-        return self.t.compatible(seam >> 32, seam & 0xFFFFFFFF)
+    def _fits(self, seam: int) -> int:
+        """Of a token and its shorter prefixes the longest that may stand behind another; -1 if none may."""
+        before, token = seam >> 32, seam & 0xFFFFFFFF
+        while before != self.t.start and token >= 0 and not self.t.compatible(before, token):
+            token = self.t.shorter[token]
+        return token
 
     def word(self, word: str) -> bytes:
         """Ids of one pre-token."""
-        t, raw = self.t, word.encode().decode("latin-1")
+        t, data = self.t, word.encode()
+        raw = data.decode("latin-1")
         if (whole := t.ids.get(raw)) is not None:
             return whole.to_bytes(4, "little")
         n, length, shorter, seams = len(raw), t.length, t.shorter, self.seams
-        longest = [-1] * n
-        for end, token in self.automaton.iter(raw):
-            longest[end + 1 - length[token]] = token  # ends ascend, so the last is the longest
+        longest = [self.single[b] for b in data]
+        for end, (back, token) in self.automaton.iter(raw):
+            longest[end - back] = token  # ends ascend, so the last is the longest
         dead = bytearray(n + 1)
         out: list[int] = []
-        at, token, before = 0, longest[0], -1
+        at, token, before = 0, longest[0], t.start
         while at < n:
             while token >= 0:
-                if not dead[at + length[token]] and (before < 0 or seams[before << 32 | token]):
+                token = seams[before << 32 | token]
+                if token < 0 or not dead[at + length[token]]:
                     break
                 token = shorter[token]
             if token >= 0:
@@ -203,7 +217,8 @@ class Coder:
                 dead[at] = 1
                 token = out.pop()
                 at -= length[token]
-                before = out[-1] if out else -1
+                token = shorter[token]
+                before = out[-1] if out else t.start
             else:
                 raise ValueError("the vocabulary lacks a byte of the text")
         return struct.pack(f"<{len(out)}i", *out)
@@ -213,9 +228,13 @@ class Coder:
         return b"".join(map(self.memo.__getitem__, self.split(text)))
 
     def _stretch(self, w: str) -> bytes:
-        """Ids of a space and ``w``; none if that depends on the text around it."""
-        if w.isascii() and w.isalpha():
-            return self.word(" " + w)
+        """Ids of a space and ``w``; none if that depends on the text around it.
+
+        Letters at its beginning are a pre-token with the space, whatever follows."""
+        if head := self.letters(w):
+            if (at := head.end()) == len(w):
+                return self.word(" " + w)
+            return self.stretches[w[:at]] + (self.memo[w[at:]] if at + 1 == len(w) else self._spaced(w[at:]))
         return b"" if not w or self.blank(w) else self._spaced(" " + w)
 
     def _plain(self, text: str) -> bytes:
@@ -251,27 +270,22 @@ class Coder:
         return self.t.blob[at].tobytes().decode("utf-8", "replace")
 
 
-_coder: tuple[object, Coder] | None = None
-
-
 def _worker(spec) -> Coder:
-    global _coder
-    if _coder is None or _coder[0] != spec.value:
-        _coder = (spec.value, Coder(Tables(json.loads(spec.value[0])), spec.value[1]))
-    return _coder[1]
+    return worker_holds("bpe", spec.value, lambda: Coder(Tables(json.loads(spec.value[0])), *spec.value[1:]))
 
 
-def _spec(df: DataFrame, tokenizer: str):
-    """The tokenizer file's text, read by the driver, and the splitting pattern; their size is that of
-    the vocabulary."""
+def _spec(df: DataFrame, tokenizer: str, most: int | None = None):
+    """The tokenizer file's text, read by the driver, the splitting pattern and how much to remember; their
+    size is that of the vocabulary."""
     with open(asset(tokenizer), encoding="utf-8") as f:
-        return df.sparkSession.sparkContext.broadcast((f.read(), split_pattern()))
+        return df.sparkSession.sparkContext.broadcast((f.read(), split_pattern(), most))
 
 
-def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
-    """``keep`` columns, then ``ids`` (array of int) and, if asked for, ``decoded`` (text made of the ids)."""
+def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False, most: int | None = None) -> DataFrame:
+    """``keep`` columns, then ``ids`` (array of int) and, if asked for, ``decoded`` (text made of the ids); a
+    worker remembers ``most`` words (``MEMO_WORDS`` unless given)."""
     small_batches(df.sparkSession)
-    spec = _spec(df, tokenizer)
+    spec = _spec(df, tokenizer, most)
     keep = tuple(c for c in keep if c not in ("ids", "decoded"))
     source = df.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
     fields = [source.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType()))]
@@ -310,7 +324,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", keep: tuple[str, ...
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
-    out = encode(read(spark, sf_dir, "documents"), "byte_bpe_50k.json", decoded=True)
+    out = encode(read(spark, sf_dir, "documents"), "byte_bpe_50k.json", decoded=True, most=MEMO_ALONE)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select(
         "doc_id",

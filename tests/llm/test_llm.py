@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import bpe, chat, decontaminate, exact_dedup, langid, lm, near_dedup, pii, quality, queries, sharding
+from tessera.llm import bpe, chat, common, decontaminate, exact_dedup, langid, lm, near_dedup, pii, quality, queries, sharding
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -111,6 +111,35 @@ def test_bpe_remembers_little(monkeypatch):
     assert coder.encode("a unquestionably shorn wordling") and set(coder.memo) == {"a"}  # no stretch of one word is held twice
 
 
+def test_bpe_codes_words_once(monkeypatch):
+    """Letters before signs are the word that stands alone elsewhere; what is asked for again is not forgotten."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 40)
+    coder, asked = bpe.Coder(bpe.Tables(json.load(open(path, encoding="utf-8"))), bpe.split_pattern()), collections.Counter()
+    word = coder.word
+    coder.word = lambda w: (asked.update([w]), word(w))[1]
+    coder.memo.make = coder.word
+    text = "zätté, zätté zätté's so quorblin, quorblin's quorblin quorblin.\nNo quorblin1 quorblin&&& 'quorblin"
+    assert coder.encode(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert asked[" quorblin"] == 1
+    for i in range(0, 90, 3):
+        coder.encode(f"a quorblin {' '.join(f'wobble{chr(97 + k % 26)}{chr(97 + k // 26)}' for k in (i, i + 1, i + 2))}")
+    assert asked[" quorblin"] == 1 and len(coder.stretches) + len(coder.stretches.old) <= 40
+
+
+def test_worker_holds_one_step():
+    made = []
+    make = lambda x: lambda: (made.append(x), x)[1]
+    assert [common.worker_holds("a", 1, make(1)), common.worker_holds("a", 1, make(2)), common.worker_holds("a", 3, make(3))] == [1, 1, 3]
+    assert common.worker_holds("b") is None and common._held == ("b", None, None)
+    assert common.worker_holds("a", 3, make(4)) == 4 and made == [1, 3, 4]
+
+
 @pytest.mark.parametrize("n, shards", [(0, 4), (1, 4), (2, 3), (97, 16), (1000, 7)])
 def test_sharding(spark, n, shards):
     df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("keep").alias("shard_name"))
