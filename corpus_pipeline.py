@@ -21,6 +21,8 @@ from tessera.llm import bpe, decontaminate, exact_dedup, near_dedup, quality
 from tessera.llm.common import read, shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Words that a worker of the last stage remembers: its executors' memory is still full of the stages before.
+TOKENIZER_WORDS = 50_000
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document left."""
-    out = bpe.encode(docs, TOKENIZER)
+    out = bpe.encode(docs, TOKENIZER, most=TOKENIZER_WORDS)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

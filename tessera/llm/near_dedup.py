@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, cut, read, salted_join, small_batches, unused
+from .common import HOT_SHARE, cut, read, salted_join, small_batches, unused, worker_holds
 
 BANDS, ROWS = 64, 7
 SLOTS = BANDS * ROWS
@@ -56,7 +56,10 @@ RING = 1 << 20
 PARITY = 8
 #: Shingles whose number of documents is told to all tasks, at most.
 OFTEN = 1 << 19
-MEMO_WORDS = 200_000
+#: Bytes of an Arrow batch: it holds sets of hashes, two in a row where pairs are confirmed.
+SET_BYTES = 4 << 20
+#: Words whose hash a task remembers; making one again costs little.
+MEMO_WORDS = 50_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -107,18 +110,13 @@ def bands(shingles: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-_tables: dict[int, np.ndarray] = {}
-
-
 def signatures(df: DataFrame, doc_id: str, text: str, words: int, seed: int) -> DataFrame:
     """``id``, ``n_shingles``, two 64-bit halves of the set's digest, and ``bands``."""
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, most=SET_BYTES)
     source = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
-        if seed not in _tables:
-            _tables[seed] = ring(seed)
+        shingle, table = Shingler(words), worker_holds("near_dedup", seed, lambda: ring(seed))
         for batch in batches:
             sizes, digests, found = [], [], []
             for text in batch.column(1).to_pylist():
@@ -126,7 +124,7 @@ def signatures(df: DataFrame, doc_id: str, text: str, words: int, seed: int) ->
                 sizes.append(len(s))
                 d = xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else 0
                 digests.append(d)
-                found.append(bands(s, _tables[seed]) if len(s) else np.zeros(0, np.int64))
+                found.append(bands(s, table) if len(s) else np.zeros(0, np.int64))
             signed = lambda x: x - (1 << 64) if x >> 63 else x
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -244,7 +242,7 @@ def rarest(docs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """``docs`` (id, comp, u, n, p) with each of their rarest shingles ``x``, and whether it also leads from
     the smaller set (``short``).  The order is one for all: by the number of documents, as far as ``often``
     tells it, then by hash.  Those that no other document has lead nowhere and are left out where they are known."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, most=SET_BYTES)
     known = docs.sparkSession.sparkContext.broadcast(often(docs, held))
     columns = ["id", "comp", "u", "n", "p"]
     rows = docs.select(*columns).join(held.select("id", "s"), "id")

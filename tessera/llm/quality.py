@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, read, small_batches, unused
+from .common import fold, read, small_batches, unused, worker_holds
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -122,6 +122,7 @@ def score(df: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), out:
     schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + f", `{out}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_holds("quality")
         table, bias = held.value["table"], held.value["bias"]
         sums: dict[bytes, tuple[float, int]] = {}
         for batch in batches:

@@ -140,6 +140,25 @@ def test_worker_holds_one_step():
     assert common.worker_holds("a", 3, make(4)) == 4 and made == [1, 3, 4]
 
 
+def test_worker_gives_up_the_coder():
+    """A coder refers to itself, so giving it up must not wait for Python's collector."""
+    import gc
+    import json
+    import weakref
+
+    import public_tokenizers
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    gc.disable()
+    try:
+        coder = weakref.ref(common.worker_holds("bpe", 1, lambda: bpe.Coder(bpe.Tables(spec), bpe.split_pattern())))
+        was = coder() is not None  # pytest keeps what it compares
+        common.worker_holds("quality")
+        assert was and coder() is None
+    finally:
+        gc.enable()
+
+
 @pytest.mark.parametrize("n, shards", [(0, 4), (1, 4), (2, 3), (97, 16), (1000, 7)])
 def test_sharding(spark, n, shards):
     df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("keep").alias("shard_name"))
