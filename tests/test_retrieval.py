@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.config import RetrievalConfig
-from tessera.operators import actions, embedding, nearest, routing, similarity, sse
+from tessera.operators import actions, embedding, keywords, nearest, routing, similarity, sse
 from tessera.plans import registry
 from tessera.sources import files, markdown, sink
 from tessera.streaming import sse as sse_stream
@@ -97,6 +97,41 @@ def test_keyword_counts(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("block", [1 << 20, 3000])
+def test_keyword_counts_in_blocks(spark, monkeypatch, block):
+    """Keywords with blanks and empty ones, questions and entries that share an id, in one block and in many."""
+    monkeypatch.setattr(keywords, "BLOCK", block)
+    monkeypatch.setattr(keywords, "MEMO", 20)
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdé😀 \n") for _ in range(n))
+    rows = [(i // 2, [word(rng.randrange(1, 7)) for _ in range(rng.randrange(0, 4))]) for i in range(200)] + [(500, [None, "ab"]), (501, ["  "])]
+    texts = [(i // 2, word(rng.randrange(0, 80)).upper()) for i in range(80)] + [(60, None), (61, "")]
+    for more in ([], [(502, [""])]):
+        want = {}
+        for q, t in texts:
+            for e in [e for e, words in rows + more if t is not None and any(w is not None and w in t.lower() for w in words)]:
+                n, least, total = want.get(q, (0, e, 0))
+                want[q] = (n + 1, min(least, e), total + e)
+        got = routing.keyword_counts(spark.createDataFrame(texts, "query_id int, query string"), spark.createDataFrame(rows + more, "entry_id int, keywords array<string>"))
+        assert {r.query_id: tuple(r)[1:] for r in got.collect()} == want and len(want) > 30
+    kinds = keywords.numbered(spark.createDataFrame([(w,) for _, words in rows for w in words], "keyword string"))
+    assert (len(keywords.keyword_blocks(kinds)) > 1) == (block == 3000)
+
+
+def test_keyword_counts_shuffle_little(spark):
+    """Less is shuffled than the questions' texts; a row for each stretch of a question was far more."""
+    words = [f"{i:05x}w" for i in range(3000)]
+    texts = [(i, " ".join(random.Random(i).sample(words, 200))) for i in range(300)]
+    questions = spark.createDataFrame(texts, "query_id int, query string")
+    entries = spark.createDataFrame([(i, [w, "w"]) for i, w in enumerate(words[::2])], "entry_id int, keywords array<string>")
+    executors = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    bytes_out = lambda: sum(found.apply(i).totalShuffleWrite() for found in [executors()] for i in range(found.size()))
+    before = bytes_out()
+    got = routing.keyword_counts(questions, entries, RetrievalConfig(broadcast_rows=10)).collect()
+    assert {r.query_id: r.n_entries for r in got} == {i: 1500 for i, _ in texts}
+    assert bytes_out() - before < sum(len(t) for _, t in texts)
+
+
 def test_many_keywords_need_no_nested_loop(spark):
     entries = spark.range(100_000).select(F.col("id").alias("entry_id"), F.array(F.concat(F.lit("key"), F.hex("id"), F.lit("word"))).alias("keywords"), F.array(F.lit("f")).alias("files"))
     queries = spark.createDataFrame([(1, "a KEY1869Fword b"), (2, "key1869Gword")], "query_id int, query string")
