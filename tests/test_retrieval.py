@@ -40,6 +40,42 @@ def test_pruned_search_finds_the_same(spark, monkeypatch, n, clusters):
         assert work["dots"] * 3 < work["pairs"]
 
 
+def test_pruned_search_in_blocks(spark, monkeypatch):
+    """Questions in many blocks, vectors in many runs, more equal vectors than a question keeps, names of text."""
+    for name, value in (("VECTORS", 16), ("QUESTIONS", 4), ("ASKED", 64)):
+        monkeypatch.setattr(nearest, name, value)
+    rows = vectors(4, 300, 6) + [[0.0] * 8] * 20 + vectors(4, 300, 6)[20:60] * 3
+    chunks = spark.createDataFrame([(f"n{i * 7 % 1000 // 10}", i % 10, v) for i, v in enumerate(rows)], "name string, no int, embedding array<double>").repartition(5)
+    asked = [(f"q{i}", v) for i, v in enumerate(rows[:60]) if v and len(v) == 8]
+    queries = spark.createDataFrame(asked, "query_id string, vector array<double>")
+    told = lambda top: sorted(tuple(r) for r in top.select("query_id", "rank", "name", "no", "score").collect())
+    got = told(nearest.pruned_topk(chunks, queries, ["name", "no"]))
+    whole = chunks.where("size(embedding) = 8 and forall(embedding, x -> not isnan(x))")
+    assert got == told(similarity.cosine_topk(whole, queries.where("forall(vector, x -> not isnan(x))"), ["name", "no"])) and len(got) > 250
+
+
+def test_search_shuffles_no_pairs(spark, monkeypatch):
+    """Where bounds leave nothing out, no question is shuffled to each cell of vectors."""
+    monkeypatch.setattr(nearest, "VECTORS", 16)
+    rng = np.random.default_rng(5)
+    made = lambda n: [(i, [float(x) for x in row]) for i, row in enumerate(rng.normal(size=(n, 16)))]
+    chunks, queries = spark.createDataFrame(made(4000), "no int, embedding array<double>"), spark.createDataFrame(made(500), "query_id int, vector array<double>")
+    executors = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    bytes_out = lambda: sum(found.apply(i).totalShuffleWrite() for found in [executors()] for i in range(found.size()))
+    before = bytes_out()
+    assert nearest.pruned_topk(chunks, queries, ["no"]).count() == 2500
+    assert bytes_out() - before < 2_000_000
+
+
+def test_tokens_are_added_in_parts(monkeypatch):
+    monkeypatch.setattr(embedding.HashedTokens, "MEMO", 3)
+    monkeypatch.setattr(embedding.HashedTokens, "AT_ONCE", 4)
+    texts = ["a b c d e f", None, "", "A a", " \n", "x", "a b c"]
+    one = embedding.HashedTokens()
+    assert np.array_equal(embedding.HashedTokens()(texts), np.concatenate([one([t]) for t in texts]))
+    assert not embedding.HashedTokens()(texts)[[1, 2, 4]].any() and np.array_equal(one(["A a"]), one(["a"]))
+
+
 def test_pruned_search_of_nothing(spark):
     none = spark.createDataFrame([], "no int, embedding array<float>")
     queries = spark.createDataFrame([(1, [1.0])], "query_id int, vector array<float>")
